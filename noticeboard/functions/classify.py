@@ -160,22 +160,23 @@ def term_hits(df: DataFrame, text_col: str, dictionary: list[str], keep: list[st
 def match_terms(df: DataFrame, dictionary: DataFrame, text_col: str, id_col: str, word_col: str = "word", lengths=None) -> DataFrame:
     """Text x large dictionary ("text contains word") as an equi join.
 
-    Every position of the text is cut to the word lengths in use and the distinct
-    pieces are joined to the dictionary, so there is no theta join.  lengths is
-    the (small) list of word lengths; it is read from the dictionary when absent.
+    Each position of the text yields one piece as long as the longest word; pieces
+    and words meet on the characters all words have (the shortest length) and the
+    rest is compared after the join, so there is no theta join.  lengths is the
+    (shortest, longest) word length, read from the dictionary when absent.
     """
+    words = dictionary.where(F.length(word_col) > 0).select(word_col).distinct()
     if lengths is None:
-        lengths = sorted(r[0] for r in dictionary.select(F.length(word_col).alias("n")).where("n between 1 and 64").distinct().collect())
-    t = text(text_col)
-    pieces = F.array_distinct(F.flatten(F.array(*[
-        F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: F.substr(t, i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>"))
-        for n in lengths
-    ])))
+        lengths = words.agg(F.min(F.length(word_col)), F.max(F.length(word_col))).first()
+    if lengths[0] is None:
+        return df.select(id_col, F.lit(None).cast("string").alias(word_col)).limit(0)
+    lo, hi = lengths
+    pieces = F.array_distinct(F.regexp_extract_all(text(text_col), F.lit(f"(?s)(?=(.{{{lo},{hi}}}))"), F.lit(1)))
     return (
-        df.select(id_col, F.explode(pieces).alias(word_col))
-        .join(dictionary.select(word_col).distinct(), word_col)
-        .select(id_col, word_col)
+        df.select(id_col, F.explode(pieces).alias("_piece")).withColumn("_head", left(F.col("_piece"), lo))
+        .join(words.withColumn("_head", left(F.col(word_col), lo)), "_head")
+        .where(F.startswith(F.col("_piece"), F.col(word_col)))
+        .select(id_col, word_col).distinct()
     )
 
 

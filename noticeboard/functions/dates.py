@@ -61,7 +61,7 @@ def candidate_date(c) -> Column:
 
 
 def next_retry(retry_count, as_of) -> Column:
-    minutes = F.least(F.lit(60), F.shiftleft(F.lit(1), F.least(col(retry_count), F.lit(6)).cast("int")))
+    minutes = F.least(F.lit(60), F.pow(F.lit(2.0), F.least(col(retry_count), F.lit(6))).cast("int"))
     return ts(as_of) + F.make_dt_interval(mins=minutes)
 
 

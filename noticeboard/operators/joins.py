@@ -156,17 +156,17 @@ def locate_quotes(
     """
     f = facts.withColumn("_q", squeeze("source_quote")).where("_q <> ''").withColumn("_g", F.substring("_q", 1, gram))
     s = segments.select(doc, "segment_id", "page_no", "segment_no", F.col("text").alias("_seg"), squeeze("text").alias("_sq"))
-    full = F.transform(F.sequence(F.lit(1), F.length("_sq") - gram + 1), lambda i: F.substr("_sq", i, F.lit(gram)))
-    grams = s.where(F.length("_sq") >= gram).select(doc, "segment_id", F.explode(F.array_distinct(full)).alias("_g"))
-    short = f.where(F.length("_q") < gram).select(F.length("_g").alias("_n")).distinct()
-    # short quotes: pieces of just the lengths in use (at most gram - 1 of them)
-    short_grams = (
-        s.join(short, F.length("_sq") >= F.col("_n"))
-        .select(doc, "segment_id", F.explode(F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.length("_sq") - F.col("_n") + 1), lambda i: F.substr("_sq", i, F.col("_n")))
-        )).alias("_g"))
-    )
-    pairs = f.select(fact_id, doc, "_g").join(grams.unionByName(short_grams), [doc, "_g"]).select(fact_id, doc, "segment_id")
+
+    def pieces(n: int):
+        # every substring of n characters, overlapping, in one linear scan
+        return F.array_distinct(F.regexp_extract_all("_sq", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+    grams = s.select(doc, "segment_id", F.explode(pieces(gram)).alias("_g"))
+    # short quotes: pieces of just the lengths in use (fewer than gram of them)
+    used = [r[0] for r in f.where(F.length("_q") < gram).select(F.length("_q")).distinct().collect()]
+    for n in used:
+        grams = grams.unionByName(s.select(doc, "segment_id", F.explode(pieces(n)).alias("_g")))
+    pairs = f.select(fact_id, doc, "_g").join(grams, [doc, "_g"]).select(fact_id, doc, "segment_id")
     checked = (
         pairs.join(f.select(fact_id, "_q", F.col("source_quote").alias("_quote")), fact_id)
         .join(s, [doc, "segment_id"]).where(F.contains("_sq", "_q"))

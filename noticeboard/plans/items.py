@@ -353,11 +353,11 @@ def orders_with_provider(spark, d):
     return J.orders_view(lines, parts, sup).select("l_orderkey", "l_linenumber", "l_partkey", "product_name", "provider_name")
 
 
-@query("latest_job_of_document", f"""WITH jobs AS {JOBS.sql}, l AS (SELECT document_id, max(progress) AS progress, arg_max(stage, id) AS stage, arg_max(status, id) AS job_status FROM jobs GROUP BY 1)
+@query("latest_job_of_document", f"""WITH jobs AS {JOBS.sql}, l AS (SELECT document_id, max(progress) AS progress, arg_max(stage, {{'a': id, 'b': source_id, 'c': status, 'd': stage}}) AS stage, arg_max(status, {{'a': id, 'b': source_id, 'c': status, 'd': stage}}) AS job_status FROM jobs GROUP BY 1)
 SELECT o_orderkey AS id, stage, job_status, coalesce(progress,0) AS progress FROM orders LEFT JOIN l ON l.document_id=o_orderkey""")
 def latest_job_of_document(spark, d):
     docs = ITEMS(spark, d).select("id")
-    out = J.with_latest(docs, JOBS(spark, d), "id", "document_id", ["id"], {"stage": "stage", "status": "job_status"}, progress=F.max("progress"))
+    out = J.with_latest(docs, JOBS(spark, d), "id", "document_id", ["id", "source_id", "status", "stage"], {"stage": "stage", "status": "job_status"}, progress=F.max("progress"))
     return out.withColumn("progress", F.coalesce("progress", F.lit(0)))
 
 

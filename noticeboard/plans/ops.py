@@ -365,11 +365,12 @@ def queue_owners(spark, d):
     return out.select("id", "document_id", "source_name", "organization_id", "organization_name")
 
 
-@query("owning_source", f"""WITH jobs AS {JOBS.sql}, l AS (SELECT document_id, arg_max(source_id, id) AS s FROM jobs GROUP BY 1), reg AS {REGISTRY.sql}
-SELECT o_orderkey AS id, source_name, nationkey FROM orders JOIN l ON l.document_id=o_orderkey JOIN reg ON reg.id=l.s""")
+@query("owning_source", f"""WITH jobs AS {CRAWL_JOBS.sql}, l AS (SELECT document_id, arg_max(duration_ms, id) AS v FROM jobs GROUP BY 1), reg AS {REGISTRY.sql}
+SELECT c_custkey AS id, source_name, nationkey FROM customer JOIN l ON l.document_id=c_custkey JOIN reg ON reg.id=(l.v+100000)//5000""")
 def owning_source(spark, d):
-    jobs = JOBS(spark, d).withColumnRenamed("source_id", "source_registry_id")
-    return J.owning_source(load(spark, d, "orders").select(F.col("o_orderkey").alias("id")), jobs, REGISTRY(spark, d), ["source_name", "nationkey"]).select("id", "source_name", "nationkey")
+    jobs = CRAWL_JOBS(spark, d).withColumn("source_registry_id", F.floor((F.col("duration_ms") + 100000) / 5000))
+    docs = load(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return J.owning_source(docs, jobs, REGISTRY(spark, d), ["source_name", "nationkey"]).select("id", "source_name", "nationkey")
 
 
 @query("source_status", f"WITH reg AS {REGISTRY.sql} SELECT id, source_name, enabled FROM reg")
