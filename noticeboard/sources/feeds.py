@@ -9,7 +9,7 @@ from __future__ import annotations
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.core import left, strip, text
 from ..functions.urls import host, normalize_url
@@ -29,7 +29,8 @@ SITEMAP_INDEX = "sitemap array<struct<loc: string>>"
 _XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
 
 
-@F.pandas_udf("struct<ok: boolean, nodes: long, depth: long>")
+# type objects, not DDL text: modules are imported before there is a session
+@F.pandas_udf(T.StructType().add("ok", T.BooleanType()).add("nodes", T.LongType()).add("depth", T.LongType()))
 def _xml_shape(content: pd.Series) -> pd.DataFrame:
     def shape(doc):
         counts = [0, 0, 0]  # nodes, open, deepest
@@ -77,7 +78,7 @@ def root_name(c) -> Column:
     return F.lower(F.regexp_extract(text(c), r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|\s)*<(?:[\w.-]+:)?([\w.-]+)", 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_url(url: pd.Series, base: pd.Series) -> pd.Series:
     """Absolute form of a possibly relative reference; null when it cannot be read."""
     from urllib.parse import urljoin
