@@ -9,27 +9,32 @@ blocks with one small aggregate per (block, key).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; a temporary folder only on local masters."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a temporary folder only on local masters where it is unset."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if shared is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="noticeboard-checkpoint-")
-    sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared)
+    return shared
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Unlike a checkpoint, the table brings its true size, so plans of iterated steps
+    do not carry ever growing estimates.
+    """
+    path = f"{shared_folder(df.sparkSession)}/noticeboard-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _blocks(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
