@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import vocab as V
 
-MINUTE = 60_000_000  # microseconds
-
 
 # -------------------------------------------------------- declarative aggregates --
 def rolling_engagement(events: DataFrame, lateness: str = "1 day", span: str = "7 days", slide: str = "1 day") -> DataFrame:
@@ -92,13 +90,13 @@ def _watch(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame
     known, deadline = state.get if state.exists else (None, None)
     events = pd.concat(list(batches), ignore_index=True)
     last = events.loc[events["ts"].idxmax()]
-    seen = int(last["ts"].value // 1000) if last["ts"].unit == "ns" else int(last["ts"].as_unit("us").value)
+    seen = last["ts"].value // 1000  # nanoseconds, whatever the unit
     if known is None or seen >= known:
         if not last["is_open"]:
             if state.exists:
                 state.remove()
             return
-        known, deadline = seen, int(pd.Timestamp(last["deadline"]).as_unit("us").value)
+        known, deadline = seen, pd.Timestamp(last["deadline"]).value // 1000
     state.update((known, deadline))
     # a deadline is over when the watermark has passed it
     state.setTimeoutTimestamp(max(deadline // 1000 + 1, state.getCurrentWatermarkMs() + 1))
