@@ -29,6 +29,13 @@ def session():
     return s
 
 
+def names_of(modules):
+    """Queries registered by the named plan modules."""
+    import inspect
+    import __spark_entry__ as entry
+    return [n for n, f in entry.queries().items() if inspect.getmodule(f).__name__.split(".")[-1] in modules]
+
+
 def main():
     import __spark_entry__ as entry
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
@@ -41,8 +48,9 @@ def main():
         con.execute(f"create view {f[:-8]} as select * from '{d}/{f}'")
     qs, os_ = entry.queries(), entry.oracle_sql()
     bad = 0
+    chosen = set(names_of([p[1:] for p in parts if p.startswith("@")]))
     for name, fn in qs.items():
-        if parts and not any(p in name for p in parts):
+        if parts and not any(p in name for p in parts if not p.startswith("@")) and name not in chosen:
             continue
         try:
             t = time.time()
