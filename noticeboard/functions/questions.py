@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from . import vocab as V
 from .core import SPACES, col, first_present, has_any, is_blank, left, nulls_to, text
 from .texts import normalize
 
-_EMPTY = F.array
-
 
 def _tokens(norm: Column, stop_chars: str) -> Column:
     return F.filter(F.split(norm, f"[{stop_chars}]+"), lambda t: F.length(t) >= 2)
@@ -36,10 +32,10 @@ def query_anchors(q, stop_chars: str = V.QUESTION_STOP_CHARS, topics=None) -> Co
     return F.array_distinct(F.concat(_tokens(n, stop_chars), *_groups(n, V.ANCHOR_TOPICS if topics is None else topics)))
 
 
-def lexical_score(terms, anchors, slug, context_slug, title, category, summary, raw, facts) -> Column:
-    """Relevance of one item for one question."""
+def lexical_score(terms, anchors, slug, context_slug, title, category, summary, raw, facts, prepared: bool = False) -> Column:
+    """Relevance of one item for one question; prepared means the item's texts are normalised already."""
     contextual = nulls_to(col(context_slug) == col(slug), False)
-    t, c, s, r, f = (normalize(x) for x in (title, category, summary, raw, facts))
+    t, c, s, r, f = (col(x) if prepared else normalize(x) for x in (title, category, summary, raw, facts))
     anchored = F.exists(
         col(anchors), lambda a: F.contains(t, a) | F.contains(c, a) | F.contains(s, a) | F.contains(f, a)
     )
@@ -122,10 +118,3 @@ def citation_quality(answer, evidence_count, actions, high_risk) -> Column:
     )
     return F.struct(valid.alias("valid"), chars.alias("answer_chars"), quality.alias("quality"))
 
-
-def contains_any_term(haystack: Column, terms: Column) -> Column:
-    return F.exists(terms, lambda t: F.contains(haystack, t))
-
-
-def sum_points(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols, F.lit(0))

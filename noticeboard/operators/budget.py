@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.core import nulls_to
 from ..functions.dates import local_day, next_local_midnight, next_retry, ts
 from ..functions.texts import estimate_tokens
-from .ordered import materialise, running_totals
+from .ordered import in_blocks, materialise, totals_over_blocks
 
 
 @dataclass(frozen=True)
@@ -29,13 +29,16 @@ def _limit(c: Column | None) -> Column:
     return F.lit(None).cast("bigint") if c is None else F.when(c > 0, c.cast("bigint"))
 
 
-def _usage(df: DataFrame, capacity: Capacity, order: list[str], **flags: Column) -> DataFrame:
-    """Adds <name>_<flag>_n and <name>_<flag>_s: rows and amount used by earlier rows with the flag."""
-    values = {}
-    for flag, cond in flags.items():
-        values[f"{capacity.name}_{flag}_n"] = cond.cast("bigint")
-        values[f"{capacity.name}_{flag}_s"] = F.when(cond, F.col("_amount")).otherwise(F.lit(0).cast("bigint"))
-    return running_totals(df, list(capacity.keys), [F.col(c) for c in order], **values)
+def _usage(df: DataFrame, capacities: list[Capacity], order: list[str], **flags: Column) -> DataFrame:
+    """Adds <name>_<flag>_n and <name>_<flag>_s: rows and amount of earlier rows with the flag, for every capacity."""
+    groups = []
+    for c in capacities:
+        values = {}
+        for flag, cond in flags.items():
+            values[f"{c.name}_{flag}_n"] = cond.cast("bigint")
+            values[f"{c.name}_{flag}_s"] = F.when(cond, F.col("_amount")).otherwise(F.lit(0).cast("bigint"))
+        groups.append((f"_at_{c.name}", list(c.keys), values))
+    return totals_over_blocks(df, [F.col(c) for c in order], groups)
 
 
 def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str], amount: Column, eligible: Column, max_rounds: int | None = None) -> DataFrame:
@@ -58,12 +61,12 @@ def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str],
         limits[f"_{c.name}_rows"], limits[f"_{c.name}_amount"] = _limit(c.rows), _limit(c.amount)
     keys = list(dict.fromkeys(k for c in capacities for k in c.keys))
     slim = df.select(*dict.fromkeys([*order, *keys]), amount.cast("bigint").alias("_amount"), eligible.alias("_ok"), *[v.alias(k) for k, v in limits.items()])
-    state = materialise(slim.withColumn("_state", F.when(nulls_to(F.col("_ok"), False), F.lit("?")).otherwise(F.lit("no"))).drop("_ok"))
+    # rows that cannot be admitted use nothing up; blocks are cut once, only states change between rounds
+    open_ = slim.where(nulls_to(F.col("_ok"), False)).drop("_ok").withColumn("_state", F.lit("?"))
+    state = in_blocks(open_, {f"_at_{c.name}": list(c.keys) for c in capacities}, [F.col(c) for c in order])
     cols, rounds = state.columns, 0
     while True:
-        step = state
-        for c in capacities:
-            step = _usage(step, c, order, lo=F.col("_state") == "yes", hi=F.col("_state") != "no")
+        step = _usage(state, capacities, order, lo=F.col("_state") == "yes", hi=F.col("_state") != "no")
         fits, never = F.lit(True), F.lit(False)
         for c in capacities:
             rows, most = F.col(f"_{c.name}_rows"), F.col(f"_{c.name}_amount")
@@ -81,10 +84,10 @@ def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str],
             break
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError("rows are still undecided")
-    final = state
-    for c in capacities:
-        final = _usage(final, c, order, used=F.col("_state") == "yes")
-    final = final.select(
+    admitted = state.where("_state = 'yes'").select(*order, F.lit(True).alias("_yes"))
+    every = slim.drop("_ok").join(admitted, order, "left").withColumn("_state", F.when(F.col("_yes"), "yes").otherwise("no")).drop("_yes")
+    every = in_blocks(every, {f"_at_{c.name}": list(c.keys) for c in capacities}, [F.col(c) for c in order])
+    final = _usage(every, capacities, order, used=F.col("_state") == "yes").select(
         *order, (F.col("_state") == "yes").alias("admitted"),
         *[F.col(f"{c.name}_used_{m}").alias(f"{c.name}_{m}") for c in capacities for m in ("n", "s")],
     )

@@ -37,9 +37,42 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _blocks(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    return materialise(ranged.withColumn("_block", F.spark_partition_id()))
+def in_blocks(df: DataFrame, groups: dict[str, list[str]], order: list[Column]) -> DataFrame:
+    """Adds one block number column per name: rows range-partitioned by (keys, order).
+
+    A group of any size spreads over many blocks, and blocks of a group follow its order.
+    """
+    for name, keys in groups.items():
+        ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+        df = materialise(ranged.withColumn(name, F.spark_partition_id()))
+    return df
+
+
+def totals_over_blocks(df: DataFrame, order: list[Column], groups: list[tuple[str, list[str], dict[str, Column]]]) -> DataFrame:
+    """Adds exclusive running totals of several groupings at once; df must be stable (materialised).
+
+    groups: (block column, keys, name -> value).  Each block is summed on its own and
+    shifted by the totals of the blocks of the same group before it.
+    """
+    out = df
+    for block, keys, values in groups:
+        w = Window.partitionBy(block, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumns({f"_l_{n}": F.coalesce(F.sum(v).over(w), F.lit(0)) for n, v in values.items()})
+    names = []
+    for i, (block, keys, values) in enumerate(groups):
+        # one row per (block, key): bounded by the number of blocks plus the number of keys
+        sums = df.groupBy(block, *keys).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
+        before = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.select(
+            F.col(block).alias(f"_b{i}"), *[F.col(k).alias(f"_k{i}_{k}") for k in keys],
+            *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values],
+        )
+        cond = F.col(block) == F.col(f"_b{i}")
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}_{k}"))
+        out = out.join(offsets, cond)
+        names += list(values)
+    return out.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in names])
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[Column], **values: Column) -> DataFrame:
@@ -47,26 +80,8 @@ def running_totals(df: DataFrame, keys: list[str], order: list[Column], **values
 
     order must be a total order within the group.
     """
-    blocks = _blocks(df.withColumns({f"_v_{n}": v for n, v in values.items()}), keys, order)
-    w = Window.partitionBy("_block", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = blocks.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)) for n in values})
-    # one row per (block, key): bounded by the number of blocks plus the number of keys
-    per_block = blocks.groupBy("_block", *keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    if not keys:
-        # one row per block
-        wb = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    else:
-        wb = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(
-        F.col("_block").alias("_b"), *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)).alias(f"_o_{n}") for n in values],
-    )
-    cond = F.col("_block") == F.col("_b")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return local.join(offsets, cond).select(
-        *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in values]
-    )
+    blocks = in_blocks(df, {"_block": keys}, order)
+    return totals_over_blocks(blocks, order, [("_block", keys, values)]).drop("_block")
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
@@ -77,7 +92,7 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str =
 
 def neighbours(df: DataFrame, keys: list[str], order: list[Column], value: str, before: str, after: str) -> DataFrame:
     """lag/lead of one non-null column for groups of any size."""
-    blocks = _blocks(df, keys, order)
+    blocks = in_blocks(df, {"_block": keys}, order)
     w = Window.partitionBy("_block", *keys).orderBy(*order)
     local = blocks.withColumns({before: F.lag(value).over(w), after: F.lead(value).over(w)})
     # the ends of each block: rows without a local neighbour

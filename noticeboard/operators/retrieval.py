@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import questions as Q, vocab as V
 from ..functions.classify import match_terms
-from ..functions.core import has_any, nulls_to, present, strip, text
+from ..functions.core import nulls_to, present, strip, text
 from ..functions.texts import normalize
 from .ordered import top_per_key
 
+_TEXTS = ("title", "category", "summary", "raw_text", "verified_facts")
 _SEPARATOR = "\u0001"  # keeps a word from matching across two fields
 
 
@@ -56,6 +57,9 @@ def retrieve(understood: DataFrame, items: DataFrame, n: int = 3, same_region: b
     key, which adaptive execution splits.
     """
     q = understood.withColumn("anchors", F.filter("anchors", lambda a: a != ""))
+    kept = [c for c in items.columns if c != "region_code"]
+    # texts are normalised once per item, not once per pair
+    items = items.withColumns({f"_n_{c}": normalize(c) for c in _TEXTS})
     exploded = q.select("question_id", "anchors", "terms", "context_slug", F.explode("anchors").alias("anchor"), *(["region_code"] if same_region else []))
     hits = item_anchors(items, exploded)
     marked = items.join(hits.groupBy("slug").agg(F.array_sort(F.collect_set("anchor")).alias("item_anchors")), "slug")
@@ -71,8 +75,9 @@ def retrieve(understood: DataFrame, items: DataFrame, n: int = 3, same_region: b
         items.withColumn("context_slug", F.col("slug")), "context_slug"
     )
     cols = ["question_id", "terms", "anchors", "context_slug", *[c for c in items.columns if c != "region_code"]]
-    scored = pairs.select(*cols).unionByName(asked_on.select(*cols)).withColumn(
-        "score", Q.lexical_score("terms", "anchors", "slug", "context_slug", "title", "category", "summary", "raw_text", "verified_facts")
+    score = Q.lexical_score("terms", "anchors", "slug", "context_slug", *[f"_n_{c}" for c in _TEXTS], prepared=True)
+    scored = pairs.select(*cols).unionByName(asked_on.select(*cols)).select(
+        "question_id", "terms", "context_slug", *kept, score.alias("score")
     ).where("score > 0")
     return top_per_key(scored, ["question_id"], [F.desc("score"), F.desc("published_at"), F.col("slug")], n, "citation")
 
@@ -109,6 +114,3 @@ def answer_checks(answers: DataFrame) -> DataFrame:
         "grounded": facts_grounded("answer", "evidence"),
     })
 
-
-def mentions(c, words: list[str]):
-    return has_any(text(c), words)
