@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import vocab as V
 from .core import (
-    any_of, col, count_present, first_present, has_any, left, map_lookup, nulls_to, occurrences, present, strip, text,
+    col, count_present, first_present, has_any, left, let, map_lookup, nulls_to, present, strip, text,
     total_occurrences,
 )
 
@@ -17,19 +17,26 @@ def classify_content(title, body, strong=None, rules=None, body_chars: int = 400
     body_chars is part of the definition of the score.
     """
     strong, rules = strong or V.STRONG_TITLE_RULES, rules or V.CONTENT_KIND_RULES
-    t, b = text(title), left(text(body), body_chars)
+    t = text(title)
     by_title = F.coalesce(*[F.when(has_any(t, ws), F.lit(k)) for k, ws in strong], F.lit(None).cast("string"))
-    scored = [
-        F.struct((total_occurrences(t, ws) * 4 + total_occurrences(b, ws)).alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("kind"))
-        for i, (k, ws) in enumerate(rules)
-    ]
-    best = F.greatest(*scored) if len(scored) > 1 else scored[0]
-    score = best["score"]
-    return F.struct(
-        F.coalesce(by_title, F.when(score > 0, best["kind"]).otherwise(F.lit("GENERAL_NEWS"))).alias("kind"),
-        F.when(by_title.isNotNull(), F.lit(0.95))
-        .when(score > 0, F.least(F.lit(0.98), F.lit(0.68) + score * F.lit(0.05)))
-        .otherwise(F.lit(0.55)).alias("confidence"),
+
+    def best(b: Column) -> Column:
+        scored = [
+            F.struct((total_occurrences(t, ws) * 4 + total_occurrences(b, ws)).alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("kind"))
+            for i, (k, ws) in enumerate(rules)
+        ]
+        return F.greatest(*scored) if len(scored) > 1 else scored[0]
+
+    def verdict(top: Column) -> Column:
+        score = top["score"]
+        return F.struct(
+            F.when(score > 0, top["kind"]).otherwise(F.lit("GENERAL_NEWS")).alias("kind"),
+            F.when(score > 0, F.least(F.lit(0.98), F.lit(0.68) + score * F.lit(0.05))).otherwise(F.lit(0.55)).alias("confidence"),
+        )
+
+    # the body is only looked at when the title does not decide
+    return F.when(by_title.isNotNull(), F.struct(by_title.alias("kind"), F.lit(0.95).alias("confidence"))).otherwise(
+        let(left(text(body), body_chars), lambda b: let(best(b), verdict))
     )
 
 
@@ -37,16 +44,23 @@ def document_kind(title, body, source, declared, signals=None, kinds=None) -> Co
     """Declared kind wins; else 8 x distinct + 2 x body + corpus counts; the body must hit; ties to the greatest name."""
     signals, kinds = signals or V.DOCUMENT_KIND_SIGNALS, kinds or V.DOCUMENT_KINDS
     b = text(body)
-    corpus = F.concat(text(title), F.lit("\n"), text(source), F.lit("\n"), b)
-    scored = []
-    for kind, words in signals.items():
-        in_body = total_occurrences(b, words)
-        points = count_present(b, words) * 8 + in_body * 2 + total_occurrences(corpus, words)
-        scored.append(F.when(in_body > 0, F.struct(points.alias("score"), F.lit(kind).alias("kind"))))
-    best = F.greatest(*scored) if len(scored) > 1 else scored[0]
-    return F.when(col(declared).isin(kinds), col(declared)).otherwise(
-        F.coalesce(best["kind"], F.lit("GENERAL_PUBLIC_SERVICE"))
-    )
+
+    def best(corpus: Column) -> Column:
+        scored = [_signal_score(b, corpus, kind, words) for kind, words in signals.items()]
+        return F.greatest(*scored) if len(scored) > 1 else scored[0]
+
+    guessed = let(F.concat(text(title), F.lit("\n"), text(source), F.lit("\n"), b), lambda corpus: F.coalesce(best(corpus)["kind"], F.lit("GENERAL_PUBLIC_SERVICE")))
+    return F.when(col(declared).isin(kinds), col(declared)).otherwise(guessed)
+
+
+def _signal_score(body: Column, corpus: Column, kind: str, words: list[str]) -> Column:
+    """Struct(score, kind), null unless the body has a signal."""
+
+    def score(in_body: Column) -> Column:
+        points = count_present(body, words) * 8 + in_body * 2 + total_occurrences(corpus, words)
+        return F.when(in_body > 0, F.struct(points.alias("score"), F.lit(kind).alias("kind")))
+
+    return let(total_occurrences(body, words), score)
 
 
 def _confidence_table() -> dict[int, float]:
@@ -178,11 +192,3 @@ def match_terms(df: DataFrame, dictionary: DataFrame, text_col: str, id_col: str
         .where(F.startswith(F.col("_piece"), F.col(word_col)))
         .select(id_col, word_col).distinct()
     )
-
-
-def any_pattern(c: Column, patterns: list[str]) -> Column:
-    return any_of(F.rlike(c, F.lit(p)) for p in patterns)
-
-
-def occurrence_counts(c, words: list[str]) -> Column:
-    return F.map_from_arrays(F.array(*[F.lit(w) for w in words]), F.array(*[occurrences(text(c), w) for w in words]))

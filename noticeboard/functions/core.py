@@ -7,7 +7,7 @@ a value has to be looked at element by element.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -81,6 +81,14 @@ def total_occurrences(c: Column, words: Iterable[str]) -> Column:
     return reduce(lambda a, b: a + b, (occurrences(c, w) for w in words), F.lit(0))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Evaluate a costly value once and use it several times.
+
+    Spark shares common subexpressions only outside of conditional branches.
+    """
+    return F.transform(F.array(value), then)[0]
+
+
 def left(c: Column, n: int) -> Column:
     return F.substring(c, 1, n)
 

@@ -32,6 +32,19 @@ def query_anchors(q, stop_chars: str = V.QUESTION_STOP_CHARS, topics=None) -> Co
     return F.array_distinct(F.concat(_tokens(n, stop_chars), *_groups(n, V.ANCHOR_TOPICS if topics is None else topics)))
 
 
+def term_points(title: Column, category: Column, summary: Column, raw: Column, facts: Column):
+    """What one term earns on an item with these (normalised) texts."""
+
+    def points(term: Column) -> Column:
+        gained = (
+            F.when(F.contains(category, term) | F.contains(term, category), 12).otherwise(0) + F.when(F.contains(title, term), 8).otherwise(0)
+            + F.when(F.contains(summary, term), 4).otherwise(0) + F.when(F.contains(raw, term), 2).otherwise(0) + F.when(F.contains(facts, term), 10).otherwise(0)
+        )
+        return F.when(F.length(term) >= 2, gained).otherwise(0)
+
+    return points
+
+
 def lexical_score(terms, anchors, slug, context_slug, title, category, summary, raw, facts, prepared: bool = False) -> Column:
     """Relevance of one item for one question; prepared means the item's texts are normalised already."""
     contextual = nulls_to(col(context_slug) == col(slug), False)
@@ -40,17 +53,8 @@ def lexical_score(terms, anchors, slug, context_slug, title, category, summary,
         col(anchors), lambda a: F.contains(t, a) | F.contains(c, a) | F.contains(s, a) | F.contains(f, a)
     )
 
-    def points(acc, term):
-        gained = (
-            F.when(F.contains(c, term) | F.contains(term, c), 12).otherwise(0)
-            + F.when(F.contains(t, term), 8).otherwise(0)
-            + F.when(F.contains(s, term), 4).otherwise(0)
-            + F.when(F.contains(r, term), 2).otherwise(0)
-            + F.when(F.contains(f, term), 10).otherwise(0)
-        )
-        return acc + F.when(F.length(term) >= 2, gained).otherwise(0)
-
-    total = F.aggregate(col(terms), F.when(contextual, 100).otherwise(0), points)
+    worth = term_points(t, c, s, r, f)
+    total = F.aggregate(col(terms), F.when(contextual, 100).otherwise(0), lambda acc, term: acc + worth(term))
     return F.when(contextual | anchored, total).otherwise(F.lit(0))
 
 

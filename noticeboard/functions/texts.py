@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from . import vocab as V
 from .core import (
-    LINE_BREAK, SPACES, col, collapse, count_present, has_any, is_blank, left, round_half_up, squeeze, strip, text,
+    LINE_BREAK, SPACES, col, collapse, count_present, has_any, is_blank, left, let, round_half_up, squeeze, strip, text,
 )
 
 # ---------------------------------------------------------------- identity --
@@ -177,44 +177,40 @@ def change_summary(old_text, new_text, old_hash, new_hash) -> Column:
 
 def page_quality(c, image_ratio) -> Column:
     """Struct of ratios, label and score of one page of extracted text."""
-    raw = text(c)
-    solid = F.regexp_replace(raw, SPACES, "")
-    n_all = F.greatest(F.lit(1), F.length(raw))
-    denom = F.greatest(F.lit(1), F.length(solid))
+    raw, ratio = text(c), col(image_ratio).cast("double")
 
     def count(source: Column, cls: str) -> Column:
-        return F.length(source) - F.length(F.regexp_replace(source, cls, ""))
-
-    chinese = count(solid, "[一-鿿]")
-    valid = count(solid, r"[\p{L}\p{N}，。；：！？、（）()《》【】\[\]\-—_/:.%+]")
-    replacement = count(solid, "[�□]")
-    garbage = count(raw, "[\u0000-\u001f]") + count(solid, r"[\p{C}&&[^\x00-\x1f]]") + replacement
-    n_chars = F.length(strip(raw))
-    valid_r, chinese_r, repl_r = valid / denom, chinese / denom, replacement / denom
-    garbage_r = garbage / denom
-    space_r = (F.length(raw) - F.length(solid)) / n_all
-    ratio = col(image_ratio).cast("double")
-    thin = (ratio >= 0.35) & (n_chars < 80)
-    label = (
-        F.when((n_chars >= 12) & (valid_r >= 0.65) & (repl_r <= 0.02) & (garbage_r <= 0.08) & ~thin, "GOOD")
-        .when((n_chars >= 5) & (valid_r >= 0.4) & (repl_r <= 0.1) & (garbage_r <= 0.2), "UNCERTAIN")
-        .otherwise("POOR")
-    )
-    raw_score = (
-        F.least(F.lit(1.0), n_chars / F.lit(120.0)) * 0.25 + valid_r * 0.4 + chinese_r * 0.15
-        - repl_r * 0.5 - garbage_r * 0.4 - F.when(thin, 0.18).otherwise(0.0)
-    )
-    return F.struct(
-        label.alias("quality"),
-        raw_score.alias("raw_score"),
-        round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw_score)), 4).alias("score"),
-        n_chars.alias("text_char_count"),
-        round_half_up(chinese_r, 4).alias("valid_chinese_ratio"),
-        round_half_up(repl_r, 4).alias("replacement_char_ratio"),
-        round_half_up(space_r, 4).alias("whitespace_ratio"),
-        round_half_up(garbage_r, 4).alias("suspicious_garbage_ratio"),
-        (label != "GOOD").alias("needs_human_review"),
-    )
+        return F.length(source) - F.length(F.regexp_replace(source, cls + "+", ""))  # whole runs at a time
+
+    def measure(solid: Column) -> Column:
+        replacement = count(solid, "[\ufffd□]")
+        denom = F.greatest(F.lit(1), F.length(solid))
+        garbage = count(raw, "[\u0000-\u001f]") + count(solid, r"[\p{C}&&[^\x00-\x1f]]")
+        return F.struct(
+            F.length(strip(raw)).alias("chars"), (count(solid, r"[\p{L}\p{N}，。；：！？、（）()《》【】\[\]\-—_/:.%+]") / denom).alias("valid"),
+            (count(solid, "[一-鿿]") / denom).alias("chinese"), (replacement / denom).alias("repl"), ((garbage + replacement) / denom).alias("garbage"),
+            ((F.length(raw) - F.length(solid)) / F.greatest(F.lit(1), F.length(raw))).alias("space"), denom.alias("denom"),
+        )
+
+    def judge(m: Column) -> Column:
+        thin = (ratio >= 0.35) & (m["chars"] < 80)
+        label = (
+            F.when((m["chars"] >= 12) & (m["valid"] >= 0.65) & (m["repl"] <= 0.02) & (m["garbage"] <= 0.08) & ~thin, "GOOD")
+            .when((m["chars"] >= 5) & (m["valid"] >= 0.4) & (m["repl"] <= 0.1) & (m["garbage"] <= 0.2), "UNCERTAIN")
+            .otherwise("POOR")
+        )
+        score = (
+            F.least(F.lit(1.0), m["chars"] / F.lit(120.0)) * 0.25 + m["valid"] * 0.4 + m["chinese"] * 0.15
+            - m["repl"] * 0.5 - m["garbage"] * 0.4 - F.when(thin, 0.18).otherwise(0.0)
+        )
+        return F.struct(
+            label.alias("quality"), score.alias("raw_score"), round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"),
+            m["chars"].alias("text_char_count"), round_half_up(m["chinese"], 4).alias("valid_chinese_ratio"), round_half_up(m["repl"], 4).alias("replacement_char_ratio"),
+            round_half_up(m["space"], 4).alias("whitespace_ratio"), round_half_up(m["garbage"], 4).alias("suspicious_garbage_ratio"),
+            (label != "GOOD").alias("needs_human_review"),
+        )
+
+    return let(F.regexp_replace(raw, SPACES, ""), lambda solid: let(measure(solid), judge))
 
 
 def output_quality(source, summary, plain, key_facts, actions, faq) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import vocab as V
-from .core import any_of, col, collapse, left, strip, text
+from .core import col, collapse, left, strip, text
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:@]+)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -117,7 +117,3 @@ def account_hints(html, page_host, shared_host: str = V.ACCOUNT_HOST, patterns:
             found.append(F.nullif(value, F.lit("")))
         fields.append(F.when(on_host, F.coalesce(*found)).alias(name))
     return F.struct(*fields)
-
-
-def any_host(host_col: Column, hosts: list[str]) -> Column:
-    return any_of((host_col == h) | F.endswith(host_col, F.lit("." + h)) for h in hosts)

@@ -47,39 +47,59 @@ def understand(questions: DataFrame, stop_chars: str = V.QUESTION_STOP_CHARS, ca
     })
 
 
+def _with_points(items: DataFrame, terms: DataFrame, unrolled: int = 400) -> DataFrame:
+    """Adds points (term -> points on this item) when the questions share few different terms, else null.
+
+    What a term earns on an item does not depend on the question, so it is counted
+    once per item instead of once per pair.
+    """
+    few = [r[0] for r in terms.select(F.explode("terms").alias("t")).distinct().limit(unrolled + 1).collect()]
+    if len(few) > unrolled:
+        return items.withColumn("_points", F.lit(None).cast("map<string,int>"))
+    words = F.array(*[F.lit(w) for w in sorted(few)]).cast("array<string>")
+    worth = Q.term_points(*[F.col(f"_n_{c}") for c in _TEXTS])
+    return items.withColumn("_points", F.map_from_entries(F.filter(
+        F.transform(words, lambda w: F.struct(w.alias("w"), worth(w).alias("p"))), lambda e: e["p"] > 0
+    )))
+
+
 def retrieve(understood: DataFrame, items: DataFrame, n: int = 3, same_region: bool = False) -> DataFrame:
     """Best n items per question: score, then newest, then slug.
 
-    Only an item one of the question's anchors occurs in (or the page the question
-    was asked on) can score, so questions and items meet in an equi join on
-    (anchor).  A pair is kept at its first shared anchor only, scored on the spot and
-    cut to n per question before any shuffle of pairs; a hot anchor is a skewed join
-    key, which adaptive execution splits.
+    Questions with the same terms, anchors and page are answered once.  Only an item
+    one of the anchors occurs in (or the page the question was asked on) can score, so
+    questions and items meet in an equi join on (anchor).  A pair is kept at its first
+    shared anchor only, scored on the spot and cut to n per question before any
+    shuffle of pairs; texts are fetched for the winners only.
     """
+    profile = ["terms", "anchors", "context_slug", *(["region_code"] if same_region else [])]
     q = understood.withColumn("anchors", F.filter("anchors", lambda a: a != ""))
-    kept = [c for c in items.columns if c != "region_code"]
+    q = q.withColumn("_profile", F.sha2(F.to_json(F.struct(*profile), {"ignoreNullFields": "false"}), 256))
+    distinct = q.groupBy("_profile").agg(*[F.any_value(c).alias(c) for c in profile])
     # texts are normalised once per item, not once per pair
-    items = items.withColumns({f"_n_{c}": normalize(c) for c in _TEXTS})
-    exploded = q.select("question_id", "anchors", "terms", "context_slug", F.explode("anchors").alias("anchor"), *(["region_code"] if same_region else []))
+    ready = _with_points(items.withColumns({f"_n_{c}": normalize(c) for c in _TEXTS}), distinct)
+    exploded = distinct.select("*", F.explode("anchors").alias("anchor"))
     hits = item_anchors(items, exploded)
-    marked = items.join(hits.groupBy("slug").agg(F.array_sort(F.collect_set("anchor")).alias("item_anchors")), "slug")
-    side = marked.select("*", F.explode("item_anchors").alias("anchor"))
-    if same_region:
-        side = side.withColumnRenamed("region_code", "item_region")
+    marked = ready.join(hits.groupBy("slug").agg(F.array_sort(F.collect_set("anchor")).alias("item_anchors")), "slug")
+    # texts travel with a pair only when points could not be counted beforehand
+    texts = [F.when(F.col("_points").isNull(), F.col(f"_n_{c}")).alias(f"_n_{c}") for c in _TEXTS]
+    slim = ["slug", "published_at", "_points", *texts, *([F.col("region_code").alias("item_region")] if same_region else [])]
+    side = marked.select(*slim, "item_anchors", F.explode("item_anchors").alias("anchor"))
     pairs = exploded.join(side, "anchor")
     if same_region:
         pairs = pairs.where(F.col("region_code") == F.col("item_region"))
     first = F.try_element_at(F.filter("anchors", lambda a: F.array_contains("item_anchors", a)), F.lit(1))
     pairs = pairs.where(first == F.col("anchor")).where(~nulls_to(F.col("context_slug") == F.col("slug"), False))
-    asked_on = q.where("context_slug is not null").select("question_id", "anchors", "terms", "context_slug").join(
-        items.withColumn("context_slug", F.col("slug")), "context_slug"
-    )
-    cols = ["question_id", "terms", "anchors", "context_slug", *[c for c in items.columns if c != "region_code"]]
-    score = Q.lexical_score("terms", "anchors", "slug", "context_slug", *[f"_n_{c}" for c in _TEXTS], prepared=True)
+    asked_on = distinct.where("context_slug is not null").join(ready.select("slug", "published_at", "_points", *texts).withColumn("context_slug", F.col("slug")), "context_slug")
+    cols = ["_profile", "terms", "anchors", "context_slug", "slug", "published_at", "_points", *[f"_n_{c}" for c in _TEXTS]]
+    counted = F.aggregate("terms", F.when(nulls_to(F.col("context_slug") == F.col("slug"), False), 100).otherwise(0), lambda acc, t: acc + nulls_to(F.col("_points")[t], 0))
+    direct = Q.lexical_score("terms", "anchors", "slug", "context_slug", *[f"_n_{c}" for c in _TEXTS], prepared=True)
     scored = pairs.select(*cols).unionByName(asked_on.select(*cols)).select(
-        "question_id", "terms", "context_slug", *kept, score.alias("score")
+        "_profile", "slug", "published_at", F.when(F.col("_points").isNotNull(), counted).otherwise(direct).alias("score")
     ).where("score > 0")
-    return top_per_key(scored, ["question_id"], [F.desc("score"), F.desc("published_at"), F.col("slug")], n, "citation")
+    best = top_per_key(scored, ["_profile"], [F.desc("score"), F.desc("published_at"), F.col("slug")], n, "citation")
+    answered = q.select("question_id", "terms", "context_slug", "_profile").join(best.drop("published_at"), "_profile").drop("_profile")
+    return answered.join(items.drop("region_code"), "slug")
 
 
 def with_quotes(retrieved: DataFrame, max_length: int = 500) -> DataFrame:
