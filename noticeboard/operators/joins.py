@@ -142,31 +142,29 @@ def new_documents(incoming: DataFrame, existing: DataFrame, order: list[str]) ->
 
 
 def locate_quotes(
-    facts: DataFrame, segments: DataFrame, fact_id: str = "fact_id", doc: str = "doc_id", gram: int = 8,
+    facts: DataFrame, segments: DataFrame, fact_id: str = "fact_id", doc: str = "doc_id", gram: int = 8, tested: int = 200,
 ) -> DataFrame:
     """First segment (page_no, segment_no) of the document containing the quote.
 
     Exact, else ignoring white space; located_quote is the original substring of
     the segment.  Facts without a match are dropped.
 
-    A quote can only be inside a segment that has the quote's first `gram`
-    characters (white space ignored), so facts meet segments in an equi join on
-    (document, gram): no fact x segment product inside a document.  Shorter quotes
-    use their own length.
+    Documents with up to `tested` different quote beginnings bring them to their
+    segments, which keep those they contain.  Documents with more of them meet their
+    segments in an equi join on (document, first `gram` characters), so there is no
+    fact x segment product inside a document of any size.
     """
     f = facts.withColumn("_q", squeeze("source_quote")).where("_q <> ''").withColumn("_g", F.substring("_q", 1, gram))
     s = segments.select(doc, "segment_id", "page_no", "segment_no", F.col("text").alias("_seg"), squeeze("text").alias("_sq"))
-
-    def pieces(n: int):
-        # every substring of n characters, overlapping, in one linear scan
-        return F.array_distinct(F.regexp_extract_all("_sq", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-
-    grams = s.select(doc, "segment_id", F.explode(pieces(gram)).alias("_g"))
-    # short quotes: pieces of just the lengths in use (fewer than gram of them)
-    used = [r[0] for r in f.where(F.length("_q") < gram).select(F.length("_q")).distinct().collect()]
-    for n in used:
-        grams = grams.unionByName(s.select(doc, "segment_id", F.explode(pieces(n)).alias("_g")))
-    pairs = f.select(fact_id, doc, "_g").join(grams, [doc, "_g"]).select(fact_id, doc, "segment_id")
+    heads = f.select(doc, "_g").distinct()
+    size = heads.groupBy(doc).agg(F.count("*").alias("_n"))
+    few, many = size.where(F.col("_n") <= tested).select(doc), size.where(F.col("_n") > tested).select(doc)
+    listed = heads.join(few, doc).groupBy(doc).agg(F.collect_list("_g").alias("_heads"))
+    found = s.select(doc, "segment_id", "_sq").join(listed, doc).select(
+        doc, "segment_id", F.explode(F.filter("_heads", lambda h: F.contains(F.col("_sq"), h))).alias("_g")
+    )
+    found = found.unionByName(_gram_hits(f.join(many, doc, "left_semi"), s.join(many, doc, "left_semi"), doc, gram))
+    pairs = f.select(fact_id, doc, "_g").join(found, [doc, "_g"]).select(fact_id, doc, "segment_id")
     checked = (
         pairs.join(f.select(fact_id, "_q", F.col("source_quote").alias("_quote")), fact_id)
         .join(s, [doc, "segment_id"]).where(F.contains("_sq", "_q"))
@@ -176,6 +174,18 @@ def locate_quotes(
     return facts.join(located, fact_id)
 
 
+def _gram_hits(f: DataFrame, s: DataFrame, doc: str, gram: int) -> DataFrame:
+    """(doc, segment_id, _g): segments with a quote beginning, by the pieces of their text."""
+
+    def pieces(n: int):
+        # every substring of n characters, overlapping, in one linear scan
+        return F.array_distinct(F.regexp_extract_all("_sq", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+    # short quotes are looked up by their own length
+    grams = s.select(doc, "segment_id", F.explode(F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, gram + 1)])))).alias("_g"))
+    return grams.join(f.select(doc, "_g").distinct(), [doc, "_g"], "left_semi")
+
+
 def original_span(segment, quote, squeezed) -> Column:
     """The quote itself when contained, else the original characters it covers in the segment.
 

@@ -8,7 +8,7 @@ from ..functions import extract as E
 from ..operators import aggregates as A, facts as X, joins as J, ranking as W, structure as S
 from ..sources.tables import load
 from .registry import query
-from .textual import LINES, any_, cn_date, sq, strip
+from .textual import _Q, LINES, any_, cn_date, sq, strip
 
 CN = "strftime(o_orderdate, '%Y') || '年' || cast(month(o_orderdate) AS string) || '月' || cast(day(o_orderdate) AS string) || '日'"
 
@@ -42,13 +42,17 @@ def repeated_edges(spark, d):
     return out.select("doc_id", "page_no", F.length("text").alias("chars")).join(once.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi")
 
 
-@query("page_choice")
+_CHOICE_SQL = _Q.replace("CASE lang WHEN 'de' THEN 0.5::double ELSE 0.1::double END", "0.1::double")
+
+
+@query("page_choice", f"""WITH {_CHOICE_SQL}, o AS (SELECT *, lang IN ('de','es') AS alt, floor(greatest(0.0::double, least(1.0::double, raw_score))*10000.0::double+0.5::double)/10000.0::double AS sc FROM z)
+SELECT doc_id, CASE WHEN alt AND quality<>'POOR' THEN 'OCR' ELSE 'TEXT_LAYER' END AS chosen_source, quality, CASE WHEN alt AND quality='POOR' THEN 0.0::double ELSE sc END AS score FROM o""")
 def page_choice(spark, d):
-    """Own text or alternative text per page (a chain of rounded ratios; checked by unit tests)."""
+    """Pages in two languages have no text of their own and take the alternative, unless it is poor."""
     pages = load(spark, d, "documents").select(
         "doc_id", F.lit(1).alias("page_no"), F.when(F.col("lang").isin("de", "es"), "").otherwise(F.col("text")).alias("text"), F.col("text").alias("alt_text"), F.lit(0.1).alias("image_ratio")
     )
-    return S.choose_page_text(pages).select("doc_id", "page_no", "chosen_source", "quality", "score", F.length("chosen_text").alias("chars"))
+    return S.choose_page_text(pages).select("doc_id", "chosen_source", "quality", "score")
 
 
 @query("segment_offsets", f"WITH {_LINES_SQL}, c0 AS (SELECT doc_id, page_no, 'p' || cast(page_no AS string) || ' ' || text AS t, count(*) OVER (PARTITION BY doc_id) AS n FROM l), c AS (SELECT * FROM c0 WHERE NOT (n=3 AND length(t)<100)) SELECT doc_id, page_no, cast(coalesce(sum(length(t)+1) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS start_offset FROM c")

@@ -38,8 +38,9 @@ def test_traces(spark):
 def test_locate_quotes(spark):
     s = segs(spark, "first page text here", "the  quoted\nwords are on page two", "the quoted words again").withColumn("segment_no", F.lit(1))
     f = spark.createDataFrame([(1, 1, "the quoted words"), (1, 2, "page"), (1, 3, "nowhere to be found"), (1, 4, "ho")], "doc_id long, fact_id long, source_quote string")
-    got = {r.fact_id: (r.located_segment, r.located_quote) for r in J.locate_quotes(f, s).collect()}
-    assert got == {1: (2, "the  quoted\nwords"), 2: (1, "page")}
+    for tested in (200, 1):  # few and many beginnings per document
+        got = {r.fact_id: (r.located_segment, r.located_quote) for r in J.locate_quotes(f, s, tested=tested).collect()}
+        assert got == {1: (2, "the  quoted\nwords"), 2: (1, "page")}, tested
 
 
 def test_temporal_completion_is_done_once(spark):
