@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import nulls_to
@@ -41,7 +42,43 @@ def _usage(df: DataFrame, capacities: list[Capacity], order: list[str], **flags:
     return totals_over_blocks(df, [F.col(c) for c in order], groups)
 
 
-def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str], amount: Column, eligible: Column, max_rounds: int | None = None) -> DataFrame:
+def _walk_tail(rows: DataFrame, capacities: list[Capacity], order: list[str]) -> DataFrame:
+    """(order, _fits) of a bounded number of open rows, one after the other.
+
+    What decided rows use before each row is known, so only the open rows among
+    themselves are followed.
+    """
+    names = [c.name for c in capacities]
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        used: dict[tuple, list[int]] = {}
+        fits = []
+        for row in frame.to_dict("records"):
+            amount, places, ok = row["_amount"], [], True
+            for n in names:
+                seen = used.setdefault((n, row[f"{n}_key"]), [0, 0])
+                places.append(seen)
+                rows_limit, most = row[f"_{n}_rows"], row[f"_{n}_amount"]
+                ok = ok and not (rows_limit >= 0 and row[f"{n}_lo_n"] + seen[0] >= rows_limit)
+                ok = ok and not (most >= 0 and row[f"{n}_lo_s"] + seen[1] + amount > most)
+            if ok:
+                for seen in places:
+                    seen[0] += 1
+                    seen[1] += amount
+            fits.append(ok)
+        return frame[order].assign(_fits=fits)
+
+    types = dict(rows.dtypes)
+    slim = rows.select(
+        *order, "_amount", *[F.to_json(F.struct(*c.keys), {"ignoreNullFields": "false"}).alias(f"{c.name}_key") for c in capacities],
+        *[F.col(f"{n}_lo_{m}") for n in names for m in ("n", "s")],
+        *[nulls_to(F.col(f"_{n}_{m}"), -1).cast("bigint").alias(f"_{n}_{m}") for n in names for m in ("rows", "amount")],
+    )
+    return slim.groupBy().applyInPandas(walk, ", ".join(f"{c} {types[c]}" for c in order) + ", _fits boolean")
+
+
+def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str], amount: Column, eligible: Column, tail_rows: int = 5000) -> DataFrame:
     """First come, first served admission under several shared limits at once.
 
     A row is admitted when it is eligible and, for every capacity, the *admitted*
@@ -64,7 +101,7 @@ def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str],
     # rows that cannot be admitted use nothing up; blocks are cut once, only states change between rounds
     open_ = slim.where(nulls_to(F.col("_ok"), False)).drop("_ok").withColumn("_state", F.lit("?"))
     state = in_blocks(open_, {f"_at_{c.name}": list(c.keys) for c in capacities}, [F.col(c) for c in order])
-    cols, rounds = state.columns, 0
+    cols = state.columns
     while True:
         step = _usage(state, capacities, order, lo=F.col("_state") == "yes", hi=F.col("_state") != "no")
         fits, never = F.lit(True), F.lit(False)
@@ -79,11 +116,15 @@ def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str],
         undecided = F.col("_state") == "?"
         decided = F.when(undecided & fits, "yes").when(undecided & never, "no").otherwise(F.col("_state"))
         state = materialise(step.withColumn("_state", decided).select(*cols))
-        rounds += 1
-        if state.where("_state = '?'").isEmpty():
+        left = state.where("_state = '?'").limit(tail_rows + 1).count()
+        if 0 < left <= tail_rows:
+            walked = _walk_tail(_usage(state, capacities, order, lo=F.col("_state") == "yes").where("_state = '?'"), capacities, order)
+            state = state.join(walked, order, "left").withColumn(
+                "_state", F.when(F.col("_state") != "?", F.col("_state")).when(F.col("_fits"), "yes").otherwise("no")
+            ).select(*cols)
+            break
+        if left == 0:
             break
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError("rows are still undecided")
     admitted = state.where("_state = 'yes'").select(*order, F.lit(True).alias("_yes"))
     every = slim.drop("_ok").join(admitted, order, "left").withColumn("_state", F.when(F.col("_yes"), "yes").otherwise("no")).drop("_yes")
     every = in_blocks(every, {f"_at_{c.name}": list(c.keys) for c in capacities}, [F.col(c) for c in order])
@@ -96,7 +137,7 @@ def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str],
 
 def reserve_budget(
     requests: DataFrame, sources: DataFrame, global_articles: int = 0, global_tokens: int = 0, max_chars: int = 12000, per_task: int = 0,
-    zone: str | None = None, reserved: DataFrame | None = None,
+    zone: str | None = None, reserved: DataFrame | None = None, tail_rows: int = 5000,
 ) -> DataFrame:
     """Ordered decisions on processing requests, each with the reason and the time it may be looked at again.
 
@@ -123,7 +164,7 @@ def reserve_budget(
     if global_articles > 0 or global_tokens > 0:
         caps.append(Capacity("all", ("budget_date",), rows=F.lit(global_articles), amount=F.lit(global_tokens)))
     caps.append(Capacity("source", ("budget_date", "source_id"), rows=F.col("daily_article_budget"), amount=F.col("daily_token_budget")))
-    out = admit_in_order(r, caps, ["created_at", "queue_id"], F.col("estimated_tokens"), ~F.col("_long") & ~F.col("_seen") & ~F.col("_unapproved"))
+    out = admit_in_order(r, caps, ["created_at", "queue_id"], F.col("estimated_tokens"), ~F.col("_long") & ~F.col("_seen") & ~F.col("_unapproved"), tail_rows)
 
     def exhausted(name, rows, amount):
         full = F.when((rows > 0) & (F.col(f"{name}_n") >= rows), "BUDGET_ARTICLES")

@@ -46,9 +46,10 @@ def test_matches_a_plain_loop(spark):
          T0 + dt.timedelta(hours=rnd.randrange(60), minutes=i))
         for i in range(60)
     ]
-    for limits in ((5, 0, 200, 4), (0, 150, 200, 0)):
-        out = B.reserve_budget(spark.createDataFrame(rows, REQ), spark.createDataFrame([(k, *v) for k, v in sources.items()], SRC), *limits)
-        assert {r.queue_id: r.reason_code for r in out.collect()} == loop(rows, sources, *limits), limits
+    # rounds only, rounds with a walked tail, everything open walked
+    for limits, tail in (((5, 0, 200, 4), 0), ((5, 0, 200, 4), 8), ((0, 150, 200, 0), 5000), ((9, 200, 100, 5), 5000)):
+        out = B.reserve_budget(spark.createDataFrame(rows, REQ), spark.createDataFrame([(k, *v) for k, v in sources.items()], SRC), *limits, tail_rows=tail)
+        assert {r.queue_id: r.reason_code for r in out.collect()} == loop(rows, sources, *limits), (limits, tail)
 
 
 def test_next_local_day_resets(spark):
