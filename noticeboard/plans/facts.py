@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as E
 from ..operators import aggregates as A, facts as X, joins as J, ranking as W, structure as S
-from ..sources.tables import load
+from ..sources.tables import load, spread
 from .registry import query
 from .textual import _Q, LINES, any_, cn_date, sq, strip
 
@@ -14,7 +14,8 @@ CN = "strftime(o_orderdate, '%Y') || '年' || cast(month(o_orderdate) AS string)
 
 
 def orders(spark, d):
-    return load(spark, d, "orders")
+    """Texts are made of the orders here: pattern work, so a small table is dealt out to the cores."""
+    return spread(load(spark, d, "orders"))
 
 
 def order_segments(spark, d, text, extra=()):
@@ -212,7 +213,7 @@ def news_facts(spark, d):
 def line_facts(spark, d):
     """Facts about order lines: the quote comes from the order's text with other white space."""
     n = F.col("l_linenumber")
-    return load(spark, d, "lineitem").select(
+    return spread(load(spark, d, "lineitem")).select(
         F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") * 10 + n).alias("fact_id"), F.when(n == 1, "START_DATE").otherwise("CONTACT").alias("field_type"), F.lit("label").alias("label"),
         F.when(n == 5, "99999").otherwise(F.col("l_orderkey").cast("string")).alias("value"),
         F.when(n == 4, "not in the text").otherwise(F.concat(F.lit("order"), F.col("l_orderkey").cast("string"), F.lit("of 7"))).alias("source_quote"),
@@ -278,7 +279,7 @@ def raw_facts(spark, d):
         F.when(n == 1, F.concat(F.lit('{"field_type":"phone","value":"'), F.col("l_partkey").cast("string"), F.lit('"}')))
         .when(n == 2, '{"field_type":"FEE","value":"1","extra":true}').when(n == 3, '{"field_type":"NOPE"}').when(n == 4, "[1]").otherwise('{"field_type":"LOCATION","value":"x"}')
     )
-    return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), n.alias("pos"), body.alias("raw"))
+    return spread(load(spark, d, "lineitem")).select(F.col("l_orderkey").alias("doc_id"), n.alias("pos"), body.alias("raw"))
 
 
 @query("repaired_facts", "SELECT l_orderkey AS doc_id, l_linenumber AS pos, CASE l_linenumber WHEN 1 THEN 'CONTACT' WHEN 2 THEN 'FEE' ELSE 'LOCATION' END AS field_type, CASE l_linenumber WHEN 1 THEN cast(l_partkey AS string) WHEN 2 THEN '1' ELSE 'x' END AS value FROM lineitem WHERE l_linenumber NOT IN (3,4)")
