@@ -223,7 +223,7 @@ def line_facts(spark, d):
 
 def order_text(spark, d):
     text = F.concat(F.lit("see order "), F.col("o_orderkey").cast("string"), F.lit("\nof 7 made by "), F.col("o_custkey").cast("string"))
-    return orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("segment_id"), F.lit(1).alias("page_no"), F.lit(1).alias("segment_no"), text.alias("text"))
+    return load(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("segment_id"), F.lit(1).alias("page_no"), F.lit(1).alias("segment_no"), text.alias("text"))
 
 
 _REASON_SQL = "CASE l_linenumber WHEN 2 THEN 'segment_not_found' WHEN 3 THEN 'page_mismatch' WHEN 4 THEN 'source_quote_not_found' WHEN 5 THEN (CASE WHEN l_orderkey=99999 THEN NULL ELSE 'numeric_mismatch' END) END"
@@ -245,7 +245,7 @@ def located_quotes(spark, d):
     """Quotes with other white space find their original characters; wrong ones are dropped."""
     by = F.col("o_custkey").cast("string")
     quote = F.when(F.col("o_orderstatus") == "P", "nobody at all").when(F.col("o_orderstatus") == "F", F.concat(F.lit("made  by\n"), by)).otherwise(F.concat(F.lit("made by "), by))
-    facts = orders(spark, d).select(F.col("o_orderkey").alias("fact_id"), F.col("o_orderkey").alias("doc_id"), quote.alias("source_quote"))
+    facts = load(spark, d, "orders").select(F.col("o_orderkey").alias("fact_id"), F.col("o_orderkey").alias("doc_id"), quote.alias("source_quote"))
     return J.locate_quotes(facts, order_text(spark, d)).select("fact_id", "located_quote")
 
 
