@@ -142,12 +142,12 @@ def facts_digests(spark, d):
     return R.facts_digest(line_fields(spark, d))
 
 
-@query("answer_quality", f"""WITH a AS (SELECT conv_id, turn, text || CASE turn%3 WHEN 0 THEN ' [1] [2]' WHEN 1 THEN ' [9]' ELSE '' END AS t, length(regexp_replace(text, '[\\t\\n\\x0B\\f\\r ]+', '', 'g')) AS n FROM conversations WHERE role='assistant' AND NOT regexp_matches(text, '\\[[0-9]+\\]|[\\x{{85}}\\x{{A0}}\\x1C-\\x1F]|[^\\x00-\\x{{24F}}]'))
+@query("answer_quality", f"""WITH a AS (SELECT conv_id, turn, text || CASE turn%3 WHEN 0 THEN ' [1] [2]' WHEN 1 THEN ' [9]' ELSE '' END AS t, length(regexp_replace(text, '[\\t\\n\\x0B\\f\\r ]+', '', 'g')) AS n FROM conversations WHERE role='assistant')
 SELECT conv_id, turn, length(t)<180 AND ({_has('lower(t)', ['tionen', 'elle'])}) AS weak, turn%3=0 AS valid, CASE WHEN contains(t,'zu') THEN 'safety' WHEN n+CASE turn%3 WHEN 0 THEN 6 WHEN 1 THEN 3 ELSE 0 END>=250 AND length(t)%2=1 THEN 'rich' WHEN n+CASE turn%3 WHEN 0 THEN 6 WHEN 1 THEN 3 ELSE 0 END<100 THEN 'short' ELSE 'normal' END AS quality FROM a""")
 def answer_quality(spark, d):
     """Failure phrases of short answers, and whether every [n] names one of the two citations."""
     k = F.col("turn") % 3
-    a = TURNS(spark, d).where("role = 'assistant'").where(~F.rlike("text", F.lit(r"\[[0-9]+\]|[\x{85}\x{A0}\x1C-\x1F]|[^\x00-\x{24F}]")))
+    a = TURNS(spark, d).where("role = 'assistant'")
     a = a.withColumn("t", F.concat("text", F.when(k == 0, " [1] [2]").when(k == 1, " [9]").otherwise("")))
     q = Q.citation_quality("t", F.lit(2), F.when(F.length("t") % 2 == 1, 3).otherwise(0), F.contains("t", F.lit("zu")))
     return a.select("conv_id", "turn", Q.weak_answer("t", ["tionen", "elle"]).alias("weak"), q["valid"].alias("valid"), q["quality"].alias("quality"))

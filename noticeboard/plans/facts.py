@@ -34,13 +34,12 @@ def doc_lines(spark, d):
 _LINES_SQL = f"""l0 AS (SELECT doc_id, lang, unnest(string_split(text, E'\\n')) AS text, generate_subscripts(string_split(text, E'\\n'), 1) AS page_no FROM documents), l AS (SELECT * FROM l0 WHERE {sq('text')}<>'')"""
 
 
-@query("repeated_edges", f"WITH {_LINES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, count(*) OVER (PARTITION BY doc_id, text) AS same FROM l) SELECT doc_id, page_no, length(CASE WHEN n>=3 THEN trim(text) ELSE 'head of ' || lang || E'\\n' || text || E'\\nfoot' END) AS chars FROM n WHERE same=1 AND NOT contains(text, E'\\r')")
+@query("repeated_edges", f"WITH {_LINES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM l) SELECT doc_id, page_no, length(CASE WHEN n>=3 THEN trim(text) ELSE 'head of ' || lang || E'\\n' || text || E'\\nfoot' END) AS chars FROM n")
 def repeated_edges(spark, d):
     """A common first and last line is taken off documents of three or more pages."""
     pages = doc_lines(spark, d).withColumn("text", F.concat(F.lit("head of "), "lang", F.lit("\n"), "text", F.lit("\nfoot")))
-    once = doc_lines(spark, d).where(~F.contains("text", F.lit("\r"))).groupBy("doc_id", "text").agg(F.min("page_no").alias("page_no"), F.count("*").alias("n")).where("n = 1")
     out = A.strip_repeated_edges(pages.select("doc_id", "page_no", "text"))
-    return out.select("doc_id", "page_no", F.length("text").alias("chars")).join(once.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi")
+    return out.select("doc_id", "page_no", F.length("text").alias("chars"))
 
 
 _CHOICE_SQL = _Q.replace("CASE lang WHEN 'de' THEN 0.5::double ELSE 0.1::double END", "0.1::double")
@@ -200,11 +199,10 @@ def guide_digests(spark, d):
     return q.select("o_orderkey", "g.plain_text", F.size("g.summary").alias("summary_lines"))
 
 
-@query("news_facts", f"""WITH {_LINES_SQL}, s AS (SELECT doc_id, page_no, {strip('text')} AS t FROM l WHERE {strip('text')}<>'' AND NOT contains(text, E'\\r') AND NOT regexp_matches(text, '[。！？]')),
-ok AS (SELECT doc_id FROM documents WHERE NOT contains(text, E'\\r') AND NOT regexp_matches(text, '[。！？]')), w AS (SELECT doc_id, count(*) AS n FROM s WHERE contains(t, 'quement') OR contains(t, 'ungen') GROUP BY 1), v AS (SELECT DISTINCT doc_id FROM s WHERE contains(t,'tion'))
+@query("news_facts", f"""WITH {_LINES_SQL}, s AS (SELECT doc_id, page_no, {strip('text')} AS t FROM l WHERE {strip('text')}<>''), ok AS (SELECT doc_id FROM documents), w AS (SELECT doc_id, count(*) AS n FROM s WHERE contains(t, 'quement') OR contains(t, 'ungen') GROUP BY 1), v AS (SELECT DISTINCT doc_id FROM s WHERE contains(t,'tion'))
 SELECT ok.doc_id, CASE WHEN w.n>0 THEN 'WARNING' ELSE 'SERVICE_TIME' END AS field_type, coalesce(w.n, 1) AS n FROM ok LEFT JOIN w USING (doc_id) LEFT JOIN v USING (doc_id) WHERE w.n>0 OR v.doc_id IS NOT NULL""")
 def news_facts(spark, d):
-    docs = load(spark, d, "documents").where(~F.contains("text", F.lit("\r")) & ~F.rlike("text", F.lit("[。！？]")))
+    docs = load(spark, d, "documents")
     f = docs.select("doc_id", F.inline(E.news_facts(E.news_sentences("text"), ["quement", "ungen"], ["tion"])))
     return f.groupBy("doc_id", "field_type").agg(F.count("*").alias("n"))
 
