@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import cut, ensure_checkpoints
 
-_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no disk reserved in advance
+}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -42,9 +45,9 @@ def _streamed(slim: DataFrame, folder: str, files_per_trigger: int) -> DataFrame
     stream = spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/arrivals")
     schema = seen_state(slim).schema
     spark.createDataFrame([], schema).write.parquet(f"{folder}/changes/batch=-1")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, _PROVIDER)
+    before = {name: spark.conf.get(name, None) for name in _STORE}
+    for name, value in _STORE.items():
+        spark.conf.set(name, value)
     try:
         query = (
             seen_state(stream).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
@@ -52,7 +55,8 @@ def _streamed(slim: DataFrame, folder: str, files_per_trigger: int) -> DataFrame
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     # counts only grow, so the row with the largest count is the last state of its digest
     changes = spark.read.schema(schema).parquet(f"{folder}/changes")
     return changes.groupBy("digest").agg(F.max(F.struct("n", "stay", "locator")).alias("_m")).select("digest", "_m.stay", "_m.locator", "_m.n")
