@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 U = np.uint64
@@ -109,7 +110,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         if not batch.num_rows:
             continue
         array = batch.column(column)
-        sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(array), 0), np.int64)
+        sizes = np.array(pc.fill_null(pc.binary_length(array), 0), np.int64)
         run = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
         for a, z in zip(cuts, cuts[1:]):
