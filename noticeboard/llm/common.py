@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 U = np.uint64
 PIECE_BYTES = 1 << 20  # texts handled together in one step; a longer text is a step of its own
@@ -63,7 +63,7 @@ class Spans:
 class Texts:
     """Some rows of an Arrow batch: rows (slice of the batch), buffer and offsets of the texts."""
 
-    def __init__(self, rows: pa.RecordBatch, column: str):
+    def __init__(self, rows: pa.RecordBatch, column: str | int):
         self.rows = rows
         array = rows.column(column)
         array = (array if array.null_count == 0 else array.fill_null("")).cast(pa.large_string())
@@ -104,7 +104,7 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[Texts]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = PIECE_BYTES) -> Iterator[Texts]:
     """The rows of all batches in runs of bounded bytes."""
     for batch in batches:
         if not batch.num_rows:
@@ -150,9 +150,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_key() -> Column:
-    """With doc_id it names a row; rows that agree in both have the same text for all purposes here."""
-    return F.xxhash64("text")
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores added until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:

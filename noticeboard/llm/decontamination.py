@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import LOWER, Spans, Texts, U, Words, pieces, ranges
+from .common import LOWER, Spans, Texts, U, Words, pieces, ranges, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -151,15 +151,16 @@ def search(docs: DataFrame, benchmark: DataFrame, items_per_pass: int = 20_000,
     items = benchmark.select("item_id", F.lower(F.col("text").cast("string")).alias("text"))
     blocks = max(1, -(-items.count() // items_per_pass))
     hit = StructType().add("item_id", benchmark.schema["item_id"].dataType).add("start", "long").add("n_words", "integer").add("similarity", "double")
+    whole_name = unused("_whole", docs)
     kind = to_arrow_type(ArrayType(hit))
-    rows = docs.select(F.lower(F.col("text").cast("string")).alias("_whole"), *[F.col(c) for c in keep], F.lit(None).cast(ArrayType(hit)).alias(column))
+    rows = docs.select(F.lower(F.col("text").cast("string")).alias(whole_name), *[F.col(c) for c in keep], F.lit(None).cast(ArrayType(hit)).alias(column))
     for block in range(blocks):
         chosen = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         shared = docs.sparkSession.sparkContext.broadcast(Index(chosen.toArrow()))
-        schema = (rows if block + 1 < blocks else rows.drop("_whole")).schema
+        schema = (rows if block + 1 < blocks else rows.drop(whole_name)).schema
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, names=schema.names) -> Iterator[pa.RecordBatch]:
-            for texts in pieces(batches, "_whole"):
+            for texts in pieces(batches, 0):
                 whole, *rest, before = texts.rows.columns
                 found = shared.value.search(texts)
                 if before.null_count < len(before):  # an earlier block of items found some
@@ -179,4 +180,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_per_pass: int = 20
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no benchmark item, all columns."""
-    return search(docs, benchmark).where(F.size("_hits") == 0).select(*docs.columns)
+    name = unused("_hits", docs)
+    return search(docs, benchmark, column=name).where(F.size(name) == 0).select(*docs.columns)

@@ -114,7 +114,7 @@ def dedup(
 def kept_documents(docs: DataFrame, text: str = "text", identifier: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, all columns; exactly one row of every group of equal texts."""
     stays = dedup(docs, text, identifier).where("kept").select(F.col("id").alias("_id"), F.col("sha256").alias("_sha"))
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
-    same = keyed.join(stays, (F.col("_key") == F.col("_sha")) & F.col(identifier).eqNullSafe(F.col("_id")))
-    one = same.withColumn("_rn", F.row_number().over(Window.partitionBy("_key", identifier).orderBy(F.lit(1))))
-    return one.where("_rn = 1").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(identifier).alias("_own"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("_key"))
+    same = keyed.join(stays, (F.col("_key") == F.col("_sha")) & F.col("_own").eqNullSafe(F.col("_id")))
+    one = same.withColumn("_rn", F.row_number().over(Window.partitionBy("_key", "_own").orderBy(F.lit(1))))
+    return one.where("_rn = 1").select("_row.*")

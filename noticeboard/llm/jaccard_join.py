@@ -1,8 +1,8 @@
-"""N-gram Jaccard join: links between documents whose shingle sets have a Jaccard similarity of at least 0.9, by prefix trees.
+"""N-gram Jaccard join: links between documents whose shingle sets are similar enough, by prefix trees.
 
 Equal sets form one class.  All sets are ordered globally, rare shingles first (by a count sketch of fixed size, then by hash; any total
-order gives the same links).  Two sets that link share a shingle among the first n - ceil(0.9 n) + 1 of each, so classes meet under
-such a shingle.  The sets that meet are stored in a trie: sorted, so that neighbours share a path, with the overlap of a path counted
+order gives the same links).  Two sets that link share a shingle among the first n - ceil(s n) + 1 of each, s being
+the least similarity, so classes meet under such a shingle.  The sets that meet are stored in a trie: sorted, so that neighbours share a path, with the overlap of a path counted
 once for all sets below it.  A query leaves a subtree when more of its path is missing than the longest set in the block may miss.
 
 Groups of any size are dealt out in blocks of bounded size, and only links that connect something new leave a block, so no task holds a
@@ -20,13 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Spans, Texts, U, components, cut, mix, pieces
 
-NGRAM = 3
-PERCENT = 90
 SKETCH = 1 << 18  # counters of the sketch, whatever the input
 BLOCK = 256  # classes of one block
 
 
-def shingle_sets(texts: Texts, ngram: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: Texts, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of all texts, sorted within each, and their offsets; shorter texts are one shingle, texts without words none."""
     words = texts.words(lower=True)
     spans = Spans(words.hash)
@@ -52,18 +50,18 @@ def class_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix((sums[offsets[1:]] - sums[offsets[:-1]]) ^ mix(sizes.astype(U) + U(1))).view(np.int64)
 
 
-def at_least(size: np.ndarray | int, percent: int = PERCENT):
+def at_least(size: np.ndarray | int, percent: int):
     """Smallest overlap that a set of this size needs in any link."""
     return -(-size * percent // 100)
 
 
-def _sketch(docs: DataFrame) -> np.ndarray:
+def _sketch(docs: DataFrame, ngram: int) -> np.ndarray:
     """How many sets have a shingle in each of SKETCH hash buckets, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
         for texts in pieces(batches):
-            values, _ = shingle_sets(texts)
+            values, _ = shingle_sets(texts, ngram)
             counts += np.bincount((values % U(SKETCH)).astype(np.int64), minlength=SKETCH)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bucket", "n"])
@@ -80,25 +78,25 @@ def _ordered(values: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> np.
     return values[np.lexsort((values, counts[(values % U(SKETCH)).astype(np.int64)], owner))]
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, ngram: int) -> DataFrame:
     """(doc_id, key, n) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in pieces(batches):
-            values, offsets = shingle_sets(texts)
+            values, offsets = shingle_sets(texts, ngram)
             yield pa.RecordBatch.from_arrays([texts.rows.column("doc_id"), pa.array(class_keys(values, offsets)), pa.array(np.diff(offsets))], names=["doc_id", "key", "n"])
 
     return docs.mapInArrow(run, docs.select("doc_id").schema.add("key", "long").add("n", "long"))
 
 
-def _prefixes(docs: DataFrame, counts) -> DataFrame:
+def _prefixes(docs: DataFrame, counts, ngram: int, percent: int) -> DataFrame:
     """(shingle, key) for the shingles under which a class may meet others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in pieces(batches):
-            values, offsets = shingle_sets(texts)
+            values, offsets = shingle_sets(texts, ngram)
             values, sizes, keys = _ordered(values, offsets, counts.value), np.diff(offsets), class_keys(values, offsets)
-            length = np.where(sizes > 0, sizes - at_least(sizes) + 1, 0)
+            length = np.where(sizes > 0, sizes - at_least(sizes, percent) + 1, 0)
             rank = np.arange(len(values)) - np.repeat(offsets[:-1], sizes)
             take = rank < np.repeat(length, sizes)
             yield pa.RecordBatch.from_arrays([pa.array(values[take].view(np.int64)), pa.array(np.repeat(keys, length))], names=["shingle", "key"])
@@ -106,12 +104,12 @@ def _prefixes(docs: DataFrame, counts) -> DataFrame:
     return docs.mapInArrow(run, "shingle long, key long")
 
 
-def _sets(docs: DataFrame, counts) -> DataFrame:
+def _sets(docs: DataFrame, counts, ngram: int) -> DataFrame:
     """(key, n, tokens) with the whole set as bytes, in the order of the trie: frequent shingles first, so that near copies share a path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in pieces(batches):
-            values, offsets = shingle_sets(texts)
+            values, offsets = shingle_sets(texts, ngram)
             keys, ordered = class_keys(values, offsets), _ordered(values, offsets, counts.value)
             data = [ordered[a:z][::-1].tobytes() for a, z in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(offsets)), pa.array(data, pa.binary())], names=["key", "n", "tokens"])
@@ -122,7 +120,8 @@ def _sets(docs: DataFrame, counts) -> DataFrame:
 class Trie:
     """Sets as sorted paths: number of shared shingles with the path before, and the shingles."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent = percent
         self.words, flat = np.unique(np.concatenate(sets), return_inverse=True)
         cuts = np.cumsum([len(s) for s in sets])[:-1]
         paths = np.split(flat.astype(np.int32), cuts)
@@ -136,7 +135,7 @@ class Trie:
             m = min(len(a), len(b))
             apart = np.flatnonzero(a[:m] != b[:m])
             self.shared[i] = apart[0] if len(apart) else m
-        self.may_miss = int((self.sizes - at_least(self.sizes)).max())
+        self.may_miss = int((self.sizes - at_least(self.sizes, percent)).max())
 
     def linked(self, query: np.ndarray, wanted: np.ndarray) -> list[int]:
         """Numbers (of the given sets) of the wanted ones that link with query; wanted is by place in the trie."""
@@ -159,7 +158,7 @@ class Trie:
             missed[valid + 1 : size + 1] += missed[valid]
             valid = size
             both = size - int(missed[size])
-            if 100 * both >= PERCENT * (size + len(query) - both):
+            if 100 * both >= self.percent * (size + len(query) - both):
                 out.append(self.order[i])
             elif missed[size] > self.may_miss:  # the subtree from the depth at which too much is missing
                 deep = int(np.searchsorted(missed[: size + 1], self.may_miss + 1))
@@ -172,7 +171,7 @@ class Trie:
         return out
 
 
-def _block_links(table: pa.Table) -> pa.Table:
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
     """One block: rows(asks, stored, key, component, tokens); links that connect components, one for each connection made."""
     keys, label = table["key"].to_numpy(), table["component"].to_numpy()
     asks, stored = table["asks"].to_numpy(zero_copy_only=False), table["stored"].to_numpy(zero_copy_only=False)
@@ -181,11 +180,11 @@ def _block_links(table: pa.Table) -> pa.Table:
     names, comp = np.unique(label, return_inverse=True)
     found: list[tuple[int, int]] = []
     if len(members) and asks.any() and len(names) > 1:
-        trie = Trie([tokens[m] for m in members])
+        trie = Trie([tokens[m] for m in members], percent)
         place = members[trie.order]
         sizes = np.array([len(t) for t in tokens])
         for q in np.flatnonzero(asks):
-            fits = (100 * np.minimum(sizes[place], sizes[q]) >= PERCENT * np.maximum(sizes[place], sizes[q])) & (comp[place] != comp[q])
+            fits = (100 * np.minimum(sizes[place], sizes[q]) >= percent * np.maximum(sizes[place], sizes[q])) & (comp[place] != comp[q])
             if not fits.any():
                 continue
             for m in trie.linked(tokens[q], fits):
@@ -196,19 +195,19 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
-def _links_of_blocks(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+def _links_of_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """blocks(block, asks, stored, key, component) -> links."""
     whole = blocks.join(sets.select("key", "tokens"), "key")
-    return whole.groupBy("block").applyInArrow(_block_links, "a long, b long")
+    return whole.groupBy("block").applyInArrow(lambda table: _block_links(table, percent), "a long, b long")
 
 
-def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def class_links(docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(classes: doc_id, key, n of every row; components: id, component of the classes that link)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    counts = spark.sparkContext.broadcast(_sketch(docs.select("text")))
-    classes = cut(_classes(docs))
-    met = _prefixes(docs.select("text"), counts).distinct()
+    counts = spark.sparkContext.broadcast(_sketch(docs.select("text"), ngram))
+    classes = cut(_classes(docs, ngram))
+    met = _prefixes(docs.select("text"), counts, ngram, percent).distinct()
     groups = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader"), F.sum(F.xxhash64("key") % 1_000_000_007).alias("s"), F.bit_xor(F.xxhash64("key")).alias("x")).where("size > 1")
     met = cut(met.join(groups, "shingle"))  # only classes that meet others
     # shingles with the same members do the same work: one of them is enough
@@ -217,14 +216,14 @@ def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     candidates = met.select("key").distinct()
     chosen = classes.join(candidates, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id")).alias("_d")).select("_d.doc_id")
     texts = docs.join(chosen.distinct(), "doc_id", "left_semi")
-    sets = cut(_sets(texts.select("text"), counts).join(candidates, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    sets = cut(_sets(texts.select("text"), counts, ngram).join(candidates, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
     # every class and the leaders of its shingles
     stars = met.where("key <> leader").select("leader", "key").distinct()
     sizes = stars.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     spread = stars.join(sizes, "leader").select(F.struct("leader", F.pmod(F.xxhash64("key"), "parts").alias("part")).alias("block"), F.lit(False).alias("asks"), F.lit(True).alias("stored"), "key", F.col("key").alias("component"))
     heads = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     heads = heads.select(F.struct("leader", "part").alias("block"), F.lit(True).alias("asks"), F.lit(False).alias("stored"), F.col("leader").alias("key"), F.col("leader").alias("component"))
-    links = cut(_links_of_blocks(spread.unionByName(heads), sets))
+    links = cut(_links_of_blocks(spread.unionByName(heads), sets, percent))
     linked = components(links)
     # groups that still hold several components, and pairs that no leader has compared
     labelled = met.where("size > 2").join(linked.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -233,23 +232,32 @@ def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     blocks = pairs.select(F.struct("shingle", low.alias("i"), high.alias("j")).alias("block"), (F.col("mine") == low).alias("asks"), (F.col("mine") == high).alias("stored"), "key", "component")
-    more = cut(_links_of_blocks(blocks, sets))
+    more = cut(_links_of_blocks(blocks, sets, percent))
     if more.limit(1).count():
         linked = components(links.union(more))
     return classes, linked
 
 
-def linked_documents(docs: DataFrame) -> DataFrame:
+def linked_documents(docs: DataFrame, ngram: int = 3, percent: int = 90) -> DataFrame:
     """docs -> doc_id, n_shingles, component_id (smallest doc_id reachable by links, the document itself included), one row per row.
 
     Null, empty and blank texts have an empty set and link with nothing, not even each other; texts of fewer words than the n-gram are
     one shingle.  Repeated rows link.  A null doc_id counts as larger than any other.  Other columns are not read; an empty table gives an
     empty result.
     """
-    classes, linked = class_links(docs)
+    classes, linked = class_links(docs, ngram, percent)
     ids = linked.select(F.col("id").alias("key"), "component")
     named = classes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("_id")).join(ids, "key", "left").withColumn("_c", F.coalesce("component", "key"))
     smallest = named.groupBy("_c").agg(F.min("_id").alias("_smallest"))
     of_key = named.join(smallest, "_c").select(F.col("key").alias("_k"), "_smallest")
     out = classes.join(of_key, F.when(F.col("n") > 0, F.col("key")) == F.col("_k"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_smallest", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those that link to a smaller doc_id, directly or through others.
+
+    Texts without words all stay, and so do rows with a null doc_id and rows that agree in doc_id (exact dedup settles those).
+    """
+    gone = linked_documents(docs, ngram, percent).where("n_shingles > 0 AND component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -13,7 +13,7 @@ import heapq
 from dataclasses import dataclass
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 PERIOD = 10_000  # largest sum of the integer weights
@@ -88,20 +88,18 @@ def phases(blocks: dict, weights: dict) -> list[Phase]:
     return out
 
 
-def numbered(docs: DataFrame, source: Column, order: list[Column], rows_per_bucket: int = 20_000) -> DataFrame:
-    """docs with _source and _position, the number of each row within its source from 0, in an order that a hash of the row fixes.
+def numbered(rows: DataFrame, source: str, order: str, name: str, rows_per_bucket: int = 20_000) -> DataFrame:
+    """rows with `name`, the number of each row within its source from 0, in the order of a hash of the order column.
 
     A source of any size is spread over buckets; only one count per (source, bucket) meets in a window.
     """
-    total = docs.count()
-    buckets = max(1, total // rows_per_bucket)
-    rows = docs.withColumns({"_source": source, "_order": F.struct(*order)}).withColumn("_bucket", F.pmod(F.xxhash64("_order"), F.lit(buckets)))
-    sizes = rows.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    buckets = max(1, rows.count() // rows_per_bucket)
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(order), F.lit(buckets)))
+    sizes = rows.groupBy(F.col(source).alias("_s"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "_size").withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    inside = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order")) - 1
-    ranked = rows.withColumn("_rank", inside)
-    return ranked.join(starts, (F.col("_source") == F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_position", F.col("_start") + F.col("_rank")).drop("_s", "_b", "_start", "_rank", "_bucket", "_order", "_size")
+    starts = sizes.select("_s", "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(source, "_bucket").orderBy(order)) - 1)
+    return ranked.join(starts, (F.col(source) == F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn(name, F.col("_start") + F.col("_rank"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, other: float = 1.0, source: str = "source") -> DataFrame:
@@ -117,8 +115,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, other: fl
     added = ["source_block", "slot", "slot_release", "slot_deadline", "mix_position"]
     docs = docs.drop(*added)
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    order = [F.xxhash64(F.col("doc_id"), F.col("text")), F.col("doc_id")]
-    rows = numbered(docs, name, order)
+    order = F.struct(F.xxhash64(F.col("doc_id"), F.col("text")), F.col("doc_id"))
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("_row"), name.alias("_source"), order.alias("_order")), "_source", "_order", "_position")
     counts = {r["_n"]: r["c"] for r in docs.groupBy(name.alias("_n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     sizes = {k: -(-c // block) for k, c in counts.items()}
     target = {k: (weights or {}).get(k, other) for k in sizes}
@@ -139,7 +137,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, other: fl
         for (first, p), nxt in zip(v, [*v[1:], (sizes[k], None)]):
             until[p, k] = nxt[0]
     span_rows = [(p, k, first, until[p, k], w, total, slot) for p, k, first, w, total, slot in spans]
-    span_df = spark.createDataFrame(span_rows, "p int, k string, first long, until long, w long, total long, slot0 long") 
+    span_df = spark.createDataFrame(span_rows, "p int, k string, first long, until long, w long, total long, slot0 long")
     plan_df = spark.createDataFrame(plan, "p2 int, k2 string, j long, s long, r long, d long")
     out = rows.withColumn("source_block", F.floor(F.col("_position") / block))
     out = out.join(span_df, (F.col("_source") == F.col("k")) & (F.col("source_block") >= F.col("first")) & (F.col("source_block") < F.col("until")))
@@ -160,4 +158,4 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, other: fl
     for s, m in short:
         missing = missing + F.when(F.col("slot") > s, F.lit(m)).otherwise(F.lit(0))
     out = out.withColumn("mix_position", F.col("slot") * block + F.col("_position") % block - missing)
-    return out.select(*docs.columns, *added)
+    return out.select("_row.*", *added)

@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, column:
     out = docs.select(*keep).schema.add(column, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in pieces(batches, "_whole"):
+        for texts in pieces(batches, 0):
             values = 1 / (1 + np.exp(-shared.value.logits(texts).astype(np.float64)))
             yield pa.RecordBatch.from_arrays([*texts.rows.columns[1:], pa.array(values)], names=out.names)
 
