@@ -88,7 +88,7 @@ def phases(blocks: dict, weights: dict) -> list[Phase]:
     return out
 
 
-def numbered(rows: DataFrame, source: str, order: str, name: str, rows_per_bucket: int = 20_000) -> DataFrame:
+def numbered(rows: DataFrame, source: str, order: str, name: str, rows_per_bucket: int = 2_000) -> DataFrame:
     """rows with `name`, the number of each row within its source from 0, in the order of a hash of the order column.
 
     A source of any size is spread over buckets; only one count per (source, bucket) meets in a window.
@@ -102,20 +102,20 @@ def numbered(rows: DataFrame, source: str, order: str, name: str, rows_per_bucke
     return ranked.join(starts, (F.col(source) == F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn(name, F.col("_start") + F.col("_rank"))
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, other: float = 1.0, source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, other: float = 1.0, source: str = "source", by: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """All rows of docs with source_block, slot (of the block in the mixture), slot_release and slot_deadline (within the phase, counted
     from the first slot of all) and mix_position, the row's place in the mixture.
 
     weights: target weight per source; sources that are not named get `other`, which is also every weight if weights is None.  A null
-    source is a source of its own, called "".  Rows of a source are taken in the order of a hash of doc_id and text; repeated rows follow
-    each other.  Columns of docs with the added names are replaced.  An empty table gives an empty result.  The sources' names and counts
+    source is a source of its own, called "".  Rows of a source are taken in the order of a hash of the columns `by`; repeated rows
+    follow each other.  Columns of docs with the added names are replaced.  An empty table gives an empty result.  The sources' names and counts
     come to the driver, one row each, and the schedule is at most PERIOD rows for each phase.
     """
     spark = docs.sparkSession
     added = ["source_block", "slot", "slot_release", "slot_deadline", "mix_position"]
     docs = docs.drop(*added)
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    order = F.struct(F.xxhash64(F.col("doc_id"), F.col("text")), F.col("doc_id"))
+    order = F.struct(F.xxhash64(*by), F.col(by[0]))
     rows = numbered(docs.select(F.struct(*docs.columns).alias("_row"), name.alias("_source"), order.alias("_order")), "_source", "_order", "_position")
     counts = {r["_n"]: r["c"] for r in docs.groupBy(name.alias("_n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     sizes = {k: -(-c // block) for k, c in counts.items()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, exact_dedup, jaccard_join, mixing, toxicity
+from . import decontamination, exact_dedup, jaccard_join, mixing, substring_dedup, toxicity
 from .common import table
 
 
@@ -16,14 +16,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), MIX_WEIGHTS)
-    return mixed.drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_hash"))
+    return mixing.mix(docs, MIX_WEIGHTS, by=("doc_id", "text_hash")).drop("text_hash")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("spans")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ MIX_WEIGHTS = {"src0": 4, "src1": 3, "src2": 2, "src3": 2}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
@@ -47,6 +52,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, i, md5(list_aggregate(ws[i : i + 34], 'string_agg', ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+        rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM win WHERE h IN (SELECT h FROM rep)),
+        marks AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id),
+        lost AS (SELECT doc_id, ws, coalesce(ks, []) AS ks FROM w LEFT JOIN marks USING (doc_id)),
+        word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS k FROM w),
+        kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.k) AS t FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.k = gone.k GROUP BY word.doc_id)
+        SELECT lost.doc_id, len(ws)::BIGINT AS n_words, len(ks)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM lost LEFT JOIN kept USING (doc_id)""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256
