@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, exact_dedup, jaccard_join, mixing, substring_dedup, toxicity
+from . import decontamination, exact_dedup, jaccard_join, mixing, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("spans")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("spans")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ MIX_WEIGHTS = {"src0": 4, "src1": 3, "src2": 2, "src3": 2}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
@@ -63,6 +68,19 @@ ORACLES: dict[str, str] = {
         kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.k) AS t FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.k = gone.k GROUP BY word.doc_id)
         SELECT lost.doc_id, len(ws)::BIGINT AS n_words, len(ks)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM lost LEFT JOIN kept USING (doc_id)""",
+    "op3_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        win AS (SELECT doc_id, i, md5(hex(b[i : i + 399])) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+        rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+        hit AS (SELECT doc_id, i, i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM win WHERE h IN (SELECT h FROM rep)),
+        run AS (SELECT doc_id, i, sum(CASE WHEN step > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+        span AS (SELECT doc_id, r, min(i) AS a, max(i) + 399 AS z FROM run GROUP BY doc_id, r),
+        edge AS (SELECT doc_id, r, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span),
+        kept AS (SELECT doc_id, string_agg(hex(b[before + 1 : a - 1]), '' ORDER BY a) AS t, max(z) AS z, sum(z - a + 1) AS gone, count(*) AS spans
+                 FROM edge JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(t, '') || hex(b[coalesce(z, 0) + 1 :]))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256
