@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, exact_dedup, jaccard_join, mixing, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, exact_dedup, jaccard_join, mixing, substring_dedup, suffix_dedup, surrogates, toxicity
 from .common import table
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.replaced(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return out.select("doc_id", "text", F.size("_entities").alias("n_entities"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.col("stay").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.col("sha256").alias("text_sha256"))
@@ -43,6 +48,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: an example; a real key is a secret
+SURROGATE_KEY = "example key"
+
 #: every source not named has weight 1
 MIX_WEIGHTS = {"src0": 4, "src1": 3, "src2": 2, "src3": 2}
 
@@ -52,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_toxicity": op7_toxicity,
+    "op8_surrogates": op8_surrogates,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
 }
