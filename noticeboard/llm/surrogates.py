@@ -40,15 +40,16 @@ _NAME_WORD = r"\p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++)?"
 _GIVEN_WORDS = "|".join(name for names in GIVEN for name in names)
 #: type -> pattern, in order of precedence
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "ip": rf"(?<![\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ssn": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![\p{N}+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(TITLES)})\.?[ ]{_NAME_WORD}(?:[ ]{_NAME_WORD}){{0,2}}|(?<![\p{{L}}\p{{N}}])(?:{_GIVEN_WORDS})[ ]{_NAME_WORD}",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+    "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "card": r"(?<!\+)[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
+    "name": rf"(?=[\p{{Lu}}г])(?:(?:{'|'.join(TITLES)})\.?[ ]{_NAME_WORD}(?:[ ]{_NAME_WORD}){{0,2}}|(?:{_GIVEN_WORDS})[ ]{_NAME_WORD})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: none of them begins inside a word, which is the first and cheapest thing to test
+ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
 
 def _shift(part: Column, digest: Column) -> Column:
