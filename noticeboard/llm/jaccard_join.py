@@ -1,8 +1,9 @@
 """N-gram Jaccard join: links between documents whose shingle sets are similar enough, by prefix trees.
 
 Equal sets form one class.  All sets are ordered globally, rare shingles first (by a count sketch of fixed size, then by hash; any total
-order gives the same links).  Two sets that link share a shingle among the first n - ceil(s n) + 1 of each, s being
-the least similarity, so classes meet under such a shingle.  The sets that meet are stored in a trie: sorted, so that neighbours share a path, with the overlap of a path counted
+order gives the same links).  With s the least similarity and k = n // 20 + 1, two sets that link share at least the smaller of
+their k shingles among the first n - ceil(s n) + k of each: classes that share fewer with all others link with none and drop out, the
+others meet under their shared shingles.  The sets that meet are stored in a trie: sorted, so that neighbours share a path, with the overlap of a path counted
 once for all sets below it.  A query leaves a subtree when more of its path is missing than the longest set in the block may miss.
 
 Groups of any size are dealt out in blocks of bounded size, and only links that connect something new leave a block, so no task holds a
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Spans, Texts, U, components, cut, mix, pieces
 
@@ -55,6 +56,11 @@ def at_least(size: np.ndarray | int, percent: int):
     return -(-size * percent // 100)
 
 
+def must_share(size: np.ndarray | int):
+    """How many shingles of two prefixes must agree; the smallest partner's number counts."""
+    return size // 20 + 1
+
+
 def _sketch(docs: DataFrame, ngram: int) -> np.ndarray:
     """How many sets have a shingle in each of SKETCH hash buckets, over all documents."""
 
@@ -90,18 +96,24 @@ def _classes(docs: DataFrame, ngram: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, counts, ngram: int, percent: int) -> DataFrame:
-    """(shingle, key) for the shingles under which a class may meet others."""
+    """(shingle, key, need) for the shingles under which a class may meet others; need is the least number it shares with any partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)  # copies within a task count once; at most one number for each of its documents
         for texts in pieces(batches):
             values, offsets = shingle_sets(texts, ngram)
             values, sizes, keys = _ordered(values, offsets, counts.value), np.diff(offsets), class_keys(values, offsets)
-            length = np.where(sizes > 0, sizes - at_least(sizes, percent) + 1, 0)
+            first = np.zeros(len(keys), bool)
+            first[np.unique(keys, return_index=True)[1]] = True
+            first &= ~np.isin(keys, seen)
+            seen = np.concatenate([seen, keys[first]])
+            length = np.where((sizes > 0) & first, np.minimum(sizes, sizes - at_least(sizes, percent) + must_share(sizes)), 0)
+            need = must_share(at_least(sizes, percent)).astype(np.int32)
             rank = np.arange(len(values)) - np.repeat(offsets[:-1], sizes)
             take = rank < np.repeat(length, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(values[take].view(np.int64)), pa.array(np.repeat(keys, length))], names=["shingle", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[take].view(np.int64)), pa.array(np.repeat(keys, length)), pa.array(np.repeat(need, length))], names=["shingle", "key", "need"])
 
-    return docs.mapInArrow(run, "shingle long, key long")
+    return docs.mapInArrow(run, "shingle long, key long, need int")
 
 
 def _sets(docs: DataFrame, counts, ngram: int) -> DataFrame:
@@ -201,18 +213,30 @@ def _links_of_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return whole.groupBy("block").applyInArrow(lambda table: _block_links(table, percent), "a long, b long")
 
 
+def _shared(met: DataFrame) -> DataFrame:
+    """The rows whose shingle more than one class has."""
+    same = Window.partitionBy("shingle")
+    return met.withColumns({"_lo": F.min("key").over(same), "_hi": F.max("key").over(same)}).where("_lo <> _hi").drop("_lo", "_hi")
+
+
 def class_links(docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(classes: doc_id, key, n of every row; components: id, component of the classes that link)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(_sketch(docs.select("text"), ngram))
     classes = cut(_classes(docs, ngram))
-    met = _prefixes(docs.select("text"), counts, ngram, percent).distinct()
-    groups = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader"), F.sum(F.xxhash64("key") % 1_000_000_007).alias("s"), F.bit_xor(F.xxhash64("key")).alias("x")).where("size > 1")
-    met = cut(met.join(groups, "shingle"))  # only classes that meet others
+    # one shuffle brings the classes of a shingle together; those that nobody shares end here
+    met = _shared(_prefixes(docs.select("text"), counts, ngram, percent).repartition("shingle").dropDuplicates(["shingle", "key"]))
+    for _ in range(2):  # a class that drops out may leave others with too few
+        enough = met.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n >= need").drop("_n")
+        met = _shared(enough)
+    met = cut(met)
+    groups = met.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("size"), F.min("key").alias("leader"), F.sum(F.xxhash64("key") % 1_000_000_007).alias("s"), F.bit_xor(F.xxhash64("key")).alias("x"),
+    ).where("size > 1")
     # shingles with the same members do the same work: one of them is enough
-    one = met.groupBy("size", "leader", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle")
-    met = cut(met.join(one, "shingle", "left_semi").select("shingle", "key", "size", "leader"))
+    one = groups.groupBy("size", "leader", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle", "size", "leader")
+    met = cut(met.select("shingle", "key").join(one, "shingle"))
     candidates = met.select("key").distinct()
     chosen = classes.join(candidates, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id")).alias("_d")).select("_d.doc_id")
     texts = docs.join(chosen.distinct(), "doc_id", "left_semi")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, exact_dedup, jaccard_join, mixing, substring_dedup, suffix_dedup, surrogates, toxicity
+from . import decontamination, exact_dedup, jaccard_join, language_id, mixing, substring_dedup, suffix_dedup, surrogates, toxicity
 from .common import table
 
 
@@ -41,6 +41,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(*language_id.sample(docs)), ["doc_id"])
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")), ["doc_id"], "score")
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_surrogates": op8_surrogates,
     "op9_exact_dedup": op9_exact_dedup,
