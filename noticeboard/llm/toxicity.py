@@ -29,7 +29,8 @@ class Bags:
         # one space before, between and after all words serves as their boundary mark
         words = texts.words(lower=True)
         self.first = words.first
-        _, at, self.word = np.unique(words.hash, return_index=True, return_inverse=True)
+        _, at, word = np.unique(words.hash, return_index=True, return_inverse=True)
+        self.word = word.astype(np.int32)
         start, size = words.start[at], (words.end - words.start)[at]
         padded = size + 2
         self.offsets = np.concatenate([[0], np.cumsum(padded)])
@@ -56,7 +57,7 @@ class Bags:
         same = (self.word[by][1:] == self.word[by][:-1]) & (block[by][1:] == block[by][:-1]) & (text[by][1:] == text[by][:-1])
         self.fresh = np.ones(len(self.word), bool)
         self.fresh[by[1:][same]] = False
-        self.grams, self.gram_at = grams[order], np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(at)))])
+        self.grams, self.gram_at = grams[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(at)))])
 
     def word_means(self, weights: np.ndarray) -> np.ndarray:
         """Mean of a weight per bucket over the n-grams of every distinct word."""
@@ -156,14 +157,14 @@ def train(rows: pa.RecordBatch, labels: np.ndarray, epochs: int = 10, refine: in
     return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = 6000, most_bytes: int = 40_000, part: int = 1, parts: int = 3) -> tuple[pa.RecordBatch, np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, most: int = 4000, most_chars: int = 20_000, part: int = 1, parts: int = 3) -> tuple[pa.RecordBatch, np.ndarray]:
     """A bounded, repeatable sample of labelled rows whose crc32(doc_id) modulo parts is not part: at most `most` documents of at most
-    `most_bytes` characters, in the order of a hash of the id.  Null labels and ids are no labels; of repeated labels the largest counts.
+    `most_chars` characters, in the order of a hash of the id.  Null labels and ids are no labels; of repeated labels the largest counts.
     """
     rule = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) != part
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & rule).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= most_bytes)).select("doc_id", "text")
+    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= most_chars)).select("doc_id", "text")
     got = texts.join(chosen, "doc_id").select("doc_id", F.col("text"), F.col("_toxic").cast("int").alias("toxic")).toArrow().sort_by("doc_id").combine_chunks()
     if not got.num_rows:
         return pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}), np.zeros(0, np.int64)
