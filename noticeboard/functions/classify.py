@@ -11,10 +11,10 @@ from .core import (
 )
 
 
-def classify_content(title, body, strong=None, rules=None, body_chars: int = 4000) -> Column:
+def classify_content(title, body, strong=None, rules=None, body_chars: int | None = None) -> Column:
     """Struct(kind, confidence): ordered title rules first, else the best keyword score (first rule wins ties).
 
-    body_chars is part of the definition of the score.
+    The whole body is scored unless body_chars asks for a prefix.
     """
     strong, rules = strong or V.STRONG_TITLE_RULES, rules or V.CONTENT_KIND_RULES
     t = text(title)
@@ -36,7 +36,7 @@ def classify_content(title, body, strong=None, rules=None, body_chars: int = 400
 
     # the body is only looked at when the title does not decide
     return F.when(by_title.isNotNull(), F.struct(by_title.alias("kind"), F.lit(0.95).alias("confidence"))).otherwise(
-        let(left(text(body), body_chars), lambda b: let(best(b), verdict))
+        let(text(body) if body_chars is None else left(text(body), body_chars), lambda b: let(best(b), verdict))
     )
 
 

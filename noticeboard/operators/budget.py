@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import nulls_to
@@ -17,17 +16,26 @@ from .ordered import in_blocks, materialise, totals_over_blocks
 class Capacity:
     """A shared limit: rows with the same keys use it up together, in order.
 
-    rows and amount are limit columns (null or 0 means unlimited).
+    rows and amount are limit columns (null or 0 means unlimited), used_rows and
+    used_amount what earlier runs have used up, applies the rows that the limit
+    binds and counts those that use it up (all rows, where not given).
     """
 
     name: str
     keys: tuple[str, ...]
     rows: Column | None = None
     amount: Column | None = None
+    used_rows: Column | None = None
+    used_amount: Column | None = None
+    applies: Column | None = None
+    counts: Column | None = None
 
 
-def _limit(c: Column | None) -> Column:
-    return F.lit(None).cast("bigint") if c is None else F.when(c > 0, c.cast("bigint"))
+def _limit(c: Column | None, used: Column | None = None) -> Column:
+    """What is left of a limit; null is unlimited."""
+    if c is None:
+        return F.lit(None).cast("bigint")
+    return F.when(c > 0, c.cast("bigint") - (F.lit(0) if used is None else nulls_to(used, 0)))
 
 
 def _usage(df: DataFrame, capacities: list[Capacity], order: list[str], **flags: Column) -> DataFrame:
@@ -36,49 +44,14 @@ def _usage(df: DataFrame, capacities: list[Capacity], order: list[str], **flags:
     for c in capacities:
         values = {}
         for flag, cond in flags.items():
+            cond = cond & F.col(f"_counts_{c.name}")
             values[f"{c.name}_{flag}_n"] = cond.cast("bigint")
             values[f"{c.name}_{flag}_s"] = F.when(cond, F.col("_amount")).otherwise(F.lit(0).cast("bigint"))
         groups.append((f"_at_{c.name}", list(c.keys), values))
     return totals_over_blocks(df, [F.col(c) for c in order], groups)
 
 
-def _walk_tail(rows: DataFrame, capacities: list[Capacity], order: list[str]) -> DataFrame:
-    """(order, _fits) of a bounded number of open rows, one after the other.
-
-    What decided rows use before each row is known, so only the open rows among
-    themselves are followed.
-    """
-    names = [c.name for c in capacities]
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        used: dict[tuple, list[int]] = {}
-        fits = []
-        for row in frame.to_dict("records"):
-            amount, places, ok = row["_amount"], [], True
-            for n in names:
-                seen = used.setdefault((n, row[f"{n}_key"]), [0, 0])
-                places.append(seen)
-                rows_limit, most = row[f"_{n}_rows"], row[f"_{n}_amount"]
-                ok = ok and not (rows_limit >= 0 and row[f"{n}_lo_n"] + seen[0] >= rows_limit)
-                ok = ok and not (most >= 0 and row[f"{n}_lo_s"] + seen[1] + amount > most)
-            if ok:
-                for seen in places:
-                    seen[0] += 1
-                    seen[1] += amount
-            fits.append(ok)
-        return frame[order].assign(_fits=fits)
-
-    types = dict(rows.dtypes)
-    slim = rows.select(
-        *order, "_amount", *[F.to_json(F.struct(*c.keys), {"ignoreNullFields": "false"}).alias(f"{c.name}_key") for c in capacities],
-        *[F.col(f"{n}_lo_{m}") for n in names for m in ("n", "s")],
-        *[nulls_to(F.col(f"_{n}_{m}"), -1).cast("bigint").alias(f"_{n}_{m}") for n in names for m in ("rows", "amount")],
-    )
-    return slim.groupBy().applyInPandas(walk, ", ".join(f"{c} {types[c]}" for c in order) + ", _fits boolean")
-
-
-def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str], amount: Column, eligible: Column, tail_rows: int = 5000) -> DataFrame:
+def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str], amount: Column, eligible: Column) -> DataFrame:
     """First come, first served admission under several shared limits at once.
 
     A row is admitted when it is eligible and, for every capacity, the *admitted*
@@ -95,7 +68,9 @@ def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str],
     """
     limits = {}
     for c in capacities:
-        limits[f"_{c.name}_rows"], limits[f"_{c.name}_amount"] = _limit(c.rows), _limit(c.amount)
+        bound = F.lit(True) if c.applies is None else c.applies
+        limits[f"_{c.name}_rows"], limits[f"_{c.name}_amount"] = F.when(bound, _limit(c.rows, c.used_rows)), F.when(bound, _limit(c.amount, c.used_amount))
+        limits[f"_counts_{c.name}"] = F.lit(True) if c.counts is None else nulls_to(c.counts, False)
     keys = list(dict.fromkeys(k for c in capacities for k in c.keys))
     slim = df.select(*dict.fromkeys([*order, *keys]), amount.cast("bigint").alias("_amount"), eligible.alias("_ok"), *[v.alias(k) for k, v in limits.items()])
     # rows that cannot be admitted use nothing up; blocks are cut once, only states change between rounds
@@ -116,14 +91,7 @@ def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str],
         undecided = F.col("_state") == "?"
         decided = F.when(undecided & fits, "yes").when(undecided & never, "no").otherwise(F.col("_state"))
         state = materialise(step.withColumn("_state", decided).select(*cols))
-        left = state.where("_state = '?'").limit(tail_rows + 1).count()
-        if 0 < left <= tail_rows:
-            walked = _walk_tail(_usage(state, capacities, order, lo=F.col("_state") == "yes").where("_state = '?'"), capacities, order)
-            state = state.join(walked, order, "left").withColumn(
-                "_state", F.when(F.col("_state") != "?", F.col("_state")).when(F.col("_fits"), "yes").otherwise("no")
-            ).select(*cols)
-            break
-        if left == 0:
+        if not state.where("_state = '?'").limit(1).count():
             break
     admitted = state.where("_state = 'yes'").select(*order, F.lit(True).alias("_yes"))
     every = slim.drop("_ok").join(admitted, order, "left").withColumn("_state", F.when(F.col("_yes"), "yes").otherwise("no")).drop("_yes")
@@ -137,13 +105,15 @@ def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str],
 
 def reserve_budget(
     requests: DataFrame, sources: DataFrame, global_articles: int = 0, global_tokens: int = 0, max_chars: int = 12000, per_task: int = 0,
-    zone: str | None = None, reserved: DataFrame | None = None, tail_rows: int = 5000,
+    zone: str | None = None, reserved: DataFrame | None = None, usage: DataFrame | None = None,
 ) -> DataFrame:
     """Ordered decisions on processing requests, each with the reason and the time it may be looked at again.
 
     requests (queue_id, source_id, task_root_id, text, content_hash, approved, created_at);
     sources (source_id, daily_article_budget, daily_token_budget, allow_auto_ai); a limit of
-    0 is unlimited.  reserved names content hashes that are reserved or settled already.
+    0 is unlimited.  reserved names content hashes that are reserved or settled already, usage what
+    earlier runs have used up (see usage_of).  Requests with a true column exempt, if there
+    is one, are bound by length and duplicates only and use up no daily limit.
     Reasons are tested in a fixed order: too long, duplicate text, task limit, global
     articles, global tokens, missing approval, source articles, source tokens.
     """
@@ -158,26 +128,38 @@ def reserve_budget(
         r = r.join(seen, "content_hash", "left").withColumn("_seen", nulls_to(F.col("_seen"), False))
     else:
         r = r.withColumn("_seen", F.lit(False))
+    free = nulls_to(F.col("exempt"), False) if "exempt" in requests.columns else F.lit(False)
+    r = r.withColumns({"_free": free, "_unapproved": F.col("_unapproved") & ~free})
+    opening = {"TASK": ["task_root_id"], "GLOBAL": ["budget_date"], "SOURCE": ["budget_date", "source_id"]}
+    for scope, on in opening.items():
+        n, s = f"_{scope}_n", f"_{scope}_s"
+        if usage is None:
+            r = r.withColumns({n: F.lit(0).cast("bigint"), s: F.lit(0).cast("bigint")})
+        else:
+            r = r.join(usage.where(F.col("scope") == scope).select(*on, F.col("n").alias(n), F.col("amount").alias(s)), on, "left").na.fill(0, [n, s])
+    used = lambda scope: {"used_rows": F.col(f"_{scope}_n"), "used_amount": F.col(f"_{scope}_s")}
+    bound, automatic = {"applies": ~F.col("_free")}, {"applies": ~F.col("_free"), "counts": ~F.col("_free")}
     caps = [Capacity("copy", ("content_hash",), rows=F.lit(1))]
     if per_task > 0:
-        caps.append(Capacity("task", ("task_root_id",), rows=F.when(F.col("task_root_id").isNotNull(), F.lit(per_task))))
+        caps.append(Capacity("task", ("task_root_id",), rows=F.when(F.col("task_root_id").isNotNull(), F.lit(per_task)), **used("TASK"), **bound))
     if global_articles > 0 or global_tokens > 0:
-        caps.append(Capacity("all", ("budget_date",), rows=F.lit(global_articles), amount=F.lit(global_tokens)))
-    caps.append(Capacity("source", ("budget_date", "source_id"), rows=F.col("daily_article_budget"), amount=F.col("daily_token_budget")))
-    out = admit_in_order(r, caps, ["created_at", "queue_id"], F.col("estimated_tokens"), ~F.col("_long") & ~F.col("_seen") & ~F.col("_unapproved"), tail_rows)
+        caps.append(Capacity("all", ("budget_date",), rows=F.lit(global_articles), amount=F.lit(global_tokens), **used("GLOBAL"), **automatic))
+    caps.append(Capacity("source", ("budget_date", "source_id"), rows=F.col("daily_article_budget"), amount=F.col("daily_token_budget"), **used("SOURCE"), **automatic))
+    out = admit_in_order(r, caps, ["created_at", "queue_id"], F.col("estimated_tokens"), ~F.col("_long") & ~F.col("_seen") & ~F.col("_unapproved"))
 
-    def exhausted(name, rows, amount):
-        full = F.when((rows > 0) & (F.col(f"{name}_n") >= rows), "BUDGET_ARTICLES")
-        return full.when((amount > 0) & (F.col(f"{name}_s") + F.col("estimated_tokens") > amount), "BUDGET_TOKENS")
+    def exhausted(name, scope, rows, amount):
+        n, s = F.col(f"{name}_n") + F.col(f"_{scope}_n"), F.col(f"{name}_s") + F.col(f"_{scope}_s")
+        full = F.when(F.col("_free"), None).when((rows > 0) & (n >= rows), "BUDGET_ARTICLES")
+        return full.when((amount > 0) & (s + F.col("estimated_tokens") > amount), "BUDGET_TOKENS")
 
     names = {c.name for c in caps}
     none = F.lit(None).cast("string")
     reason = F.coalesce(
         F.when(F.col("_long"), "INPUT_TOO_LONG"), F.when(F.col("_seen") | (F.col("copy_n") > 0), "CONTENT_HASH_DUPLICATE"),
-        F.when(F.col("task_root_id").isNotNull() & (F.col("task_n") >= per_task), "TASK_ARTICLE_LIMIT") if "task" in names else none,
-        exhausted("all", F.lit(global_articles), F.lit(global_tokens)) if "all" in names else none,
+        F.when(~F.col("_free") & F.col("task_root_id").isNotNull() & (F.col("task_n") + F.col("_TASK_n") >= per_task), "TASK_ARTICLE_LIMIT") if "task" in names else none,
+        exhausted("all", "GLOBAL", F.lit(global_articles), F.lit(global_tokens)) if "all" in names else none,
         F.when(F.col("_unapproved"), "SOURCE_APPROVAL_REQUIRED"),
-        F.when(F.col("source_id").isNotNull(), exhausted("source", F.col("daily_article_budget"), F.col("daily_token_budget"))),
+        F.when(F.col("source_id").isNotNull(), exhausted("source", "SOURCE", F.col("daily_article_budget"), F.col("daily_token_budget"))),
     )
     status = (
         F.when(F.col("admitted"), "RESERVED").when(F.col("reason_code") == "SOURCE_APPROVAL_REQUIRED", "WAITING_APPROVAL")
@@ -190,6 +172,21 @@ def reserve_budget(
     )
 
 
+def usage_of(decisions: DataFrame) -> DataFrame:
+    """usage(scope, budget_date, source_id, task_root_id, n, amount) of rows that are reserved or settled, for the next run."""
+    held = decisions.where(F.col("status").isin("RESERVED", "SETTLED"))
+    bound = held.where(~nulls_to(F.col("exempt"), False)) if "exempt" in decisions.columns else held
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("estimated_tokens").alias("amount")]
+    no = lambda *cs: [F.lit(None).cast(t).alias(c) for c, t in cs]
+    date, source, task = ("budget_date", "date"), ("source_id", "bigint"), ("task_root_id", "bigint")
+    parts = [
+        held.where("task_root_id IS NOT NULL").groupBy("task_root_id").agg(*sums).select(F.lit("TASK").alias("scope"), *no(date, source), "task_root_id", "n", "amount"),
+        bound.groupBy("budget_date").agg(*sums).select(F.lit("GLOBAL").alias("scope"), "budget_date", *no(source, task), "n", "amount"),
+        bound.where("source_id IS NOT NULL").groupBy("budget_date", "source_id").agg(*sums).select(F.lit("SOURCE").alias("scope"), "budget_date", "source_id", *no(task), "n", "amount"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def settle(reservations: DataFrame, results: DataFrame) -> DataFrame:
     """Reserved rows with a result become SETTLED or FAILED with their actual tokens; other rows stay."""
     r = results.select("queue_id", F.col("success").alias("_ok"), F.greatest(F.lit(0).cast("bigint"), F.col("actual_tokens").cast("bigint")).alias("_actual"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.core import nulls_to
 from ..functions.texts import change_summary
@@ -75,7 +75,9 @@ def version_changes(incoming: DataFrame, current: DataFrame) -> DataFrame:
     (id, canonical_url, content_hash, text, status, root_id, version_no) with the
     latest version of each address.  Same hash: UNCHANGED.  Published and changed:
     NEW_VERSION, its published item needs review.  Otherwise the document is
-    REPLACED in place, unless another document already has the text (DUPLICATE).
+    REPLACED in place, unless another document already has the text (DUPLICATE), or a
+    smaller id of the same batch gets it.  New versions of one root are numbered in
+    the order of the ids they replace.
     """
     new = incoming.select("canonical_url", F.col("content_hash").alias("new_hash"), F.col("text").alias("_new"))
     pairs = current.join(new, "canonical_url")
@@ -87,11 +89,15 @@ def version_changes(incoming: DataFrame, current: DataFrame) -> DataFrame:
     action = F.when(same, "UNCHANGED").when(live, "NEW_VERSION").when(elsewhere, "DUPLICATE").otherwise("REPLACED")
     versions = current.groupBy("root_id").agg(F.max("version_no").alias("_top"))
     out = pairs.join(versions, "root_id").withColumn("action", action)
+    gets = out.where(F.col("action").isin("NEW_VERSION", "REPLACED")).groupBy(F.col("new_hash").alias("_h")).agg(F.min("id").alias("_first"))
+    out = out.join(gets, F.col("new_hash") == F.col("_h"), "left")
+    out = out.withColumn("action", F.when((F.col("action") == "REPLACED") & (F.col("id") > F.col("_first")), "DUPLICATE").otherwise(F.col("action")))
     is_new = F.col("action") == "NEW_VERSION"
+    number = F.col("_top") + F.count_if(is_new).over(Window.partitionBy("root_id").orderBy("id"))
     changed = F.col("action").isin("NEW_VERSION", "REPLACED")
     return out.select(
         "id", "canonical_url", "root_id", "action",
-        F.when(is_new, F.col("_top") + 1).otherwise(F.col("version_no")).alias("version_no"),
+        F.when(is_new, number).otherwise(F.col("version_no")).alias("version_no"),
         F.when(is_new, F.col("id")).alias("previous_version_id"),
         F.when(changed, F.lit("UPLOADED")).otherwise(F.col("status")).alias("document_status"),
         F.when(is_new, F.lit("REVIEW_REQUIRED")).alias("verification_status"),

@@ -163,7 +163,7 @@ def pack_chunks(
     )
     groups = F.when((F.col("_total") - 1 <= threshold) | (F.size("_groups") == 0), F.array("_every")).when(
         F.size("_groups") > max_chunks,
-        F.concat(F.slice("_groups", 1, max_chunks - 1), F.array(F.array_distinct(F.flatten(F.slice("_groups", max_chunks, 1_000_000))))),
+        F.concat(F.slice("_groups", 1, max_chunks - 1), F.array(F.array_distinct(F.flatten(F.slice("_groups", F.lit(max_chunks), F.size("_groups")))))),
     ).otherwise(F.col("_groups"))
     return both.withColumn("_groups", packed).select(doc, "_len", F.posexplode(groups).alias("chunk_no", "segment_ids")).select(
         doc, "chunk_no", "segment_ids", chars(F.col("segment_ids")).alias("chars")

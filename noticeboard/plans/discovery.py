@@ -294,8 +294,9 @@ def import_totals(spark, d):
 @query("version_changes", f"""WITH {_HASHED_SQL}, cur AS (SELECT id, h, id//3 AS root_id, id%3+1 AS version_no, CASE WHEN lang='en' THEN 'PUBLISHED' ELSE 'REVIEWED' END AS status FROM dh),
 own AS (SELECT h, min(id) AS lo, max(id) AS hi FROM cur GROUP BY 1),
 inc AS (SELECT dh.id, CASE dh.id%4 WHEN 0 THEN h WHEN 1 THEN sha256({sq("text || 'x'")}) ELSE (SELECT h FROM dh x WHERE x.id=0) END AS nh FROM dh), v AS (SELECT root_id, max(version_no) AS top FROM cur GROUP BY 1),
-a AS (SELECT cur.*, top, CASE WHEN cur.h=nh THEN 'UNCHANGED' WHEN status='PUBLISHED' THEN 'NEW_VERSION' WHEN coalesce(lo<>cur.id OR hi<>cur.id,false) THEN 'DUPLICATE' ELSE 'REPLACED' END AS action FROM cur JOIN inc USING (id) LEFT JOIN own ON own.h=nh JOIN v USING (root_id))
-SELECT id, action, cast(CASE WHEN action='NEW_VERSION' THEN top+1 ELSE version_no END AS bigint) AS version_no, CASE WHEN action='NEW_VERSION' THEN id END AS previous_version_id, CASE WHEN action IN ('NEW_VERSION','REPLACED') THEN 'UPLOADED' ELSE status END AS document_status FROM a""")
+a AS (SELECT cur.*, nh, top, CASE WHEN cur.h=nh THEN 'UNCHANGED' WHEN status='PUBLISHED' THEN 'NEW_VERSION' WHEN coalesce(lo<>cur.id OR hi<>cur.id,false) THEN 'DUPLICATE' ELSE 'REPLACED' END AS action FROM cur JOIN inc USING (id) LEFT JOIN own ON own.h=nh JOIN v USING (root_id)),
+g AS (SELECT nh, min(id) AS f FROM a WHERE action IN ('NEW_VERSION','REPLACED') GROUP BY 1), b AS (SELECT a.* REPLACE (CASE WHEN action='REPLACED' AND id>f THEN 'DUPLICATE' ELSE action END AS action) FROM a LEFT JOIN g USING (nh))
+SELECT id, action, cast(CASE WHEN action='NEW_VERSION' THEN top+count(*) FILTER (action='NEW_VERSION') OVER (PARTITION BY root_id ORDER BY id) ELSE version_no END AS bigint) AS version_no, CASE WHEN action='NEW_VERSION' THEN id END AS previous_version_id, CASE WHEN action IN ('NEW_VERSION','REPLACED') THEN 'UPLOADED' ELSE status END AS document_status FROM b""")
 def version_changes(spark, d):
     """A re-crawl: a quarter is unchanged, a quarter grew, the rest shows the text of the first document."""
     docs = hashed(spark, d)

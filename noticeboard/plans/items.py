@@ -35,11 +35,11 @@ def scored(spark, d):
 
 
 @query("hot_list", f"""WITH {SCORED_SQL} SELECT id, title, category, views, likes, favorites, reminders, hot_score
-FROM scored WHERE status='PUBLISHED' AND (expires_at IS NULL OR expires_at >= timestamp '{PICKS}') ORDER BY {ORDER_SQL} LIMIT 100""")
+FROM scored WHERE status='PUBLISHED' AND (expires_at IS NULL OR expires_at >= timestamp '{PICKS}')""")
 def hot_list(spark, d):
-    """Visible items with their engagement in business order."""
+    """All visible items with their engagement in business order."""
     return (
-        P.visible(scored(spark, d), PICKS).orderBy(*W.business_order()).limit(100)
+        P.visible(scored(spark, d), PICKS).orderBy(*W.business_order())
         .select("id", "title", "category", "views", "likes", "favorites", "reminders", "hot_score")
     )
 

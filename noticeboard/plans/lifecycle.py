@@ -48,13 +48,12 @@ def moderation_states(spark, d):
     return S.moderation_twin(actions)
 
 
-@query("overdue_jobs", f"""WITH j AS {JOBS.sql}, l AS (SELECT document_id AS id, arg_max(status='PROCESSING' AND stage='QUEUED', updated_at) AS is_open, max(updated_at) AS last_at, count(*) FILTER (updated_at=m) AS same FROM (SELECT *, max(updated_at) OVER (PARTITION BY document_id) AS m FROM j) GROUP BY 1)
-SELECT id, last_at + INTERVAL 90 MINUTE AS deadline FROM l WHERE is_open AND same=1 AND last_at + INTERVAL 90 MINUTE < timestamp '1998-06-01'""")
+@query("overdue_jobs", f"""WITH j AS {JOBS.sql}, l AS (SELECT document_id AS id, bool_or(status='PROCESSING' AND stage='QUEUED') FILTER (updated_at=m) AS is_open, max(updated_at) AS last_at FROM (SELECT *, max(updated_at) OVER (PARTITION BY document_id) AS m FROM j) GROUP BY 1)
+SELECT id, last_at + INTERVAL 90 MINUTE AS deadline FROM l WHERE is_open AND last_at + INTERVAL 90 MINUTE < timestamp '1998-06-01'""")
 def overdue_jobs(spark, d):
-    """Documents whose last heartbeat left them waiting, more than 90 minutes before the moment looked at."""
+    """Documents whose last heartbeat left them waiting, more than 90 minutes before the moment looked at; of equal times the waiting one counts."""
     ev = S.heartbeats(JOBS(spark, d).withColumn("id", F.col("document_id")))
-    ties = ev.groupBy("id", "ts").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("n", "ts").alias("n")).where("n = 1")
-    return S.overdue_twin(ev, F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")).join(ties.select("id"), "id", "left_semi")
+    return S.overdue_twin(ev, F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"))
 
 
 # -------------------------------------------------------------- queue, budget --

@@ -410,7 +410,7 @@ def distinct_warnings(spark, d):
 # ------------------------------------------------------------ classification --
 STRONG = [("ALPHA", ["src7", "src8"]), ("BETA", ["src3"])]
 RULES = [("ALPHA", ["the", "ing"]), ("BETA", ["que", "ment"]), ("GAMMA", ["und", "sch"]), ("DELTA", ["cion", "para"])]
-_BODY = "substr(text,1,4000)"
+_BODY = "text"
 
 
 def _kind_scores(t: str, b: str) -> str:

@@ -118,7 +118,7 @@ def overdue(events: DataFrame, lateness: str = "0 seconds") -> DataFrame:
 
 
 def overdue_twin(events: DataFrame, as_of: Column) -> DataFrame:
-    last = events.groupBy("id").agg(F.max_by(F.struct("is_open", "deadline"), "ts").alias("e"))
+    last = events.groupBy("id").agg(F.max(F.struct("ts", "is_open", "deadline")).alias("e"))
     return last.where(F.col("e.is_open") & (F.col("e.deadline") < as_of)).select("id", F.col("e.deadline").alias("deadline"))
 
 

@@ -46,10 +46,25 @@ def test_matches_a_plain_loop(spark):
          T0 + dt.timedelta(hours=rnd.randrange(60), minutes=i))
         for i in range(60)
     ]
-    # rounds only, rounds with a walked tail, everything open walked
-    for limits, tail in (((5, 0, 200, 4), 0), ((5, 0, 200, 4), 8), ((0, 150, 200, 0), 5000), ((9, 200, 100, 5), 5000)):
-        out = B.reserve_budget(spark.createDataFrame(rows, REQ), spark.createDataFrame([(k, *v) for k, v in sources.items()], SRC), *limits, tail_rows=tail)
-        assert {r.queue_id: r.reason_code for r in out.collect()} == loop(rows, sources, *limits), (limits, tail)
+    for limits in ((5, 0, 200, 4), (0, 150, 200, 0)):
+        out = B.reserve_budget(spark.createDataFrame(rows, REQ), spark.createDataFrame([(k, *v) for k, v in sources.items()], SRC), *limits)
+        assert {r.queue_id: r.reason_code for r in out.collect()} == loop(rows, sources, *limits), limits
+
+
+def test_batches_carry_usage_and_exempt_rows_are_free(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice([1, 2, None]), rnd.choice([None, 7]), "x" * rnd.choice([4, 40]), f"h{rnd.randrange(25)}", True, T0 + dt.timedelta(minutes=i)) for i in range(30)]
+    sources = spark.createDataFrame([(1, 4, 0, True), (2, 0, 90, True)], SRC)
+    limits = {"global_articles": 12, "global_tokens": 200, "max_chars": 100, "per_task": 6}
+    whole = {r.queue_id: r.reason_code for r in B.reserve_budget(spark.createDataFrame(rows, REQ), sources, **limits).collect()}
+    first = B.reserve_budget(spark.createDataFrame(rows[:15], REQ), sources, **limits)
+    held = first.where("status = 'RESERVED'").select("content_hash")
+    second = B.reserve_budget(spark.createDataFrame(rows[15:], REQ), sources, **limits, reserved=held, usage=B.usage_of(first))
+    assert {r.queue_id: r.reason_code for r in first.union(second).collect()} == whole
+    free = spark.createDataFrame(rows, REQ).withColumn("exempt", F.col("queue_id") % 2 == 0)
+    out = B.reserve_budget(free, sources, **limits).collect()
+    assert {r.reason_code for r in out if r.exempt} <= {None, "CONTENT_HASH_DUPLICATE"}
+    assert sum(r.status == "RESERVED" and not r.exempt for r in out) <= 12 and sum(r.status == "RESERVED" for r in out) > sum(v is None for v in whole.values())
 
 
 def test_next_local_day_resets(spark):
