@@ -348,3 +348,17 @@ IMAGE_POLICIES = ["MANUAL_REVIEW", "ORGANIZATION_OWNED", "OFFICIAL_PUBLICITY", "
 RECENT_DAYS = [1, 3, 7, 30]
 DEFAULT_ZONE = "Asia/Shanghai"
 DEFAULT_CRAWL_TIME = "03:30"
+
+
+# fixed values: sentences of a guide's digest; {NAMES} are field values, a [part] is left out when one of its values is missing
+ACTIVITY_SECTION = r"(?s)活动时间与地点.*?(?=辅导内容|\z)"
+GUIDE_MENTIONS = {"TIME": r"(\d{2}:\d{2}-\d{2}:\d{2})", "CAPACITY": r"(每场限\d+人)"}
+GUIDE_TEMPLATES = {
+    "activity": ["{DATES}[ {TIME}]"],
+    "summary": ["{TARGET_AUDIENCE}可以按通知参加或申请。", "办理时间为{START_DATE}至{END_DATE}。", "活动安排在{ACTIVITY}[，{CAPACITY}]。", "地点为{LOCATION}。", "请携带{MATERIAL}。"],
+    "steps": ["在规定时间报名：{START_DATE}至{END_DATE}完成报名。", "准备材料：准备{MATERIAL}。", "按时到场：[在{ACTIVITY}]前往{LOCATION}。"],
+    "lines": ["活动日期：{DATES}", "活动时间：{TIME}", "{CAPACITY}"],
+    "no_summary": ["暂未从材料正文中识别出结构化字段，请人工核对原文。"],
+    "no_text": ["待人工填写。"],
+}
+NO_NEWS_SUMMARY = "暂未从材料正文中识别出可展示内容，请人工核对原文。"

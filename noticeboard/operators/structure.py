@@ -72,7 +72,7 @@ def bounded_parts(c, max_chars: int) -> Column:
 
 
 def split_sections(
-    segments: DataFrame, doc: str = "doc_id", max_chars: int = 6000, heading: str = V.SECTION_HEADING, order=("page_no", "segment_id"),
+    segments: DataFrame, doc: str = "doc_id", max_chars: int | None = 6000, heading: str = V.SECTION_HEADING, order=("page_no", "segment_id"),
 ) -> DataFrame:
     """(doc, section_no, part_no, title, text, page_no, segment_ids): a short heading line starts a section.
 
@@ -98,8 +98,9 @@ def split_sections(
         F.when(F.col("_first._head"), F.col("_first.page_no")).otherwise(F.col("_start")).alias("page_no"),
         F.array_distinct(F.transform("_l", lambda s: s["_seg"])).alias("segment_ids"), body.alias("_body"),
     )
-    long = F.length("_body") > max_chars
-    return sections.select("*", F.posexplode(bounded_parts("_body", max_chars)).alias("part_no", "text")).select(
+    long = F.lit(False) if max_chars is None else F.length("_body") > max_chars
+    parts = F.array("_body") if max_chars is None else bounded_parts("_body", max_chars)
+    return sections.select("*", F.posexplode(parts).alias("part_no", "text")).select(
         doc, "section_no", "part_no",
         F.concat("_title", F.when(long, F.concat(F.lit("（"), (F.col("part_no") + 1).cast("string"), F.lit("）"))).otherwise("")).alias("title"),
         "text", "page_no", "segment_ids",

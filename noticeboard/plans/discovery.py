@@ -54,13 +54,13 @@ k AS (SELECT page_id, title, x, min(i) AS i FROM c WHERE length(x)>=8 AND x<>tit
 t AS (SELECT page_id, trim(string_agg(x, E'\n' ORDER BY i)) AS body FROM k GROUP BY 1)"""
 
 
-@query("page_articles", f"WITH {_ARTICLE_SQL} SELECT m.page_id, m.title, sha256({sq('t.body')}) AS content_hash, length(t.body) AS body_chars, length(t.body)<60 AS rejected FROM m JOIN t USING (page_id)")
+@query("page_articles", f"WITH {_ARTICLE_SQL} SELECT m.page_id, m.title, sha256({sq("coalesce(t.body, '')")}) AS content_hash, coalesce(length(t.body), 0) AS body_chars, coalesce(length(t.body), 0)<60 AS rejected FROM m LEFT JOIN t USING (page_id)")
 def page_articles(spark, d):
     a = G.extract_article(G.parse_pages(pages(spark, d)))
-    return a.where("body <> ''").select("page_id", "title", "content_hash", F.length("body").cast("bigint").alias("body_chars"), "rejected")
+    return a.select("page_id", "title", "content_hash", F.length("body").cast("bigint").alias("body_chars"), "rejected")
 
 
-@query("page_metadata", f"SELECT page_id, 'by ' || cast(page_id AS string) AS author, 'pub' AS source_name, {CLEAN} AS canonical, CASE WHEN page_id % 2 = 0 THEN 'meta title' ELSE {_TITLE_SQL} END AS title FROM pages WHERE {_TITLE_SQL}<>'' OR page_id % 2 = 0")
+@query("page_metadata", f"SELECT page_id, 'by ' || cast(page_id AS string) AS author, 'pub' AS source_name, {CLEAN} AS canonical, CASE WHEN page_id % 2 = 0 THEN 'meta title' WHEN {_TITLE_SQL}<>'' THEN {_TITLE_SQL} ELSE 'unused' END AS title FROM pages")
 def page_metadata(spark, d):
     """Meta tags first, JSON-LD fills what is missing."""
     head = F.concat(
@@ -69,7 +69,7 @@ def page_metadata(spark, d):
         F.when(F.col("page_id") % 2 == 0, '<meta property="og:title" content=" meta title ">').otherwise(""),
     )
     raw = pages(spark, d).withColumn("html", F.replace(F.col("html"), F.lit("<head>"), head))
-    meta = G.coalesce_meta(G.parse_pages(raw)).where("title <> 'unused'")
+    meta = G.coalesce_meta(G.parse_pages(raw))
     return meta.select("page_id", "author", "source_name", "canonical", "title")
 
 

@@ -72,7 +72,7 @@ def line_segments(spark, d):
     return doc_lines(spark, d).select("doc_id", F.col("page_no").cast("bigint").alias("segment_id"), "page_no", "text")
 
 
-def sections(spark, d, max_chars=10_000_000):
+def sections(spark, d, max_chars=None):
     return S.split_sections(line_segments(spark, d), max_chars=max_chars, heading=HEADING)
 
 
