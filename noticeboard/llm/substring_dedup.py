@@ -50,16 +50,16 @@ class Paths:
         self.start = self.at - words.first[self.text]
         self.content = Spans(words.hash, base=0x2545F4914F6CDD1D).hash(self.at, self.at + self.count + window - 1).view(np.int64)
         same = self.text[1:] == self.text[:-1] if len(begin) else np.zeros(0, bool)
-        self.after, self.before = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)  # 0: none
-        self.after[:-1][same] = self.content[1:][same]
-        self.before[1:][same] = self.content[:-1][same]
+        # half of the neighbour's hash, enough to tell whether a path goes on alike everywhere; 0: none
+        self.after, self.before = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int32)
+        half = (self.content >> 33).astype(np.int32) | 1
+        self.after[:-1][same] = half[1:][same]
+        self.before[1:][same] = half[:-1][same]
 
 
 def _paths(docs: DataFrame, window: int, inner: int) -> DataFrame:
     schema = docs.select("doc_id", "text_key").schema
-    for name in ("anchor", "content", "before", "after"):
-        schema.add(name, "long")
-    schema.add("start", "integer").add("edges", "integer").add("twice", "boolean")
+    schema.add("anchor", "long").add("content", "long").add("before", "integer").add("after", "integer").add("start", "integer").add("edges", "integer").add("twice", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in pieces(batches):
@@ -74,8 +74,8 @@ def _paths(docs: DataFrame, window: int, inner: int) -> DataFrame:
 
 
 def _edges(branching: DataFrame, window: int) -> DataFrame:
-    """branching(doc_id, text_key, text, spans<start, edges, anchor, content>) -> every edge of these paths, by its coordinates."""
-    schema = branching.select("doc_id", "text_key").schema.add("anchor", "long").add("content", "long").add("edge", "long").add("at", "integer")
+    """branching(doc_id, text_key, text, spans<start, edges, anchor, single>) -> every edge of these paths, by its coordinates."""
+    schema = branching.select("doc_id", "text_key").schema.add("anchor", "long").add("single", "boolean").add("edge", "long").add("at", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in pieces(batches):
@@ -131,31 +131,32 @@ def repeated_paths(docs: DataFrame, window: int = 35, inner: int = INNER) -> tup
     repeated words, compacted: a span of non-branching paths is one row with the content of its first path.
     """
     found = _paths(docs, window, inner)
-    # one row per distinct path; copies are counted before they are shuffled
-    stats = found.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("n"), F.min("after").alias("_a"), F.max("after").alias("_z"), F.min("before").alias("_b"), F.max("before").alias("_y"), F.max("twice").alias("twice"),
-        F.min(F.struct("doc_id", "text_key", "start", "edges")).alias("at"),
+    # anchors that occur once hold nothing that repeats; the others' paths are all that goes on from here
+    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), F.max("twice").alias("_t")).where("_n > 1 OR _t").select("anchor")
+    shared = cut(found.join(anchors, "anchor", "left_semi"))
+    stats = shared.groupBy("anchor", "content").agg(
+        F.count(F.lit(1)).alias("n"), F.min("after").alias("_a"), F.max("after").alias("_z"), F.min("before").alias("_b"), F.max("before").alias("_y"),
+        F.max("twice").alias("twice"), F.min(F.struct("doc_id", "text_key", "start", "edges")).alias("at"),
     )
-    shared = stats.groupBy("anchor").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_kinds"), F.max("twice").alias("_t")).where("_n > 1 OR _t").drop("_t")
-    paths = cut(stats.join(shared, "anchor").select(
+    kinds = stats.groupBy("anchor").agg(F.count(F.lit(1)).alias("_kinds"))
+    paths = cut(stats.join(kinds, "anchor").select(
         "anchor", "content", "n", ((F.col("_kinds") > 1) | F.col("twice")).alias("open"), ((F.col("_a") == F.col("_z")) & (F.col("_a") != 0)).alias("one_after"),
         ((F.col("_b") == F.col("_y")) & (F.col("_b") != 0)).alias("one_before"), "at",
     ))
-    # branching paths, opened at one place each: which edges occur in two different paths
-    opened = paths.where("open").groupBy("at.doc_id", "at.text_key").agg(F.collect_list(F.struct("at.start", "at.edges", "anchor", "content")).alias("spans"))
-    edges = _edges(docs.join(opened, docs["doc_id"].eqNullSafe(opened["doc_id"]) & (docs["text_key"] == opened["text_key"])).select(docs["doc_id"], docs["text_key"], "text", "spans").dropDuplicates(["doc_id", "text_key"]), window)
-    twice = edges.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("content").alias("_d")).where("_d > 1 OR _n > 1").select("anchor", "edge")
-    single = paths.where("open AND n = 1").select("anchor", "content")
-    of_single = edges.join(single, ["anchor", "content"], "left_semi").join(twice, ["anchor", "edge"], "left_semi")
-    pieces_ = of_single.select("doc_id", "text_key", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
+    # branching paths, each opened at one place: an edge that is met twice repeats
+    opened = paths.where("open").groupBy(F.col("at.doc_id").alias("_d"), F.col("at.text_key").alias("_k")).agg(F.collect_list(F.struct("at.start", "at.edges", "anchor", (F.col("n") == 1).alias("single"))).alias("spans"))
+    branching = docs.join(opened, docs["doc_id"].eqNullSafe(opened["_d"]) & (docs["text_key"] == opened["_k"])).select("doc_id", "text_key", "text", "spans")
+    edges = _edges(branching.dropDuplicates(["doc_id", "text_key"]), window)
+    twice = edges.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor", "edge")
+    parts = edges.where("single").join(twice, ["anchor", "edge"], "left_semi").select("doc_id", "text_key", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
     # all places of the paths that occur twice as a whole, joined along the text where nothing branches
     whole = paths.where("n > 1").select("anchor", "content", "one_after", "one_before")
-    places = found.select("doc_id", "text_key", "anchor", "content", "start", "edges").join(whole, ["anchor", "content"])
+    places = shared.select("doc_id", "text_key", "anchor", "content", "start", "edges").join(whole, ["anchor", "content"])
     along = Window.partitionBy("doc_id", "text_key").orderBy("start")
     goes_on = F.col("one_before") & F.lag("one_after").over(along) & ((F.lag("start").over(along) + F.lag("edges").over(along)) == F.col("start"))
     runs = places.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(along))
     long_ = runs.groupBy("doc_id", "text_key", "_run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("edges") + window - 1).alias("end"), F.min_by("content", "start").alias("path"))
-    spans = long_.select("doc_id", "text_key", "start", "end", "path").unionByName(pieces_.withColumn("path", F.lit(None).cast("long")))
+    spans = long_.select("doc_id", "text_key", "start", "end", "path").unionByName(parts.withColumn("path", F.lit(None).cast("long")))
     return paths, spans
 
 
