@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.core import let
+from .common import cut, unused
+
 # fixed values: alphabets within which characters are shifted
 ALPHABETS = [
     "0123456789",
@@ -55,16 +58,17 @@ ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values())
 def _shift(part: Column, digest: Column) -> Column:
     """Every character moved within its alphabet by a byte of the digest; others stay."""
 
-    def one(i: Column) -> Column:
+    def one(part: Column, digest: Column, i: Column) -> Column:
         c = F.substring(part, i, F.lit(1))
         by = F.conv(F.substring(digest, F.pmod(i * 2, F.lit(62)) + 1, F.lit(2)), 16, 10).cast("int")
         out = c
-        for letters in ALPHABETS:
+        for letters in reversed(ALPHABETS):
             at = F.position(c, F.lit(letters))
             out = F.when(at > 0, F.substring(F.lit(letters), F.pmod(at - 1 + by, F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.when(F.length(part) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), one), ""))
+    shifted = lambda p, d: F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1))), lambda i: one(p, d, i)), "")
+    return F.when(F.length(part) == 0, F.lit("")).otherwise(let(part, lambda p: let(digest, lambda d: shifted(p, d))))
 
 
 def permuted(value: Column, key: Column, rounds: int = 6) -> Column:
@@ -79,22 +83,22 @@ def permuted(value: Column, key: Column, rounds: int = 6) -> Column:
 def _in_format(mention: Column, plain: Column, kept: str) -> Column:
     """plain's characters in the places of mention's that match the class `kept`; the others stay."""
     places = F.transform(F.sequence(F.lit(1), F.length(mention)), lambda i: F.substring(mention, i, F.lit(1)))
-    step = lambda s, c: F.when(
-        c.rlike(kept), F.struct(F.concat(s["out"], F.substring(plain, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))
+    step = lambda p: lambda s, c: F.when(
+        c.rlike(kept), F.struct(F.concat(s["out"], F.substring(p, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))
     ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at")))
-    return F.aggregate(places, F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda s: s["out"])
+    return let(plain, lambda p: F.aggregate(places, F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step(p), lambda s: s["out"]))
 
 
 def _luhn(digits: Column) -> Column:
     """Check digit of a string of digits."""
-    n = F.length(digits)
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int")
+    def add(total: Column, i: Column, ds: Column) -> Column:
+        d = F.substring(ds, i, F.lit(1)).cast("int")
         twice = d * 2
-        return total + F.when(F.pmod(n - i, F.lit(2)) == 0, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d)
+        return total + F.when(F.pmod(F.length(ds) - i, F.lit(2)) == 0, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d)
 
-    return F.pmod(-F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), add), F.lit(10))
+    places = lambda ds: F.sequence(F.lit(1), F.greatest(F.length(ds), F.lit(1)))
+    return let(digits, lambda ds: F.pmod(-F.aggregate(places(ds), F.lit(0), lambda total, i: add(total, i, ds)), F.lit(10)))
 
 
 def _digits(c: Column) -> Column:
@@ -138,8 +142,8 @@ def surrogate(mention: Column, kind: Column, key: Column) -> Column:
     # cards keep their first digit, and the check digit stays right (or wrong by as much)
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     new_body = F.concat(F.substring(body, 1, 1), of("card", F.substring(body, F.lit(2), F.length(body))))
-    check = F.pmod(_luhn(new_body) + F.substring(digits, -1, 1).cast("int") - _luhn(body), F.lit(10))
-    card = _in_format(mention, F.concat(new_body, check.cast("string")), "[0-9]")
+    check = lambda b: F.pmod(_luhn(b) + F.substring(digits, -1, 1).cast("int") - _luhn(body), F.lit(10))
+    card = let(new_body, lambda b: _in_format(mention, F.concat(b, check(b).cast("string")), "[0-9]"))
     plain_iban = F.regexp_replace(mention, " ", "")
     iban = _in_format(mention, F.concat(F.substring(plain_iban, 1, 2), of("iban", F.substring(plain_iban, F.lit(3), F.length(plain_iban)))), "[A-Z0-9]")
     # addresses: two 16-bit halves
@@ -163,20 +167,29 @@ def surrogate(mention: Column, kind: Column, key: Column) -> Column:
     )
 
 
-def mentions(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+MARK = "\ue000"  # a private-use character around mentions
+
+
+def split_up(text: Column) -> Column:
+    """The text as array<text before, mention, text between, mention, ..., text after>, in one pass of the patterns."""
+    marked = F.split(F.regexp_replace(text, F.lit(ANY), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    # a text that holds the mark itself is taken apart in two passes
+    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    apart = F.flatten(F.zip_with(F.split(text, ANY, -1), found, lambda t, m: F.when(m.isNull(), F.array(t)).otherwise(F.array(t, m))))
+    return F.when(F.contains(text, F.lit(MARK)), apart).otherwise(marked)
 
 
 def entities(docs: DataFrame, key: str) -> DataFrame:
     """Distinct kind, entity (in canonical form) and its surrogate (likewise) of all texts."""
-    found = docs.select(F.explode(mentions(F.col("text").cast("string"))).alias("m")).distinct().withColumn("kind", kind_of(F.col("m")))
+    parts = docs.select(split_up(F.col("text").cast("string")).alias("p")).where("size(p) > 1")
+    found = parts.select(F.explode(F.filter("p", lambda x, i: i % 2 == 1)).alias("m")).distinct().withColumn("kind", kind_of(F.col("m")))
     found = found.withColumn("s", surrogate(F.col("m"), F.col("kind"), F.lit(key)))
     return found.select("kind", canonical(F.col("m"), F.col("kind")).alias("entity"), canonical(F.col("s"), F.col("kind")).alias("surrogate")).distinct()
 
 
 def collisions(docs: DataFrame, key: str) -> DataFrame:
     """kind, surrogate, n of surrogates that stand for several entities, and kind, entity, n of entities with several surrogates."""
-    found = entities(docs, key)
+    found = cut(entities(docs, key))
     one = found.groupBy("kind", "surrogate").agg(F.count_distinct("entity").alias("n")).where("n > 1").withColumn("what", F.lit("not distinct"))
     two = found.groupBy("kind", F.col("entity").alias("surrogate")).agg(F.count_distinct("surrogate").alias("n")).where("n > 1").withColumn("what", F.lit("not coreferent"))
     return one.unionByName(two)
@@ -198,10 +211,12 @@ def replaced(docs: DataFrame, key: str, check: bool = True) -> DataFrame:
     Repeated rows get the same text.  An existing column _entities is replaced; other names do not matter.
     """
     key = free_key(docs, key) if check else key
-    text = F.col("text").cast("string")
-    found = F.transform(mentions(text), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("mention")))
+    text, parts = F.col("text").cast("string"), unused("_parts", docs)
+    split = docs.withColumn(parts, split_up(text))
+    found = F.transform(F.filter(parts, lambda x, i: i % 2 == 1), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("mention")))
     new = F.transform(found, lambda e: F.struct(e["kind"].alias("kind"), surrogate(e["mention"], e["kind"], F.lit(key)).alias("surrogate")))
-    between = F.split(text, ANY, -1)
+    none = F.array().cast("array<struct<kind:string,surrogate:string>>")
+    marked = split.withColumn("_entities", F.when(F.size(parts) > 1, new).otherwise(none))
+    between = F.filter(parts, lambda x, i: i % 2 == 0)
     whole = F.array_join(F.zip_with(between, F.transform(F.col("_entities"), lambda e: e["surrogate"]), lambda a, s: F.concat(a, F.coalesce(s, F.lit("")))), "")
-    marked = docs.withColumn("_entities", F.coalesce(new, F.array().cast("array<struct<kind:string,surrogate:string>>")))
-    return marked.withColumn("text", F.when(F.size("_entities") > 0, whole).otherwise(text))
+    return marked.withColumn("text", F.when(F.size("_entities") > 0, whole).otherwise(text)).select(*[c for c in docs.columns if c != "_entities"], "_entities")
