@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from . import vocab as V
@@ -175,7 +177,7 @@ def change_summary(old_text, new_text, old_hash, new_hash) -> Column:
     )
 
 
-def page_quality(c, image_ratio) -> Column:
+def page_quality(c, image_ratio, limits=(V.PAGE_GOOD, V.PAGE_UNCERTAIN, V.PAGE_THIN), weights=V.PAGE_WEIGHTS, full_chars: float = V.PAGE_FULL_CHARS) -> Column:
     """Struct of ratios, label and score of one page of extracted text."""
     raw, ratio = text(c), col(image_ratio).cast("double")
 
@@ -193,16 +195,11 @@ def page_quality(c, image_ratio) -> Column:
         )
 
     def judge(m: Column) -> Column:
-        thin = (ratio >= 0.35) & (m["chars"] < 80)
-        label = (
-            F.when((m["chars"] >= 12) & (m["valid"] >= 0.65) & (m["repl"] <= 0.02) & (m["garbage"] <= 0.08) & ~thin, "GOOD")
-            .when((m["chars"] >= 5) & (m["valid"] >= 0.4) & (m["repl"] <= 0.1) & (m["garbage"] <= 0.2), "UNCERTAIN")
-            .otherwise("POOR")
-        )
-        score = (
-            F.least(F.lit(1.0), m["chars"] / F.lit(120.0)) * 0.25 + m["valid"] * 0.4 + m["chinese"] * 0.15
-            - m["repl"] * 0.5 - m["garbage"] * 0.4 - F.when(thin, 0.18).otherwise(0.0)
-        )
+        thin = (ratio >= limits[2]["image"]) & (m["chars"] < limits[2]["chars"])
+        meets = lambda least: (m["chars"] >= least["chars"]) & (m["valid"] >= least["valid"]) & (m["repl"] <= least["repl"]) & (m["garbage"] <= least["garbage"])
+        label = F.when(meets(limits[0]) & ~thin, "GOOD").when(meets(limits[1]), "UNCERTAIN").otherwise("POOR")
+        parts = {"length": F.least(F.lit(1.0), m["chars"] / F.lit(full_chars)), **{k: m[k] for k in ("valid", "chinese", "repl", "garbage")}, "thin": F.when(thin, 1.0).otherwise(0.0)}
+        score = reduce(lambda a, b: a + b, [parts[k] * w for k, w in weights.items()])
         return F.struct(
             label.alias("quality"), score.alias("raw_score"), round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"),
             m["chars"].alias("text_char_count"), round_half_up(m["chinese"], 4).alias("valid_chinese_ratio"), round_half_up(m["repl"], 4).alias("replacement_char_ratio"),

@@ -362,3 +362,11 @@ GUIDE_TEMPLATES = {
     "no_text": ["待人工填写。"],
 }
 NO_NEWS_SUMMARY = "暂未从材料正文中识别出可展示内容，请人工核对原文。"
+
+# fixed values: what makes the extracted text of a page usable (characters, readable share, replacement and garbage shares)
+PAGE_GOOD = {"chars": 12, "valid": 0.65, "repl": 0.02, "garbage": 0.08}
+PAGE_UNCERTAIN = {"chars": 5, "valid": 0.4, "repl": 0.1, "garbage": 0.2}
+#: an image that fills this share of a page with fewer characters makes it thin
+PAGE_THIN = {"image": 0.35, "chars": 80}
+PAGE_WEIGHTS = {"length": 0.25, "valid": 0.4, "chinese": 0.15, "repl": -0.5, "garbage": -0.4, "thin": -0.18}
+PAGE_FULL_CHARS = 120.0

@@ -18,8 +18,6 @@ from ..operators.ordered import top_per_key
 MAX_BYTES = 1024 * 1024
 MAX_NODES = 10_000
 MAX_DEPTH = 32
-MAX_CANDIDATES = 100
-MAX_CHILDREN = 20
 
 _ENTRY = "title string, link string, guid string, pubDate string"
 RSS = f"channel struct<item: array<struct<{_ENTRY.replace(' string', ': string')}>>>, item array<struct<{_ENTRY.replace(' string', ': string')}>>"
@@ -92,7 +90,7 @@ def resolve_url(url: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(u, b) for u, b in zip(url, base)], dtype="object")
 
 
-def to_candidates(entries: DataFrame) -> DataFrame:
+def to_candidates(entries: DataFrame, title_chars: int = 300) -> DataFrame:
     """Entries (source_id, source_url, page_url, pos, method, raw_url, title, published) to candidates with an error column."""
     missing = strip("raw_url") == ""
     canonical = normalize_url(resolve_url("raw_url", "page_url"))
@@ -103,14 +101,16 @@ def to_candidates(entries: DataFrame) -> DataFrame:
     )
     return out.withColumn("error", error).select(
         "source_id", "page_url", "pos", F.when(error.isNull(), F.col("canonical_url")).alias("canonical_url"),
-        left(strip("title"), 300).alias("title"), F.nullif(strip("published"), F.lit("")).alias("published_time"),
+        left(strip("title"), title_chars).alias("title"), F.nullif(strip("published"), F.lit("")).alias("published_time"),
         F.col("method").alias("discovery_method"), F.when(error.isNull(), F.sha2("canonical_url", 256)).alias("dedup_key"), "error",
     )
 
 
-def _capped(candidates: DataFrame) -> DataFrame:
-    """At most MAX_CANDIDATES good entries per document; error rows stay."""
-    good = top_per_key(candidates.where("error is null"), ["source_id", "page_url"], [F.col("pos")], MAX_CANDIDATES)
+def _capped(candidates: DataFrame, most: int | None) -> DataFrame:
+    """At most so many good entries per document, all if None; error rows stay."""
+    if most is None:
+        return candidates
+    good = top_per_key(candidates.where("error is null"), ["source_id", "page_url"], [F.col("pos")], most)
     return good.unionByName(candidates.where("error is not null"))
 
 
@@ -122,7 +122,7 @@ def _document_errors(guarded: DataFrame, error: Column) -> DataFrame:
     )
 
 
-def explode_feed(df: DataFrame) -> DataFrame:
+def explode_feed(df: DataFrame, max_candidates: int | None = None) -> DataFrame:
     """RSS 2.0 items and Atom entries as candidates; one error row per bad document or entry."""
     guarded = guard_xml(df).withColumn("_root", root_name("content"))
     error = F.coalesce("xml_error", F.when(~F.col("_root").isin("rss", "feed"), "NOT_A_FEED"))
@@ -142,11 +142,11 @@ def explode_feed(df: DataFrame) -> DataFrame:
         *keep, "pos", F.lit("ATOM").alias("method"), F.try_element_at(usable, F.lit(1))["_href"].alias("raw_url"),
         F.col("e.title").alias("title"), F.coalesce(F.nullif(strip("e.published"), F.lit("")), F.col("e.updated")).alias("published"),
     )
-    return _capped(to_candidates(rss.unionByName(atom))).unionByName(_document_errors(guarded, error))
+    return _capped(to_candidates(rss.unionByName(atom)), max_candidates).unionByName(_document_errors(guarded, error))
 
 
-def sitemap_children(df: DataFrame) -> DataFrame:
-    """Distinct same-origin children of sitemap indexes (first 20), error rows for other ones."""
+def sitemap_children(df: DataFrame, max_children: int | None = None) -> DataFrame:
+    """Distinct same-origin children of sitemap indexes (of the first max_children, if given), error rows for other ones."""
     ok = guard_xml(df).where("xml_error is null").where(root_name("content") == "sitemapindex")
     entries = ok.withColumn("x", F.from_xml("content", F.lit(SITEMAP_INDEX), _XML)).select(
         "source_id", "source_url", "page_url", F.posexplode("x.sitemap").alias("pos", "e")
@@ -155,16 +155,16 @@ def sitemap_children(df: DataFrame) -> DataFrame:
         F.lit("").alias("title"), F.lit("").alias("published"),
     )
     found = to_candidates(entries)
-    good = top_per_key(found.where("error is null"), ["source_id", "page_url"], [F.col("pos")], MAX_CHILDREN)
+    good = _capped(found.where("error is null"), max_children)
     first = top_per_key(good, ["source_id", "page_url", "canonical_url"], [F.col("pos")], 1)
     return first.unionByName(found.where("error is not null"))
 
 
-def explode_sitemap(df: DataFrame, fetched: DataFrame | None = None) -> DataFrame:
+def explode_sitemap(df: DataFrame, fetched: DataFrame | None = None, max_candidates: int | None = None, max_children: int | None = None) -> DataFrame:
     """urlset entries as candidates; with fetched (url, content) one extra level below sitemap indexes."""
     level = df
     if fetched is not None:
-        children = sitemap_children(df).where("error is null").select("source_id", F.col("page_url").alias("_parent"), F.col("canonical_url").alias("url"))
+        children = sitemap_children(df, max_children).where("error is null").select("source_id", F.col("page_url").alias("_parent"), F.col("canonical_url").alias("url"))
         below = children.join(fetched, "url").join(
             df.select("source_id", F.col("page_url").alias("_parent"), "source_url"), ["source_id", "_parent"]
         ).select("source_id", "source_url", F.col("url").alias("page_url"), "content")
@@ -176,4 +176,4 @@ def explode_sitemap(df: DataFrame, fetched: DataFrame | None = None) -> DataFram
         "source_id", "source_url", "page_url", "pos", F.lit("SITEMAP").alias("method"), F.col("e.loc").alias("raw_url"),
         F.lit("").alias("title"), F.col("e.lastmod").alias("published"),
     )
-    return _capped(to_candidates(entries)).unionByName(_document_errors(guarded, error))
+    return _capped(to_candidates(entries), max_candidates).unionByName(_document_errors(guarded, error))
