@@ -238,8 +238,8 @@ def class_links(docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, D
     one = groups.groupBy("size", "leader", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle", "size", "leader")
     met = cut(met.select("shingle", "key").join(one, "shingle"))
     candidates = met.select("key").distinct()
-    chosen = classes.join(candidates, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id")).alias("_d")).select("_d.doc_id")
-    texts = docs.join(chosen.distinct(), "doc_id", "left_semi")
+    chosen = classes.join(candidates, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_d")).select("_d").distinct()
+    texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_d"]), "left_semi")
     sets = cut(_sets(texts.select("text"), counts, ngram).join(candidates, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
     # every class and the leaders of its shingles
     stars = met.where("key <> leader").select("leader", "key").distinct()
@@ -251,11 +251,14 @@ def class_links(docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, D
     linked = components(links)
     # groups that still hold several components, and pairs that no leader has compared
     labelled = met.where("size > 2").join(linked.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    open_ = labelled.groupBy("shingle").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count_if(F.col("key") != F.col("leader")).alias("_m")).where("_lo <> _hi").select("shingle", F.ceil(F.col("_m") / BLOCK).alias("parts"))
-    rows = labelled.where("key <> leader").join(open_, "shingle").withColumn("mine", F.pmod(F.xxhash64("key"), "parts"))
+    open_ = labelled.groupBy("shingle").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("shingle")
+    # shingles with one leader are done together, so that a class is sent once for all of them
+    rows = labelled.where("key <> leader").join(open_, "shingle", "left_semi").select("leader", "key", "component").distinct()
+    parts = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("leader", F.ceil(F.col("_m") / BLOCK).alias("parts"))
+    rows = cut(rows.join(parts, "leader").withColumn("mine", F.pmod(F.xxhash64("key"), "parts")))
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    blocks = pairs.select(F.struct("shingle", low.alias("i"), high.alias("j")).alias("block"), (F.col("mine") == low).alias("asks"), (F.col("mine") == high).alias("stored"), "key", "component")
+    blocks = pairs.select(F.struct("leader", low.alias("i"), high.alias("j")).alias("block"), (F.col("mine") == low).alias("asks"), (F.col("mine") == high).alias("stored"), "key", "component")
     more = cut(_links_of_blocks(blocks, sets, percent))
     if more.limit(1).count():
         linked = components(links.union(more))
