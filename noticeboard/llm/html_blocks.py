@@ -113,9 +113,13 @@ class _Leaves(HTMLParser):
             self._linked += len(data) * (self._links > 0)
 
 
+#: a tag that the end of the page cuts off is no text
+UNFINISHED = re.compile(r"</?[a-zA-Z][^<>]*\Z")
+
+
 def blocks_of(html: str) -> list[Block]:
     reader = _Leaves()
-    reader.feed(html)
+    reader.feed(UNFINISHED.sub("", html))
     reader.close()
     reader._end_run()
     return reader.blocks
