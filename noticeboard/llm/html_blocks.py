@@ -131,13 +131,20 @@ def _bucket(name: str, size: int) -> tuple[int, int]:
     return h % size, 1 - 2 * (h >> 31)
 
 
+@lru_cache(1 << 12)
+def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+    out = np.zeros(PATH, np.float32)
+    for name in set(path):
+        k, sign = _bucket(name, PATH)
+        out[k] += sign
+    return out
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     """One vector per block, all of a page in order."""
     out = np.zeros((len(blocks), WIDTH), np.float32)
     for i, b in enumerate(blocks):
-        for name in set(b.path):
-            k, sign = _bucket(name, PATH)
-            out[i, k] += sign
+        out[i, :PATH] = _path_vector(b.path)
         words = b.text.split()
         for w in words[:64]:
             k, sign = _bucket(w.lower(), WORDS)
@@ -145,7 +152,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         n = len(b.text)
         out[i, PATH + WORDS :] = (
             np.log1p(n) / 5, np.log1p(len(words)) / 4, b.linked / n, sum(map(b.text.count, ".,;:!?")) / len(words) / 2,
-            b.text[-1] in ".!?…»\"”", i / max(1, len(blocks) - 1), len(b.path) / 12, sum(c.isdigit() for c in b.text) / n,
+            b.text[-1] in ".!?…»\"”", i / max(1, len(blocks) - 1), len(b.path) / 12, sum(map(b.text.count, "0123456789")) / n,
         )
     return out
 
