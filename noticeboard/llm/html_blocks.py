@@ -36,6 +36,9 @@ OTHER_NAMES = (
 OTHER_TAGS = ["nav", "header", "footer", "aside", "form"]
 ROLES = {"navigation": "nav", "banner": "div", "contentinfo": "div", "complementary": "div", "search": "div"}
 
+#: words of attributes that the made pages have; any other has no learned weight, and its bucket would lend it that of some name here
+LEARNED = frozenset(f".{w}" for name in (*MAIN_NAMES, *OTHER_NAMES, *ROLES) for w in name.split("-"))
+
 PATH, WORDS, SHAPE = 192, 32, 8
 WIDTH = PATH + WORDS + SHAPE
 HIDDEN = 24
@@ -92,7 +95,7 @@ class _Leaves(HTMLParser):
         names = [tag]
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
-                names += [f".{w}" for w in re.findall(r"[a-z]+", value.lower())[:12]]
+                names += [f".{w}" for w in dict.fromkeys(re.findall(r"[a-z]+", value.lower()))]  # all words, each once
         self._open.append((tag, tuple(names)))
         self._silent += tag in SILENT_TAGS
         self._links += tag == "a"
@@ -132,19 +135,22 @@ def _bucket(name: str, size: int) -> tuple[int, int]:
 
 
 @lru_cache(1 << 12)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+def _path_vector(path: tuple[str, ...]) -> tuple[np.ndarray, int]:
+    """The hashed names, and the number of elements (names of attributes begin with a point)."""
     out = np.zeros(PATH, np.float32)
     for name in set(path):
+        if name[0] == "." and name not in LEARNED:
+            continue
         k, sign = _bucket(name, PATH)
         out[k] += sign
-    return out
+    return out, sum(not name.startswith(".") for name in path)
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """One vector per block, all of a page in order."""
     out = np.zeros((len(blocks), WIDTH), np.float32)
     for i, b in enumerate(blocks):
-        out[i, :PATH] = _path_vector(b.path)
+        out[i, :PATH], depth = _path_vector(b.path)
         words = b.text.split()
         for w in words[:64]:
             k, sign = _bucket(w.lower(), WORDS)
@@ -152,7 +158,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         n = len(b.text)
         out[i, PATH + WORDS :] = (
             np.log1p(n) / 5, np.log1p(len(words)) / 4, b.linked / n, sum(map(b.text.count, ".,;:!?")) / len(words) / 2,
-            b.text[-1] in ".!?…»\"”", i / max(1, len(blocks) - 1), len(b.path) / 12, sum(map(b.text.count, "0123456789")) / n,
+            b.text[-1] in ".!?…»\"”", i / max(1, len(blocks) - 1), depth / 8, sum(map(b.text.count, "0123456789")) / n,
         )
     return out
 

@@ -295,6 +295,20 @@ def test_html_blocks(spark):
     assert got[6].n_chars == 3000 * len("Line of text.") + 2999 and html_blocks.extract(pages, net).count() == len(rows)
 
 
+def test_late_names_of_an_attribute_count():
+    """Layout classes in front of the telling name, at the article as well as at what is not main text."""
+    layout = "mt-4 px-2 flex flex-col w-full bg-white rounded shadow p-6 text-sm "
+    late = html_blocks.blocks_of(f'<div class="{layout}comments"><p>One.</p></div>')[0].path
+    assert late[-2:] == (".comments", "p") and len(set(late)) == len(late)
+    said = [f"<p class='{layout}leading'>Some text number {i}, which is a sentence.</p>" for i in range(5)]
+    for name in ("comments", "sidebar", "advert", "related"):
+        page = '<html><body><article class="{0}article-body">{2}</article><div class="{0}{1}">{3}</div></body></html>'
+        pages = [page.format(x, name, "".join(said), "".join(said[:4])) for x in (layout, "")]
+        styled, plain = (html_blocks.features(html_blocks.blocks_of(x)) for x in pages)
+        assert (styled == plain).all(), name  # layout classes change nothing
+    assert (html_blocks.features(html_blocks.blocks_of(pages[0].replace(name, "unknown"))) != styled).any()
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(2)
     net = html_blocks.Labeller()
