@@ -4,7 +4,9 @@ Texts are cut into blocks: maximal runs of starting points whose strings share t
 anchor.  Equal strings have equal anchors, so they lie in blocks of one anchor.  Blocks with equal bytes are stored once with their
 number; anchors that occur once are done.  What is left, different blocks under one anchor, is dealt to shards by the anchor (a frequent
 anchor is split further by a second one).  Each shard builds its suffix array by induced sorting and finds, by permuted common prefixes,
-which strings start twice.  Source coordinates lead back to the documents.
+which strings start twice.  An anchor whose blocks alone are larger than a shard, such as that of a passage within a string's length in
+very many texts, goes to no shard: its strings are counted in Spark by two 64-bit hashes, so no task holds them together.  Source
+coordinates lead back to the documents.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .common import BYTE_VALUES, Spans, Texts, U, cut, mix, pieces, ranges, smallest_in_window, union
@@ -56,8 +58,8 @@ def _blocks(docs: DataFrame, length: int, inner: int) -> DataFrame:
 
 
 def _block_texts(rows: DataFrame, length: int, inner: int) -> DataFrame:
-    """rows(doc_id, text_key, text, blocks<start, starts, anchor, n, split>) -> the bytes of the blocks; those to be split, in parts by a
-    second anchor."""
+    """rows(doc_id, text_key, text, blocks<start, starts, anchor, n, split, hot>) -> the bytes of the blocks that are not hot; those to be
+    split, in parts by a second anchor."""
     schema = rows.select("doc_id", "text_key").schema.add("anchor", "long").add("second", "long").add("n", "long").add("start", "integer").add("bytes", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,9 +67,11 @@ def _block_texts(rows: DataFrame, length: int, inner: int) -> DataFrame:
             lists = texts.rows.column("blocks")
             flat = lists.flatten()
             owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            start, starts, anchor, n, split = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            start, starts, anchor, n, split, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(6))
             out: list[list] = [[] for _ in range(6)]
             for i, o in enumerate(owner):
+                if hot[i]:
+                    continue
                 a = int(texts.offsets[o] + start[i])
                 part = texts.buffer[a : a + int(starts[i]) + length - 1]
                 cuts, second = np.array([0]), np.zeros(1, np.int64)
@@ -87,6 +91,41 @@ def _block_texts(rows: DataFrame, length: int, inner: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _strings(rows: DataFrame, length: int, at_once: int = 1 << 18) -> DataFrame:
+    """rows as for _block_texts -> two hashes of every string of the hot blocks, its start, and whether the block occurs once."""
+    schema = rows.select("doc_id", "text_key").schema.add("first", "long").add("other", "long").add("start", "long").add("once", "boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in pieces(batches):
+            for o, blocks in enumerate(texts.rows.column("blocks")):
+                flat = blocks.values
+                start, starts, _, n, _, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(6))
+                for i in np.flatnonzero(hot):
+                    for a in range(0, int(starts[i]), at_once):
+                        count = min(at_once, int(starts[i]) - a)
+                        begin = int(start[i]) + a
+                        part = BYTE_VALUES[texts.buffer[texts.offsets[o] + begin : texts.offsets[o] + begin + count + length - 1]]
+                        first, other = (Spans(part, base=base).rolling(length).view(np.int64) for base in (0x5851F42D4C957F2D, 0x369DEA0F31A53F85))
+                        take = pa.array(np.full(count, o))
+                        yield pa.RecordBatch.from_arrays([
+                            texts.rows.column("doc_id").take(take), texts.rows.column("text_key").take(take), pa.array(first), pa.array(other),
+                            pa.array(np.arange(begin, begin + count)), pa.array(np.full(count, n[i] == 1)),
+                        ], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _counted(rows: DataFrame, length: int) -> DataFrame:
+    """rows as for _block_texts -> doc_id, text_key, start, end of repeated bytes in hot blocks that occur once."""
+    strings = _strings(rows, length)
+    repeated = strings.groupBy("first", "other").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("first", "other")
+    starts = strings.where("once").join(repeated, ["first", "other"], "left_semi")
+    run = F.col("start") - F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("start"))  # of one text
+    return starts.select("doc_id", "text_key", "start", run.alias("_run")).groupBy("doc_id", "text_key", "_run").agg(
+        F.min("start").alias("start"), (F.max("start") + length).alias("end"),
+    ).drop("_run")
+
+
 def _sort_shard(table: pa.Table, length: int) -> pa.Table:
     """One shard: rows(doc_id, text_key, n, start, bytes) -> doc_id, text_key, start, end of repeated bytes in blocks that occur once."""
     parts = [np.frombuffer(b.as_buffer(), np.uint8) for b in table["bytes"]]
@@ -119,14 +158,17 @@ def repeated_bytes(docs: DataFrame, length: int = 400, inner: int = INNER, shard
     shared = stats.groupBy("anchor").agg(
         F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_kinds"), F.max("twice").alias("_t"), F.sum(F.col("at.starts").cast("long") + length).alias("_bytes"),
     ).where("_n > 1 OR _t")
-    blocks = cut(stats.join(shared, "anchor").select("anchor", "content", "n", ((F.col("_kinds") > 1) | F.col("twice")).alias("open"), (F.col("_bytes") > shard_bytes / 4).alias("split"), "at"))
+    blocks = cut(stats.join(shared, "anchor").select("anchor", "content", "n", ((F.col("_kinds") > 1) | F.col("twice")).alias("open"), (F.col("_bytes") > shard_bytes / 4).alias("split"), (F.col("_bytes") > shard_bytes).alias("hot"), "at"))
     open_ = blocks.where("open")
-    shards = max(1, int((open_.agg(F.sum(F.col("at.starts").cast("long") + length)).first()[0] or 0) // shard_bytes))
-    of_doc = open_.groupBy(F.col("at.doc_id").alias("_d"), F.col("at.text_key").alias("_k")).agg(F.collect_list(F.struct("at.start", "at.starts", "anchor", "n", "split")).alias("blocks"))
+    size = {r["hot"]: r["size"] for r in open_.groupBy("hot").agg(F.sum(F.col("at.starts").cast("long") + length).alias("size")).collect()}
+    shards = max(1, int(size.get(False, 0) // shard_bytes))
+    of_doc = open_.groupBy(F.col("at.doc_id").alias("_d"), F.col("at.text_key").alias("_k")).agg(F.collect_list(F.struct("at.start", "at.starts", "anchor", "n", "split", "hot")).alias("blocks"))
     rows = docs.join(of_doc, docs["doc_id"].eqNullSafe(of_doc["_d"]) & (docs["text_key"] == of_doc["_k"])).select("doc_id", "text_key", "text", "blocks").dropDuplicates(["doc_id", "text_key"])
     schema = docs.select("doc_id", "text_key").schema.add("start", "long").add("end", "long")
     texts = _block_texts(rows, length, inner).withColumn("shard", F.pmod(F.xxhash64("anchor", "second"), F.lit(shards)))
     sorted_ = texts.groupBy("shard").applyInArrow(lambda table: _sort_shard(table, length), schema)
+    if True in size:
+        sorted_ = sorted_.unionByName(_counted(rows, length))
     # blocks that occur twice are repeated whole, wherever they occur
     whole = blocks.where("n > 1").select("anchor", "content")
     places = found.join(whole, ["anchor", "content"], "left_semi").select(

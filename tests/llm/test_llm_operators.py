@@ -83,6 +83,26 @@ def test_suffix_dedup_equals_brute_force(spark, corpus, shard_bytes):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_hot_anchor_fills_no_shard(spark, monkeypatch):
+    """A passage shorter than a string, in other words in every text: both anchors lie within it."""
+    rng = random.Random(6)
+    passage = words(rng, 25, 400)[:95]
+    rows = [(i, f"{words(rng, 60, 9999)} {passage} {words(rng, 60, 9999)}") for i in range(150)]
+    rows += [(200 + i, "another beginning " * (i % 3) + rows[i][1][250:-200] + words(rng, 9)) for i in range(0, 40, 3)] + [(7, rows[7][1]), (300, "z" * 5000), (None, rows[9][1] + "é")]
+    whole = suffix_dedup._sort_shard
+
+    def bounded(table, length):
+        if sum(len(b.as_buffer()) for b in table["bytes"]) > 4 * 4000:
+            raise ValueError("too much in one task")
+        return whole(table, length)
+
+    monkeypatch.setattr(suffix_dedup, "_sort_shard", bounded)
+    got = suffix_dedup.remove_repeats(frame(spark, rows), length=120, inner=20, shard_bytes=4000).collect()
+    want = brute_bytes([t.encode() for _, t in rows], 120)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((str(c[0]), *w) for c, w in zip(rows, want))
+    assert sum(r.n_removed > 0 for r in got) > 15 and sum(r.n_removed == 0 for r in got) > 100
+
+
 def test_suffix_arrays_and_prefixes():
     rng = np.random.default_rng(0)
     for trial in range(120):
