@@ -112,14 +112,17 @@ def reminders(reminders_df: DataFrame, items: DataFrame, as_of) -> DataFrame:
 
 
 def filter_candidates(
-    candidates: DataFrame, as_of_date, include=(), exclude=(), recent_days: int = 7, max_articles: int = 20,
-    only_unimported: bool = False,
+    candidates: DataFrame, as_of_date, include=(), exclude=(), recent_days: int = 7, max_articles: int | None = None,
+    only_unimported: bool = False, by=("source_id",),
 ) -> DataFrame:
-    """Keyword and recency filter, in list order (pos), at most max_articles."""
+    """Keyword and recency filter; with max_articles, the first so many of each source (by) in list order (pos).
+
+    An empty `by` takes all rows as the list of one discovery call.
+    """
     if recent_days not in V.RECENT_DAYS:
         raise ValueError(f"recent_days must be one of {V.RECENT_DAYS}")
-    if not 1 <= max_articles <= 100:
-        raise ValueError("max_articles must be between 1 and 100")
+    if max_articles is not None and max_articles < 1:
+        raise ValueError("max_articles must be at least 1")
     searchable = F.lower(F.concat(strip("title"), F.lit(" "), strip("canonical_url")))
     out = candidates
     if include:
@@ -131,7 +134,9 @@ def filter_candidates(
     out = out.where(published.isNull() | (published >= earliest))
     if only_unimported:
         out = out.where(~nulls_to(F.col("imported"), False))
-    return out.orderBy("pos").limit(max_articles)
+    if max_articles is None:
+        return out
+    return top_per_key(out, list(by), [F.col("pos")], max_articles) if by else out.orderBy("pos").limit(max_articles)
 
 
 def gate_hosts(candidates: DataFrame, registry: DataFrame, per_source: int = 100) -> tuple[DataFrame, DataFrame]:

@@ -219,7 +219,14 @@ def filtered_domains(spark, d):
 
 @query("filtered_candidates", f"WITH {_CAND_SQL} SELECT pos, canonical_url FROM cand WHERE (contains(lower(title || ' ' || canonical_url), 'en') OR contains(lower(title || ' ' || canonical_url), 'th')) AND NOT contains(lower(title || ' ' || canonical_url), 'spam') AND (day IS NULL OR day >= date '2026-07-13') ORDER BY pos LIMIT 100")
 def filtered_candidates(spark, d):
-    return P.filter_candidates(candidates(spark, d), "2026-07-20", ["en", "th"], ["spam"], 7, 100).select("pos", "canonical_url")
+    """All pages as the list of one discovery call."""
+    return P.filter_candidates(candidates(spark, d), "2026-07-20", ["en", "th"], ["spam"], 7, 100, by=()).select("pos", "canonical_url")
+
+
+@query("source_candidates", f"WITH {_CAND_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY pos) AS rn FROM cand WHERE (contains(lower(title || ' ' || canonical_url), 'en') OR contains(lower(title || ' ' || canonical_url), 'th')) AND NOT contains(lower(title || ' ' || canonical_url), 'spam') AND (day IS NULL OR day >= date '2026-07-13')) SELECT source_id, pos, canonical_url FROM r WHERE rn<=100")
+def source_candidates(spark, d):
+    """One discovery call per source, each with at most 100 candidates."""
+    return P.filter_candidates(candidates(spark, d), "2026-07-20", ["en", "th"], ["spam"], 7, 100).select("source_id", "pos", "canonical_url")
 
 
 @query("preselected_candidates", f"WITH {_CAND_SQL} SELECT pos FROM cand WHERE canonical_url NOT IN (SELECT canonical_url FROM cand WHERE pos%4=0) AND NOT (contains(canonical_url,'spam') AND NOT contains(canonical_url,'/en'))")

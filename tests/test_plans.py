@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from noticeboard.functions import classify as C
-from noticeboard.operators import joins as J, ordered as O
+from noticeboard.operators import filters as P, joins as J, ordered as O
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +84,10 @@ def test_large_dictionary(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     got = {tuple(r) for r in C.match_terms(df, spark.createDataFrame([(w,) for w in words], "word string"), "t", "id").collect()}
     assert got == {(i, w) for i, t in enumerate(texts) for w in words if w in t}
+
+
+def test_candidates_are_cut_per_source(spark):
+    df = spark.range(900).selectExpr("id AS pos", "id div 300 AS source_id", "'a title' AS title", "concat('https://a.example.org/', id) AS canonical_url", "cast(null AS string) AS published_time")
+    count = lambda n: {r.source_id: r["count"] for r in P.filter_candidates(df, "2026-07-20", ["title"], max_articles=n).groupBy("source_id").count().collect()}
+    assert count(120) == {0: 120, 1: 120, 2: 120} and count(None) == {0: 300, 1: 300, 2: 300}
+    assert {r.pos for r in P.filter_candidates(df, "2026-07-20", max_articles=2).collect()} == {0, 1, 300, 301, 600, 601}
