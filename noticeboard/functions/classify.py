@@ -174,21 +174,33 @@ def term_hits(df: DataFrame, text_col: str, dictionary: list[str], keep: list[st
 def match_terms(df: DataFrame, dictionary: DataFrame, text_col: str, id_col: str, word_col: str = "word", lengths=None) -> DataFrame:
     """Text x large dictionary ("text contains word") as an equi join.
 
-    Each position of the text yields one piece as long as the longest word; pieces
-    and words meet on the characters all words have (the shortest length) and the
-    rest is compared after the join, so there is no theta join.  lengths is the
-    (shortest, longest) word length, read from the dictionary when absent.
+    Words form classes by length (1, 2-3, 4-7, 8-15, ...).  Each position of the
+    text yields one piece per class, as long as its longest word; pieces and words
+    of a class meet on the characters all its words have (its shortest length) and
+    the rest is compared after the join, so there is no theta join and short words
+    do not widen the join of long ones.  lengths is the (shortest, longest) word
+    length, read with the classes from the dictionary when absent.
     """
-    words = dictionary.where(F.length(word_col) > 0).select(word_col).distinct()
-    if lengths is None:
-        lengths = words.agg(F.min(F.length(word_col)), F.max(F.length(word_col))).first()
-    if lengths[0] is None:
+    length = F.length(word_col)
+    words = dictionary.where(length > 0).select(word_col).distinct()
+    if lengths is None:  # a row per class
+        classes = {r[0]: (r[1], r[2]) for r in words.groupBy(F.length(F.bin(length))).agg(F.min(length), F.max(length)).collect()}
+    else:
+        lo, hi = lengths
+        classes = {k: (max(lo, 1 << k - 1), min(hi, (1 << k) - 1)) for k in range(lo.bit_length(), hi.bit_length() + 1)}
+    if not classes:
         return df.select(id_col, F.lit(None).cast("string").alias(word_col)).limit(0)
-    lo, hi = lengths
-    pieces = F.array_distinct(F.regexp_extract_all(text(text_col), F.lit(f"(?s)(?=(.{{{lo},{hi}}}))"), F.lit(1)))
+
+    def pieces(k: int) -> Column:
+        lo, hi = classes[k]
+        found = F.array_distinct(F.regexp_extract_all(text(text_col), F.lit(f"(?s)(?=(.{{{lo},{hi}}}))"), F.lit(1)))
+        return F.transform(found, lambda p: F.struct(F.lit(k).alias("_class"), left(p, lo).alias("_head"), p.alias("_piece")))
+
+    words = words.withColumn("_class", F.length(F.bin(length)))
+    head = F.coalesce(*[F.when(F.col("_class") == k, left(F.col(word_col), lo)) for k, (lo, _) in classes.items()])
     return (
-        df.select(id_col, F.explode(pieces).alias("_piece")).withColumn("_head", left(F.col("_piece"), lo))
-        .join(words.withColumn("_head", left(F.col(word_col), lo)), "_head")
+        df.select(id_col, F.explode(F.concat(*map(pieces, sorted(classes)))).alias("_p")).select(id_col, "_p.*")
+        .join(words.withColumn("_head", head), ["_class", "_head"])
         .where(F.startswith(F.col("_piece"), F.col(word_col)))
         .select(id_col, word_col).distinct()
     )

@@ -518,11 +518,18 @@ def dictionary_hits(spark, d):
 
 @query("large_dictionary_hits", "WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark), k AS (SELECT word FROM w WHERE length(word) BETWEEN 4 AND 9) SELECT conv_id*1000+turn AS turn_id, count(*) AS words FROM conversations, k WHERE contains(text, word) GROUP BY 1")
 def large_dictionary_hits(spark, d):
-    """The dictionary is a table (words of the benchmark texts); texts and words meet in an equi join."""
+    """The dictionary is a table (words of 4 to 9 letters of the benchmark texts, as the SQL says); texts and words meet in an equi join."""
     words = load(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word").between(4, 9)).distinct()
     return C.match_terms(TURNS(spark, d), words, "text", "turn_id").groupBy("turn_id").agg(F.count("*").alias("words"))
 
 
+@query("whole_dictionary_hits", "WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark) SELECT conv_id*1000+turn AS turn_id, count(*) AS words FROM conversations, w WHERE word<>'' AND contains(text, word) GROUP BY 1")
+def whole_dictionary_hits(spark, d):
+    """large_dictionary_hits with the words of every length."""
+    words = load(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    return C.match_terms(TURNS(spark, d), words, "text", "turn_id").groupBy("turn_id").agg(F.count("*").alias("words"))
+
+
 @query("uncovered_words", "WITH w AS (SELECT unnest(['tion','ment','the','que','und','para','zzzz']) AS word) SELECT word FROM w WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, word))")
 def uncovered_words(spark, d):
     """Dictionary words no document covers (set difference)."""

@@ -1,5 +1,6 @@
 """Contract, plan shapes, invariance under partitioning, and the order-dependent helpers against plain Python."""
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,20 @@ def test_candidates_are_cut_per_source(spark):
     count = lambda n: {r.source_id: r["count"] for r in P.filter_candidates(df, "2026-07-20", ["title"], max_articles=n).groupBy("source_id").count().collect()}
     assert count(120) == {0: 120, 1: 120, 2: 120} and count(None) == {0: 300, 1: 300, 2: 300}
     assert {r.pos for r in P.filter_candidates(df, "2026-07-20", max_articles=2).collect()} == {0, 1, 300, 301, 600, 601}
+
+
+def test_dictionary_of_all_lengths(spark):
+    """Words from one letter up; a short word does not set the join key of the long ones."""
+    texts = ["a characteristic fox", "x", "", "internationally", "ab\nabc"]
+    words = ["a", "fo", "fox", "characteristic", "inter", "nationally", "b\na", "zz"]
+    dictionary = spark.createDataFrame([(w,) for w in words], "word string")
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    want = {(i, w) for i, t in enumerate(texts) for w in words if w in t}
+    for lengths in (None, (1, 14)):
+        found = C.match_terms(df, dictionary, "t", "id", lengths=lengths)
+        assert {tuple(r) for r in found.collect()} == want
+        assert "_class" in plan(found)
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").selectExpr("conv_id*1000+turn AS turn_id", "text").collect()
+    known = {w for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for w in re.split("[^a-z]+", r.text.lower()) if w}
+    counts = {r.turn_id: sum(w in (r.text or "") for w in known) for r in turns}
+    assert {r.turn_id: r.words for r in entry.queries()["whole_dictionary_hits"](spark, SF).collect()} == {k: n for k, n in counts.items() if n}
