@@ -134,6 +134,13 @@ def _bucket(name: str, size: int) -> tuple[int, int]:
     return h % size, 1 - 2 * (h >> 31)
 
 
+@lru_cache(1 << 16)
+def _word(word: str) -> int:
+    """The bucket of a word, those of negative sign after all others."""
+    k, sign = _bucket(word.lower(), WORDS)
+    return k if sign > 0 else WORDS + k
+
+
 @lru_cache(1 << 12)
 def _path_vector(path: tuple[str, ...]) -> tuple[np.ndarray, int]:
     """The hashed names, and the number of elements (names of attributes begin with a point)."""
@@ -152,9 +159,8 @@ def features(blocks: list[Block]) -> np.ndarray:
     for i, b in enumerate(blocks):
         out[i, :PATH], depth = _path_vector(b.path)
         words = b.text.split()
-        for w in words[:64]:
-            k, sign = _bucket(w.lower(), WORDS)
-            out[i, PATH + k] += sign / len(words)
+        count = np.bincount([_word(w) for w in words], minlength=2 * WORDS)
+        out[i, PATH : PATH + WORDS] = (count[:WORDS] - count[WORDS:]) / len(words)
         n = len(b.text)
         out[i, PATH + WORDS :] = (
             np.log1p(n) / 5, np.log1p(len(words)) / 4, b.linked / n, sum(map(b.text.count, ".,;:!?")) / len(words) / 2,

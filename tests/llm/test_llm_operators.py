@@ -329,6 +329,12 @@ def test_late_names_of_an_attribute_count():
     assert (html_blocks.features(html_blocks.blocks_of(pages[0].replace(name, "unknown"))) != styled).any()
 
 
+def test_all_words_of_a_block_count():
+    block = lambda text: html_blocks.features([html_blocks.Block(("html", "p"), text, 0)])[0, html_blocks.PATH : html_blocks.PATH + html_blocks.WORDS]
+    once = block("Alpha beta gamma.")
+    assert np.allclose(block("Alpha beta gamma. " * 400), once) and np.allclose(block("Alpha " * 64 + "beta " * 936), 0.064 * block("alpha") + 0.936 * block("beta"))
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(2)
     net = html_blocks.Labeller()
