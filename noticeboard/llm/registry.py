@@ -21,7 +21,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_hash"))
+    docs = table(spark, sf_dir, "documents").withColumn("text_hash", F.xxhash64("text"))
     return mixing.mix(docs, MIX_WEIGHTS, by=("doc_id", "text_hash")).drop("text_hash")
 
 

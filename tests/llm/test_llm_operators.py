@@ -397,3 +397,11 @@ def test_surrogates_of_one_shape_stay_distinct(spark):
 ])
 def test_empty_tables(spark, run):
     assert run(frame(spark, [])).count() == 0
+
+
+def test_mixing_query_keeps_whole_rows(spark):
+    from noticeboard.llm import registry
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = registry.op1_mixing(spark, "/root/testdata/sf0.001").select(docs.columns)
+    assert kept.count() == docs.count() and not kept.exceptAll(docs).count()
