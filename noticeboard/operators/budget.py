@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..functions.core import nulls_to
 from ..functions.dates import local_day, next_local_midnight, next_retry, ts
 from ..functions.texts import estimate_tokens
-from .ordered import in_blocks, materialise, totals_over_blocks
+from .ordered import Rounds, in_blocks
 
 
 @dataclass(frozen=True)
@@ -38,17 +40,57 @@ def _limit(c: Column | None, used: Column | None = None) -> Column:
     return F.when(c > 0, c.cast("bigint") - (F.lit(0) if used is None else nulls_to(used, 0)))
 
 
-def _usage(df: DataFrame, capacities: list[Capacity], order: list[str], **flags: Column) -> DataFrame:
-    """Adds <name>_<flag>_n and <name>_<flag>_s: rows and amount of earlier rows with the flag, for every capacity."""
-    groups = []
-    for c in capacities:
-        values = {}
-        for flag, cond in flags.items():
-            cond = cond & F.col(f"_counts_{c.name}")
-            values[f"{c.name}_{flag}_n"] = cond.cast("bigint")
-            values[f"{c.name}_{flag}_s"] = F.when(cond, F.col("_amount")).otherwise(F.lit(0).cast("bigint"))
-        groups.append((f"_at_{c.name}", list(c.keys), values))
-    return totals_over_blocks(df, [F.col(c) for c in order], groups)
+def _key(keys: tuple[str, ...]) -> Column:
+    """Text that names a combination of key values."""
+    return F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
+
+
+def _decide_block(names: list[str], fields: list[str]):
+    """One block of rows in order, given bounds on what earlier blocks use up: decides every row that the bounds decide."""
+
+    def run(rows: pa.Table, opening: pa.Table) -> pa.Table:
+        used = {(r["cap"], r["key"]): [r["lo_n"], r["lo_s"], r["hi_n"], r["hi_s"]] for r in opening.to_pylist()}
+        out = sorted(rows.select([c for c in fields if c in rows.column_names]).to_pylist(), key=lambda r: r["_i"])
+        exact = True
+        for r in out:
+            fits, never, amount = True, False, r["_amount"] or 0
+            mine = [(n, used.setdefault((n, r[f"_key_{n}"]), [0, 0, 0, 0])) for n in names]
+            for n, u in mine:
+                rows_left, most = r[f"_rows_{n}"], r[f"_most_{n}"]
+                for wide in (False, True):
+                    count, total = u[2 * wide], u[2 * wide + 1]
+                    room = (rows_left is None or count < rows_left) and (most is None or total + amount <= most)
+                    fits, never = (fits and room, never) if wide else (fits, never or not room)
+                r[f"{n}_n"], r[f"{n}_s"] = u[0], u[1]
+                exact = exact and u[0] == u[2] and u[1] == u[3]
+            if r["_state"] == "?" and (fits or never):
+                r["_state"] = "yes" if fits else "no"
+            exact = exact and r["_state"] != "?"
+            for n, u in mine:
+                if r["_state"] != "no" and r[f"_counts_{n}"]:
+                    sure = r["_state"] == "yes"
+                    u[:] = [u[0] + sure, u[1] + amount * sure, u[2] + 1, u[3] + amount]
+        for r in out:
+            r["_exact"] = exact
+        schema = pa.schema([rows.schema.field(c) if c in rows.column_names else pa.field(c, pa.bool_() if c == "_exact" else pa.int64()) for c in fields])
+        return pa.Table.from_pylist(out, schema)
+
+    return run
+
+
+def _uses(rows: DataFrame, capacities: list[Capacity]) -> DataFrame:
+    """(_block, cap, key, lo_n, lo_s, hi_n, hi_s): what the rows of a block use up, at least and at most."""
+    def one(c):
+        sure = F.col(f"_counts_{c.name}") & (F.col("_state") == "yes")
+        maybe = F.col(f"_counts_{c.name}") & (F.col("_state") != "no")
+        size = nulls_to(F.col("_amount"), 0)
+        return F.struct(
+            F.lit(c.name).alias("cap"), F.col(f"_key_{c.name}").alias("key"), sure.cast("bigint").alias("lo_n"), F.when(sure, size).otherwise(0).alias("lo_s"),
+            maybe.cast("bigint").alias("hi_n"), F.when(maybe, size).otherwise(0).alias("hi_s"),
+        )
+
+    each = rows.select("_block", F.explode(F.array(*[one(c) for c in capacities])).alias("u")).select("_block", "u.*")
+    return each.groupBy("_block", "cap", "key").agg(*[F.sum(n).alias(n) for n in ("lo_n", "lo_s", "hi_n", "hi_s")])
 
 
 def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str], amount: Column, eligible: Column) -> DataFrame:
@@ -57,50 +99,57 @@ def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str],
     A row is admitted when it is eligible and, for every capacity, the *admitted*
     rows before it leave room: fewer rows than the row limit, and their amount plus
     its own within the amount limit.  Adds admitted and, per capacity, used_rows and
-    used_amount (<name>_n, <name>_s) as the row saw them.
-
-    Each round bounds what earlier rows use: admitted ones from below, admitted and
-    undecided ones from above.  Rows that fit even with the upper bound are admitted,
-    rows that do not fit even with the lower bound are refused.  The first undecided
-    row always has equal bounds, so every round decides rows; runs of rows that fit
-    are decided together.  Totals are running totals over range blocks, so a hot day
-    or source is spread over tasks.
+    used_amount (<name>_n, <name>_s) as the row saw them.  order must be unique.
+
+    Rows are range-partitioned by the order into blocks.  Each round tells every block
+    what the blocks before it use up of each of its keys, at least (admitted) and at
+    most (admitted or undecided): one sum per (block, key) and a running total over
+    blocks.  A block then goes through its rows once, with the bounds moving along, and
+    decides what they decide.  The first open block always has equal bounds, so it is
+    finished in every round, and a limit that is used up, or far from it, decides all
+    blocks at once: rounds follow blocks, not rows, and no task holds more than a block.
     """
-    limits = {}
-    for c in capacities:
-        bound = F.lit(True) if c.applies is None else c.applies
-        limits[f"_{c.name}_rows"], limits[f"_{c.name}_amount"] = F.when(bound, _limit(c.rows, c.used_rows)), F.when(bound, _limit(c.amount, c.used_amount))
-        limits[f"_counts_{c.name}"] = F.lit(True) if c.counts is None else nulls_to(c.counts, False)
     keys = list(dict.fromkeys(k for c in capacities for k in c.keys))
-    slim = df.select(*dict.fromkeys([*order, *keys]), amount.cast("bigint").alias("_amount"), eligible.alias("_ok"), *[v.alias(k) for k, v in limits.items()])
-    # rows that cannot be admitted use nothing up; blocks are cut once, only states change between rounds
-    open_ = slim.where(nulls_to(F.col("_ok"), False)).drop("_ok").withColumn("_state", F.lit("?"))
-    state = in_blocks(open_, {f"_at_{c.name}": list(c.keys) for c in capacities}, [F.col(c) for c in order])
-    cols = state.columns
+    slim = df.select(*dict.fromkeys([*order, *keys]), amount.cast("bigint").alias("_amount"), nulls_to(eligible, False).alias("_ok"), *[
+        v.alias(n) for c in capacities for n, v in _bounds(c).items()
+    ])
+    slim = slim.select(*order, "_amount", F.when(F.col("_ok"), "?").otherwise("no").alias("_state"), *[n for c in capacities for n in _bounds(c)], *[_key(c.keys).alias(f"_key_{c.name}") for c in capacities])
+    blocks = in_blocks(slim, {"_block": []}, [F.col(c) for c in order])
+    open_ = blocks.withColumn("_i", F.row_number().over(Window.partitionBy("_block").orderBy(*order)).cast("bigint"))
+    names = [c.name for c in capacities]
+    seen = [f"{n}_{m}" for n in names for m in ("n", "s")]
+    fields = [*open_.columns, *seen, "_exact"]
+    schema = StructType([*open_.schema.fields, *[StructField(n, LongType()) for n in seen], StructField("_exact", BooleanType())])
+    before = Window.partitionBy("cap", "key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    rounds, finished, settled = Rounds(df.sparkSession), None, None
     while True:
-        step = _usage(state, capacities, order, lo=F.col("_state") == "yes", hi=F.col("_state") != "no")
-        fits, never = F.lit(True), F.lit(False)
-        for c in capacities:
-            rows, most = F.col(f"_{c.name}_rows"), F.col(f"_{c.name}_amount")
-
-            def room(bound, c=c, rows=rows, most=most):
-                free = nulls_to(F.col(f"{c.name}_{bound}_n") < rows, True)
-                return free & nulls_to(F.col(f"{c.name}_{bound}_s") + F.col("_amount") <= most, True)
-
-            fits, never = fits & room("hi"), never | ~room("lo")
-        undecided = F.col("_state") == "?"
-        decided = F.when(undecided & fits, "yes").when(undecided & never, "no").otherwise(F.col("_state"))
-        state = materialise(step.withColumn("_state", decided).select(*cols))
-        if not state.where("_state = '?'").limit(1).count():
+        uses = _uses(open_, capacities)
+        line = uses if settled is None else uses.unionByName(settled)
+        opening = line.select("_block", "cap", "key", *[nulls_to(F.sum(n).over(before), 0).alias(n) for n in ("lo_n", "lo_s", "hi_n", "hi_s")])
+        if settled is not None:
+            opening = opening.join(open_.select("_block").distinct(), "_block", "left_semi")
+        step = rounds.put(open_.groupBy("_block").cogroup(opening.groupBy("_block")).applyInArrow(_decide_block(names, fields), schema))
+        done = step.where("_exact")
+        finished = done if finished is None else finished.unionByName(done)
+        open_ = step.where("NOT _exact").drop(*seen, "_exact")
+        if open_.isEmpty():
             break
-    admitted = state.where("_state = 'yes'").select(*order, F.lit(True).alias("_yes"))
-    every = slim.drop("_ok").join(admitted, order, "left").withColumn("_state", F.when(F.col("_yes"), "yes").otherwise("no")).drop("_yes")
-    every = in_blocks(every, {f"_at_{c.name}": list(c.keys) for c in capacities}, [F.col(c) for c in order])
-    final = _usage(every, capacities, order, used=F.col("_state") == "yes").select(
-        *order, (F.col("_state") == "yes").alias("admitted"),
-        *[F.col(f"{c.name}_used_{m}").alias(f"{c.name}_{m}") for c in capacities for m in ("n", "s")],
-    )
-    return df.join(final, order)
+        sums = rounds.put(_uses(done, capacities))
+        settled = sums if settled is None else settled.unionByName(sums)
+    final = rounds.close(finished.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], (F.col("_state") == "yes").alias("admitted"), *seen))
+    same = F.lit(True)
+    for i, c in enumerate(order):
+        same = same & df[c].eqNullSafe(final[f"_o{i}"])
+    return df.join(final, same).drop(*[f"_o{i}" for i in range(len(order))])
+
+
+def _bounds(c: Capacity) -> dict[str, Column]:
+    """What is left of the limits of a capacity for a row, and whether the row uses it up."""
+    applies = F.lit(True) if c.applies is None else c.applies
+    return {
+        f"_rows_{c.name}": F.when(applies, _limit(c.rows, c.used_rows)), f"_most_{c.name}": F.when(applies, _limit(c.amount, c.used_amount)),
+        f"_counts_{c.name}": F.lit(True) if c.counts is None else nulls_to(c.counts, False),
+    }
 
 
 def reserve_budget(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import nulls_to, squeeze, text
-from .ordered import materialise, top_per_key
+from .budget import Capacity, admit_in_order
+from .ordered import top_per_key
 
 
 def engagement(events: DataFrame, key: str = "item_id", **types: str) -> DataFrame:
@@ -93,44 +94,19 @@ def recent_errors(errors: DataFrame, registry: DataFrame, limit: int = 10) -> Da
     )
 
 
-def accept_in_order(df: DataFrame, keys: list[str], order: list[str], max_rounds: int | None = None) -> DataFrame:
+def accept_in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First come, first served on several unique keys at once.
 
     A row is accepted when no *accepted* earlier row has one of its key values;
-    null keys never collide.  Adds the flag accepted.  Each round accepts the rows
-    that are the first undecided ones of all their keys and rejects the rows that
-    share a key with them; the smallest undecided row is always decided, so the
-    loop ends, usually after two rounds.  Only keys and order travel.
+    null keys never collide.  Adds the flag accepted.  Each key value is a capacity of
+    one row, so a chain of rows with alternating keys is settled block by block.
     """
-    slim = materialise(df.select(F.struct(*order).alias("_o"), *keys))
-    undecided, accepted, rounds = slim, None, 0
-    while True:
-        marked = undecided
-        for k in keys:
-            first = undecided.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min("_o").alias("_m"))
-            marked = marked.join(first, F.col(k) == F.col("_k"), "left").withColumn(
-                f"_first_{k}", F.col(k).isNull() | (F.col("_m") == F.col("_o"))
-            ).drop("_k", "_m")
-        is_first = F.lit(True)
-        for k in keys:
-            is_first = is_first & F.col(f"_first_{k}")
-        marked = materialise(marked.withColumn("_acc", is_first).drop(*[f"_first_{k}" for k in keys]))
-        winners = marked.where("_acc").drop("_acc")
-        accepted = winners if accepted is None else accepted.unionByName(winners)
-        rest = marked.where("not _acc").drop("_acc")
-        for k in keys:
-            rest = rest.join(winners.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
-        undecided = materialise(rest)
-        rounds += 1
-        if undecided.isEmpty():
-            break
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError("rows are still undecided")
-    hits = accepted.select(F.col("_o").alias("_a"))
-    return (
-        df.withColumn("_o", F.struct(*order)).join(hits, F.col("_o") == F.col("_a"), "left")
-        .withColumn("accepted", F.col("_a").isNotNull()).drop("_o", "_a")
-    )
+    caps = []
+    for i, k in enumerate(keys):
+        given = F.col(k).isNotNull()
+        caps.append(Capacity(f"unique{i}", (k,), rows=F.lit(1), applies=given, counts=given))
+    out = admit_in_order(df, caps, order, F.lit(0), F.lit(True))
+    return out.select(*df.columns, F.col("admitted").alias("accepted"))
 
 
 def new_documents(incoming: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:

@@ -9,28 +9,58 @@ blocks with one small aggregate per (block, key).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """A reliable, eager checkpoint: cuts lineage and survives lost executors.
-
-    Its files lie in the folder of spark.checkpoint.dir (a temporary one only on local
-    masters where that is unset); with spark.cleaner.referenceTracking.cleanCheckpoints
-    the engine removes them when nothing refers to them any more.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only on local masters where that is unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="noticeboard-checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """A reliable, eager checkpoint: cuts lineage and survives lost executors.
+
+    Its files lie in the shared folder; with spark.cleaner.referenceTracking.cleanCheckpoints
+    the engine removes them when nothing refers to them any more.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """The state of an iteration, written to the shared folder after every round and read back.
+
+    A checkpoint carries the size estimate of its plan on, and joins of the state with itself multiply it
+    in every round; what is read back has the size of its files.  close removes all files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self, result: DataFrame | None = None) -> DataFrame | None:
+        """Removes the files; a result that still reads them is materialised first."""
+        out = None if result is None else materialise(result)
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        return out
+
+
 def in_blocks(df: DataFrame, groups: dict[str, list[str]], order: list[Column]) -> DataFrame:
     """Adds one block number column per name: rows range-partitioned by (keys, order).
 
@@ -42,31 +72,61 @@ def in_blocks(df: DataFrame, groups: dict[str, list[str]], order: list[Column])
     return df
 
 
-def totals_over_blocks(df: DataFrame, order: list[Column], groups: list[tuple[str, list[str], dict[str, Column]]]) -> DataFrame:
-    """Adds exclusive running totals of several groupings at once; df must be stable (materialised).
+def over_blocks(
+    df: DataFrame, keys: list[str], order: list[Column], block: str = "_block", sums: dict[str, Column] | None = None, xors: dict[str, Column] | None = None,
+    before: dict[str, str] | None = None, after: dict[str, str] | None = None,
+) -> DataFrame:
+    """Adds, from one sort of the rows within their blocks (see in_blocks, same keys and order; df must be stable):
+
+    sums, xors: name -> value, folded over all earlier rows of the group (exclusive, 0 for the first);
+    before, after: name -> column, its value in the previous or next row of the group (null at the ends).
 
-    groups: (block column, keys, name -> value).  Each block is summed on its own and
-    shifted by the totals of the blocks of the same group before it.
+    Only a group that goes on from one block to the next needs anything from outside its block, so what
+    is passed on is one row per block, which is broadcast: as many rows as there are partitions.
+    order must be a total order within the group.
     """
-    out = df
-    for block, keys, values in groups:
-        w = Window.partitionBy(block, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumns({f"_l_{n}": F.coalesce(F.sum(v).over(w), F.lit(0)) for n, v in values.items()})
-    names = []
-    for i, (block, keys, values) in enumerate(groups):
-        # one row per (block, key): bounded by the number of blocks plus the number of keys
-        sums = df.groupBy(block, *keys).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
-        before = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sums.select(
-            F.col(block).alias(f"_b{i}"), *[F.col(k).alias(f"_k{i}_{k}") for k in keys],
-            *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values],
-        )
-        cond = F.col(block) == F.col(f"_b{i}")
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}_{k}"))
-        out = out.join(offsets, cond)
-        names += list(values)
-    return out.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in names])
+    sums, xors, before, after = sums or {}, xors or {}, before or {}, after or {}
+    folds = [(n, v, F.sum) for n, v in sums.items()] + [(n, v, F.bit_xor) for n, v in xors.items()]
+    within = Window.partitionBy(block, *keys).orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(block).orderBy(*keys, *order)
+    local = df.withColumns({f"_v_{n}": F.coalesce(v, F.lit(0)) for n, v, _ in folds})
+    local = local.withColumns({
+        **{f"_i_{n}": fold(f"_v_{n}").over(so_far) for n, _, fold in folds},
+        **{f"_b_{n}": F.lag(F.struct(F.col(c).alias("v"))).over(within) for n, c in before.items()},
+        **{f"_a_{n}": F.lead(F.struct(F.col(c).alias("v"))).over(within) for n, c in after.items()},
+        "_first": F.lag(F.lit(1)).over(whole).isNull(), "_last": F.lead(F.lit(1)).over(whole).isNull(),
+    })
+    group = F.struct(F.lit(0).alias("_"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    head = F.struct(group.alias("k"), *[F.struct(F.col(c).alias("v")).alias(f"a_{n}") for n, c in after.items()])
+    tail = F.struct(group.alias("k"), *[F.col(f"_i_{n}").alias(f"i_{n}") for n, _, _ in folds], *[F.struct(F.col(c).alias("v")).alias(f"b_{n}") for n, c in before.items()])
+    ends = local.where("_first OR _last").groupBy(block).agg(F.max_by(head, "_first").alias("_h"), F.max_by(tail, "_last").alias("_t"))
+    line, same = Window.partitionBy().orderBy(block), Window.partitionBy("_t.k").orderBy(block).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = ends.withColumns({f"_c_{n}": fold(F.col(f"_t.i_{n}")).over(same) for n, _, fold in folds})
+    passed = total.select(
+        F.col(block).alias("_at"), F.lag("_t.k").over(line).alias("_pk"), F.lead("_h.k").over(line).alias("_nk"),
+        *[F.lag(f"_c_{n}").over(line).alias(f"_p_{n}") for n, _, _ in folds], *[F.lag(f"_t.b_{n}").over(line).alias(f"_pb_{n}") for n in before],
+        *[F.lead(f"_h.a_{n}").over(line).alias(f"_na_{n}") for n in after],
+    )
+    out = local.join(F.broadcast(passed), F.col(block) == F.col("_at"))
+    from_before, from_after = group.eqNullSafe(F.col("_pk")), group.eqNullSafe(F.col("_nk"))
+
+    def shifted(name, fold):
+        more = F.when(from_before, F.col(f"_p_{name}")).otherwise(F.lit(0))
+        if fold is F.sum:
+            return F.col(f"_i_{name}") - F.col(f"_v_{name}") + more
+        return F.col(f"_i_{name}").bitwiseXOR(F.col(f"_v_{name}")).bitwiseXOR(more.cast("bigint"))
+
+    return out.select(
+        *df.columns, *[shifted(n, fold).alias(n) for n, _, fold in folds],
+        *[F.coalesce(F.col(f"_b_{n}"), F.when(from_before, F.col(f"_pb_{n}")))["v"].alias(n) for n in before],
+        *[F.coalesce(F.col(f"_a_{n}"), F.when(from_after, F.col(f"_na_{n}")))["v"].alias(n) for n in after],
+    )
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[Column], **wanted) -> DataFrame:
+    """over_blocks for rows that are not in blocks yet: one exchange by range, one sort."""
+    return over_blocks(in_blocks(df, {"_block": keys}, order), keys, order, **wanted).drop("_block")
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[Column], **values: Column) -> DataFrame:
@@ -74,8 +134,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[Column], **values
 
     order must be a total order within the group.
     """
-    blocks = in_blocks(df, {"_block": keys}, order)
-    return totals_over_blocks(blocks, order, [("_block", keys, values)]).drop("_block")
+    return in_order(df, keys, order, sums=values)
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
@@ -85,28 +144,8 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str =
 
 
 def neighbours(df: DataFrame, keys: list[str], order: list[Column], value: str, before: str, after: str) -> DataFrame:
-    """lag/lead of one non-null column for groups of any size."""
-    blocks = in_blocks(df, {"_block": keys}, order)
-    w = Window.partitionBy("_block", *keys).orderBy(*order)
-    local = blocks.withColumns({before: F.lag(value).over(w), after: F.lead(value).over(w)})
-    # the ends of each block: rows without a local neighbour
-    ends = local.groupBy("_block", *keys).agg(
-        F.max(F.when(F.col(before).isNull(), F.col(value))).alias("_head"),
-        F.max(F.when(F.col(after).isNull(), F.col(value))).alias("_tail"),
-    )
-    wb = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_block")
-    edges = ends.select(
-        F.col("_block").alias("_b"), *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.lag("_tail").over(wb).alias("_prev_tail"), F.lead("_head").over(wb).alias("_next_head"),
-    )
-    cond = F.col("_block") == F.col("_b")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return local.join(edges, cond).select(
-        *df.columns,
-        F.coalesce(F.col(before), F.col("_prev_tail")).alias(before),
-        F.coalesce(F.col(after), F.col("_next_head")).alias(after),
-    )
+    """lag/lead of one column for groups of any size."""
+    return in_order(df, keys, order, before={before: value}, after={after: value})
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
