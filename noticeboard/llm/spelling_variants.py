@@ -1,26 +1,30 @@
 """Spelling variants: words at edit distance one, found with an index of grams of variable length.
 
-Dictionary: every gram of 2 to 6 characters of the padded words (^word$) is counted, and a gram is kept when all its shorter beginnings
+Dictionary: every gram of 2 or 3 characters of the padded words (^word$) is counted, and a gram is kept when all its shorter beginnings
 are frequent; so the dictionary is given by the set of frequent grams, which a share of all grams bounds.  Decomposition: at each position
 the longest gram of the dictionary, without those that lie inside an earlier one.
 
-Pairs are looked for by the length c of the shorter word, with grams of at most half of the padded length, q = (c + 2) // 2.  One edit at
+Pairs are looked for by the length c of the shorter word, with grams of at most q characters, at most half of the padded length.  One edit at
 character i leaves two kinds of grams alone: those whose look-ahead of q characters ends before i, and those that begin after i and end
-where no gram from before can swallow them.  A word with a grams of which an edit can affect at most x shares at least a - x of them with
-any near word, at the same place counted from the left or from the right; by the choice of q that is at least one.  So it is enough to
-merge the lists of its x + 1 rarest grams.  Candidates are verified by their edit distance inside the join, and only near pairs leave it.
+where no gram from before can swallow them.  By the choice of q a word always keeps one (affected() counts the others).  Two near words
+agree in all grams that their edit leaves alone, so the lists of these grams are merged before they are shuffled: a word has one entry for
+each different set of unaffected grams, not one for each gram, and there are no more of them than grams.  Candidates are verified by their
+edit distance inside the join, which only near pairs leave, each of them once: under the entry of their first different character.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.ordered import Rounds
 from .common import cut
 
-SHORTEST, LONGEST = 2, 6  # characters of a gram
+SHORTEST, LONGEST = 2, 3  # characters of a gram
+SAME, LONGER, SHORTER = 0, 1, 2
 LETTERS = "[A-Za-z\\u00C0-\\u00FF]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,40 +87,70 @@ def longest_gram(shorter: int) -> int:
     return min(LONGEST, (shorter + 2) // 2)
 
 
-def _decomposed(words: DataFrame, frequent) -> DataFrame:
-    """(word, c, need, at, gram): every gram of every word, once for each length c of the shorter word of a pair; need grams are affected at most."""
+def entries(word: str, frequent: set[str]) -> list[tuple[str, int, int, int]]:
+    """(unaffected grams, kind, first, last) of a word: an entry stands for edits at the characters first to last.
+
+    Kinds: SAME (the character is replaced), LONGER (it is the extra one), SHORTER (the extra one would stand before it).  The grams that
+    such an edit leaves alone are written as the text they cover, on the left with their look-ahead; c, the length of the shorter word of
+    the pair, stands before it.
+    """
+    out: list[tuple[str, int, int, int]] = []
+    s, length = padded(word), len(word)
+    for c in (length, length - 1):
+        most = longest_gram(c)
+        grams = decompose(word, frequent, most)
+        n = len(grams)
+        # left[i], right[i]: where the grams unaffected by an edit at character i end and begin, from the right end for those on the right
+        left, right, k, m = [], [], 0, 0
+        for i in range(length + 2):
+            while k < n and grams[k][0] + most <= i:
+                k += 1
+            # right[0] is for a character inserted before the first
+            while m < n and (grams[m][0] <= i or grams[m][0] + len(grams[m][1]) <= i + most):
+                m += 1
+            left.append(grams[k - 1][0] + most if k else 0)
+            right.append(grams[m][0] if m < n else length + 2)
+        kinds = [(SAME, left[1:-1], right[1:-1]), (SHORTER, left[1:], right[:-1])] if c == length else [(LONGER, left[1:-1], right[1:-1])]
+        for kind, lefts, rights in kinds:
+            first, last = 0, len(lefts)
+            tag = f"{c}=" if kind == SAME else f"{c}+"
+            for i in range(1, last + 1):
+                if i == last or lefts[i] != lefts[first] or rights[i] != rights[first]:
+                    out.append((f"{tag}{s[: lefts[first]]}|{s[rights[first] :]}", kind, first + 1, i))
+                    first = i
+    return out
+
+
+def _index(words: DataFrame, frequent) -> DataFrame:
+    """(entry, kind, word, n, first, last) of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for w in batch.column(0).to_pylist():
-                for c in (len(w), len(w) - 1):
-                    most = longest_gram(c)
-                    grams = decompose(w, frequent.value, most)
-                    x = affected(grams, len(w), most)
-                    rows += [(w, c, x, p, g) for p, g in grams]
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=["word", "c", "need", "at", "gram"])
+            found, sizes = [], []
+            for word in batch.column(0).to_pylist():
+                rows = entries(word, frequent.value)
+                found += rows
+                sizes.append(len(rows))
+            entry, kind, first, last = zip(*found) if found else ([], [], [], [])
+            whose = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            columns = [pa.array(entry, pa.string()), pa.array(kind, pa.int32()), batch.column(0).take(whose), batch.column(1).take(whose), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["entry", "kind", "word", "n", "first", "last"])
 
-    return words.select("word").mapInArrow(run, "word string, c int, need int, at int, gram string")
+    return words.select("word", "n").mapInArrow(run, "entry string, kind int, word string, n long, first int, last int")
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
-    """words(word), distinct, of at least three characters -> (a, b): every pair at edit distance one, each once."""
+def near_pairs(words: DataFrame, rounds: Rounds) -> DataFrame:
+    """words(word, n), distinct, of at least three characters -> (a, a_n, b, b_n): every pair at edit distance one, each once."""
     frequent = words.sparkSession.sparkContext.broadcast(frequent_grams(words))
-    grams = cut(_decomposed(words, frequent))
-    # length of each list; lists are merged in one order for all words
-    lists = grams.groupBy("c", "gram").agg(F.count(F.lit(1)).alias("f"))
-    ranked = grams.join(lists, ["c", "gram"]).groupBy("word", "c").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("f", "gram", "at"))), F.lit(1), F.first("need") + 1).alias("rare")
-    )  # a word has no more grams than characters
-    rare = cut(ranked.select("word", "c", F.explode("rare").alias("r")).select("word", "c", "r.gram", "r.at"))
-    short = rare.where(F.length("word") == F.col("c")).select("c", "gram", "at", F.col("word").alias("a"))
-    # a longer word is met where its gram stands, counted from the left or from the right
-    shift = F.when(F.length("word") == F.col("c"), F.array(F.col("at"))).otherwise(F.array("at", F.col("at") - 1))
-    long = rare.select("c", "gram", F.explode(shift).alias("at"), F.col("word").alias("b"))
-    close = (F.levenshtein("a", "b", 1) == 1) & ((F.length("b") > F.length("a")) | (F.col("a") < F.col("b")))
-    return short.join(long, ["c", "gram", "at"]).where(close).select("a", "b").distinct()
+    spread = words.repartition(words.sparkSession.sparkContext.defaultParallelism * 2)  # words are few where texts are many
+    index = rounds.put(_index(spread, frequent)).withColumn("entry", F.xxhash64("entry"))  # candidates are verified
+    one = index.where(F.col("kind") != LONGER).select("entry", F.col("word").alias("a"), F.col("n").alias("a_n"), "first", "last")
+    other = index.where(F.col("kind") != SHORTER).select("entry", F.col("word").alias("b"), F.col("n").alias("b_n"))
+    ordered = (F.length("b") > F.length("a")) | (F.col("a") < F.col("b"))
+    # the first different character is one of those that the entry stands for
+    begins = F.substr("a", F.lit(1), F.col("first") - 1) == F.substr("b", F.lit(1), F.col("first") - 1)
+    differs = (F.col("last") > F.length("a")) | (F.substr("a", F.lit(1), F.col("last")) != F.substr("b", F.lit(1), F.col("last")))
+    return one.join(other, "entry").where(ordered & begins & differs & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n")
 
 
 def variants(counts: DataFrame, ratio: int = 2) -> DataFrame:
@@ -126,12 +160,13 @@ def variants(counts: DataFrame, ratio: int = 2) -> DataFrame:
     to the last, which ends because n grows at every step.
     """
     counts = cut(counts)
-    pairs = cut(near_pairs(counts))
-    both = pairs.union(pairs.select("b", "a")).toDF("word", "near")
-    near = both.join(counts.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
-    best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("_best"))
+    ways = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("m")))
+    rounds = Rounds(counts.sparkSession)
+    near = near_pairs(counts, rounds).select(F.explode(ways).alias("w")).select("w.*")
+    best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "near")).alias("_best"))
     out = counts.join(best, "word", "left").withColumn("_ok", -F.col("_best.m") >= F.col("n") * ratio)
     forms = cut(out.select("word", F.when(F.col("_ok"), F.col("_best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("_ok"), -F.col("_best.m")).alias("form_n")))
+    rounds.close()
     # pointer doubling: only words that have a form travel
     jumps = cut(forms.where("form IS NOT NULL").select("word", F.col("form").alias("root")))
     while True:
