@@ -58,8 +58,8 @@ class Ends:
             low, high = (low, mid) if self.walk(mid, shards, total, best)[0] else (mid, high)
         return high
 
-    def unclear(self, shards: int, total: int) -> tuple[int, list[tuple[int, int]]]:
-        """(capacity, ranges of ends to look at more closely); capacity and its cuts are exact where no range is left."""
+    def unclear(self, shards: int, total: int) -> tuple[int, list[tuple[int, int, int]]]:
+        """(capacity, ranges of ends to look at more closely, with their bins); capacity and its cuts are exact where no range is left."""
         low, high = self.smallest(shards, total, True), self.smallest(shards, total, False)
         early, late = self.walk(low, shards, total, False)[1], self.walk(high, shards, total, True)[1]
         marked = set()
@@ -70,26 +70,27 @@ class Ends:
                 break
             first, last = max(0, bisect_right(self.lows, a) - 1), bisect_right(self.lows, min(b, total))
             marked.update(j for j in range(first, last) if self.bins[j][2] > 2 and self.bins[j][1] > a)
-        ranges: list[tuple[int, int]] = []
+        ranges: list[tuple[int, int, int]] = []
         for j in sorted(marked):
             if ranges and j - 1 in marked:
-                ranges[-1] = (ranges[-1][0], self.bins[j][1])
+                ranges[-1] = (ranges[-1][0], self.bins[j][1], ranges[-1][2] + 1)
             else:
-                ranges.append((self.bins[j][0], self.bins[j][1]))
+                ranges.append((self.bins[j][0], self.bins[j][1], 1))
         return high, ranges
 
 
 def smallest_capacity(ends: DataFrame, shards: int, total: int) -> tuple[int, list[int]]:
     """ends(end) of the ordered groups -> the smallest capacity for so many shards, and the greedy cuts (group ends) at that capacity."""
-    known, ranges = [], [(1, total)]
+    known, ranges = [], [(1, total, 1)]
     while True:
-        each = max(2, BINS // len(ranges))
-        number: Column = F.lit(None).cast("long")
-        for i, (a, z) in enumerate(ranges):
+        number, base = F.lit(None).cast("long"), 0
+        for a, z, bins in ranges:
+            each = max(BINS // len(ranges), 4 * bins)  # finer than before in any case
             width = -(-(z - a + 1) // each)
-            number = F.when(F.col("end").between(a, z), F.floor((F.col("end") - a) / F.lit(width)).cast("long") + i * (each + 1)).otherwise(number)
+            number = F.when(F.col("end").between(a, z), F.expr(f"(end - {a}L) div {width}L") + base).otherwise(number)
+            base += each
         got = ends.withColumn("_bin", number).where("_bin IS NOT NULL").groupBy("_bin").agg(F.min("end"), F.max("end"), F.count_distinct("end")).collect()
-        known = [b for b in known if not any(a <= b[0] and b[1] <= z for a, z in ranges)] + [(r[1], r[2], r[3]) for r in got]
+        known = [b for b in known if not any(a <= b[0] and b[1] <= z for a, z, _ in ranges)] + [(r[1], r[2], r[3]) for r in got]
         summary = Ends(known)
         capacity, ranges = summary.unclear(shards, total)
         if not ranges:
