@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import Spans, Texts, U, components, cut, mix, pieces
 
 SKETCH = 1 << 18  # counters of the sketch, whatever the input
+MASK = 1 << 25  # bits of the mask, whatever the input
 BLOCK = 256  # classes of one block
 
 
@@ -116,15 +117,37 @@ def _prefixes(docs: DataFrame, counts, ngram: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "shingle long, key long, need int")
 
 
-def _sets(docs: DataFrame, counts, ngram: int) -> DataFrame:
-    """(key, n, tokens) with the whole set as bytes, in the order of the trie: frequent shingles first, so that near copies share a path."""
+def _mask(keys: DataFrame) -> np.ndarray:
+    """One bit per hash bucket of the keys, MASK bits whatever their number; a set bit may stand for other keys too."""
+    bucket = F.pmod(F.col("key"), F.lit(MASK))
+    words = keys.groupBy(F.floor(bucket / 32).cast("long").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (bucket % 32).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(MASK // 32, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def _sets(docs: DataFrame, counts, mask, ngram: int) -> DataFrame:
+    """(key, n, tokens) with the whole set as bytes, in the order of the trie: frequent shingles first, so that near copies share a path.
+
+    Only of keys that the mask lets through, so that neither texts nor sets of documents without partners are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)  # copies within a task count once
         for texts in pieces(batches):
             values, offsets = shingle_sets(texts, ngram)
-            keys, ordered = class_keys(values, offsets), _ordered(values, offsets, counts.value)
-            data = [ordered[a:z][::-1].tobytes() for a, z in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(offsets)), pa.array(data, pa.binary())], names=["key", "n", "tokens"])
+            keys = class_keys(values, offsets)
+            bucket = keys % MASK
+            wanted = (mask.value[bucket // 32] >> (bucket % 32)) & 1 == 1
+            first = np.zeros(len(keys), bool)
+            first[np.unique(keys, return_index=True)[1]] = True
+            take = np.flatnonzero(wanted & first & ~np.isin(keys, seen))
+            if not len(take):
+                continue
+            seen = np.concatenate([seen, keys[take]])
+            ordered = _ordered(values, offsets, counts.value)
+            data = [ordered[offsets[i] : offsets[i + 1]][::-1].tobytes() for i in take]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[take]), pa.array(np.diff(offsets)[take]), pa.array(data, pa.binary())], names=["key", "n", "tokens"])
 
     return docs.mapInArrow(run, "key long, n long, tokens binary")
 
@@ -238,9 +261,9 @@ def class_links(docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, D
     one = groups.groupBy("size", "leader", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle", "size", "leader")
     met = cut(met.select("shingle", "key").join(one, "shingle"))
     candidates = met.select("key").distinct()
-    chosen = classes.join(candidates, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_d")).select("_d").distinct()
-    texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_d"]), "left_semi")
-    sets = cut(_sets(texts.select("text"), counts, ngram).join(candidates, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    mask = spark.sparkContext.broadcast(_mask(candidates))
+    once = _sets(docs.select("text"), counts, mask, ngram).groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = cut(once.join(candidates, "key", "left_semi"))
     # every class and the leaders of its shingles
     stars = met.where("key <> leader").select("leader", "key").distinct()
     sizes = stars.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
