@@ -119,8 +119,8 @@ def _prefixes(docs: DataFrame, counts, ngram: int, percent: int) -> DataFrame:
 
 def _mask(keys: DataFrame) -> np.ndarray:
     """One bit per hash bucket of the keys, MASK bits whatever their number; a set bit may stand for other keys too."""
-    bucket = F.pmod(F.col("key"), F.lit(MASK))
-    words = keys.groupBy(F.floor(bucket / 32).cast("long").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (bucket % 32).cast("int"))).alias("bits")).toArrow()
+    bit = F.expr(f"shiftleft(1L, cast(pmod(key, {MASK}) % 32 as int))")
+    words = keys.groupBy(F.expr(f"pmod(key, {MASK}) div 32").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(MASK // 32, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out
