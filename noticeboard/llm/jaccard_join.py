@@ -23,7 +23,8 @@ from .common import Spans, Texts, U, components, cut, mix, pieces
 
 SKETCH = 1 << 18  # counters of the sketch, whatever the input
 MASK = 1 << 25  # bits of the mask, whatever the input
-BLOCK = 256  # classes of one block
+BLOCK = 1024  # classes of one block
+BLOCK_SHINGLES = 1 << 22  # and their shingles, on average
 
 
 def shingle_sets(texts: Texts, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +278,8 @@ def class_links(docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, D
     open_ = labelled.groupBy("shingle").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("shingle")
     # shingles with one leader are done together, so that a class is sent once for all of them
     rows = labelled.where("key <> leader").join(open_, "shingle", "left_semi").select("leader", "key", "component").distinct()
-    parts = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("leader", F.ceil(F.col("_m") / BLOCK).alias("parts"))
+    weighed = rows.join(sets.select("key", "n"), "key").groupBy("leader").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_n"))
+    parts = weighed.where("_m > 1").select("leader", F.ceil(F.greatest(F.col("_m") / BLOCK, F.col("_n") / BLOCK_SHINGLES)).alias("parts"))
     rows = cut(rows.join(parts, "leader").withColumn("mine", F.pmod(F.xxhash64("key"), "parts")))
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
