@@ -128,7 +128,8 @@ def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str],
         opening = line.select("_block", "cap", "key", *[nulls_to(F.sum(n).over(before), 0).alias(n) for n in ("lo_n", "lo_s", "hi_n", "hi_s")])
         if settled is not None:
             opening = opening.join(open_.select("_block").distinct(), "_block", "left_semi")
-        step = rounds.put(open_.groupBy("_block").cogroup(opening.groupBy("_block")).applyInArrow(_decide_block(names, fields), schema))
+        opening = opening.withColumnRenamed("_block", "_to")
+        step = rounds.put(open_.groupBy("_block").cogroup(opening.groupBy("_to")).applyInArrow(_decide_block(names, fields), schema))
         done = step.where("_exact")
         finished = done if finished is None else finished.unionByName(done)
         open_ = step.where("NOT _exact").drop(*seen, "_exact")

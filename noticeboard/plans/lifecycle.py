@@ -9,7 +9,7 @@ from ..operators import budget as B
 from ..sources.tables import load
 from ..streaming import jobs as S
 from .registry import EVENTS, JOBS, REGISTRY, query
-from .textual import sq
+from .textual import sq, strip
 
 
 # ------------------------------------------------------------------- streams --
@@ -65,9 +65,23 @@ def requests(spark, d):
     )
 
 
-@query("budget_decisions")
+# the published rules one request after the other; held are the requests admitted so far
+_ADMISSION_SQL = f"""WITH RECURSIVE g AS (SELECT doc_id AS q, doc_id%50+1 AS s, doc_id//40 AS task, sha256({sq('text')}) AS h, timestamp '2026-07-01' + to_minutes(cast(doc_id*17 AS int)) AS made, length(text)>12000 AS long,
+ CASE WHEN {strip('text')}='' THEN 0 ELSE greatest(1, cast(ceil(length(text)/2.0) AS bigint)) END AS est, lang='fr' AS approved FROM documents),
+r AS MATERIALIZED (SELECT g.*, cast(made + INTERVAL 8 HOUR AS date) AS day, NOT approved AND NOT coalesce(allow_auto_ai, false) AS bare, daily_article_budget+1 AS sa, daily_token_budget*4 AS st, row_number() OVER (ORDER BY made, q) AS i FROM g LEFT JOIN {REGISTRY.sql} reg ON reg.id=g.s),
+walk(i, reason, held) AS (SELECT cast(0 AS bigint), cast(NULL AS varchar), cast([] AS STRUCT(h varchar, task bigint, day date, s bigint, est bigint)[])
+ UNION ALL SELECT i, reason, CASE WHEN reason IS NULL THEN list_append(held, struct_pack(h := h, task := task, day := day, s := s, est := est)) ELSE held END FROM (
+  SELECT *, CASE WHEN long THEN 'INPUT_TOO_LONG' WHEN len(list_filter(held, lambda x: x.h=h))>0 THEN 'CONTENT_HASH_DUPLICATE' WHEN len(list_filter(held, lambda x: x.task=task))>=20 THEN 'TASK_ARTICLE_LIMIT'
+   WHEN len(today)>=60 THEN 'BUDGET_ARTICLES' WHEN coalesce(list_sum(list_transform(today, lambda x: x.est)), 0)+est>60000 THEN 'BUDGET_TOKENS' WHEN bare THEN 'SOURCE_APPROVAL_REQUIRED'
+   WHEN sa>0 AND len(list_filter(today, lambda x: x.s=s))>=sa THEN 'BUDGET_ARTICLES' WHEN st>0 AND coalesce(list_sum(list_transform(list_filter(today, lambda x: x.s=s), lambda x: x.est)), 0)+est>st THEN 'BUDGET_TOKENS' END AS reason
+  FROM (SELECT r.*, held, list_filter(held, lambda x: x.day=r.day) AS today FROM walk JOIN r ON r.i=walk.i+1))),
+o AS (SELECT r.*, reason, CASE WHEN reason IS NULL THEN 'RESERVED' WHEN reason='SOURCE_APPROVAL_REQUIRED' THEN 'WAITING_APPROVAL' WHEN reason='CONTENT_HASH_DUPLICATE' THEN 'DUPLICATE' ELSE 'WAITING_BUDGET' END AS status FROM r JOIN walk USING (i))
+SELECT q AS queue_id, day AS budget_date, est AS estimated_tokens, status, reason AS reason_code, CASE WHEN status='WAITING_BUDGET' THEN cast(day + 1 AS timestamp) - INTERVAL 8 HOUR END AS available_at FROM o"""
+
+
+@query("budget_decisions", _ADMISSION_SQL)
 def budget_decisions(spark, d):
-    """Ordered admission has no SQL form; unit tests compare with a plain loop."""
+    """Ordered admission under limits of task, day and source at once."""
     sources = REGISTRY(spark, d).select("source_id", (F.col("daily_article_budget") + 1).alias("daily_article_budget"), (F.col("daily_token_budget") * 4).alias("daily_token_budget"), "allow_auto_ai")
     out = B.reserve_budget(requests(spark, d), sources, global_articles=60, global_tokens=60000, per_task=20, zone="Asia/Shanghai")
     return out.select("queue_id", "budget_date", "estimated_tokens", "status", "reason_code", "available_at")

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from noticeboard.operators import budget as B
+from noticeboard.operators.joins import accept_in_order
 
 T0 = dt.datetime(2026, 7, 1, 10)
 REQ = "queue_id long, source_id long, task_root_id long, text string, content_hash string, approved boolean, created_at timestamp_ntz"
@@ -51,6 +52,30 @@ def test_matches_a_plain_loop(spark):
         assert {r.queue_id: r.reason_code for r in out.collect()} == loop(rows, sources, *limits), limits
 
 
+def test_tight_limits_in_many_blocks(spark):
+    """Limits that flip between rows, over one block and over several."""
+    rnd = random.Random(9)
+    sources = {k: (0, rnd.choice([70, 90, 400]), True) for k in range(4)}
+    rows = [(i, rnd.randrange(5), rnd.choice([None, 7, 8]), "x" * rnd.randrange(1, 120), f"h{rnd.randrange(150)}", True, T0 + dt.timedelta(hours=rnd.randrange(30), minutes=i)) for i in range(200)]
+    limits = (0, 700, 110, 40)
+    want = loop(rows, sources, *limits)
+    src = spark.createDataFrame([(k, *v) for k, v in sources.items()], SRC)
+    assert {r.queue_id: r.reason_code for r in B.reserve_budget(spark.createDataFrame(rows, REQ), src, *limits).collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = B.reserve_budget(spark.createDataFrame(rows, REQ), src, *limits).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.queue_id: r.reason_code for r in out} == want
+
+
+def test_chain_of_alternating_keys(spark):
+    """Row i shares one key with row i - 1 and the other with row i + 1: every other row is accepted."""
+    df = spark.range(10_000).select(F.col("id").alias("n"), F.floor(F.col("id") / 2).alias("a"), F.floor((F.col("id") + 1) / 2).alias("b"))
+    got = accept_in_order(df, ["a", "b"], ["n"]).where("accepted").agg(F.count("*"), F.max(F.col("n") % 2)).first()
+    assert tuple(got) == (5_000, 0)
+
+
 def test_batches_carry_usage_and_exempt_rows_are_free(spark):
     rnd = random.Random(8)
     rows = [(i, rnd.choice([1, 2, None]), rnd.choice([None, 7]), "x" * rnd.choice([4, 40]), f"h{rnd.randrange(25)}", True, T0 + dt.timedelta(minutes=i)) for i in range(30)]

@@ -98,3 +98,65 @@ def test_sinks(spark, events, tmp_path):
 
     S.apply_batches(errors(stream(spark, df, path)), step, str(tmp_path / "retries"), str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination(120)
     same(spark.read.parquet(str(tmp_path / "retries")).drop("batch"), step(errors(df)))
+
+
+def in_batches(df, path, parts):
+    """One file, and so one micro-batch, per list of row numbers."""
+    for k, rows in enumerate(parts):
+        df.where(F.col("event_id").isin(rows)).coalesce(1).write.mode("append").parquet(f"{path}/part={k}")
+
+
+def last_rows(got, n):
+    last = {}
+    for r in got.collect():
+        last[tuple(r)[:n]] = tuple(r)
+    return sorted(last.values())
+
+
+def test_late_moderation(spark, tmp_path):
+    """Decisions and reports in the wrong micro-batch, within the lateness."""
+    h = dt.timedelta(hours=1)
+    rows = [(1, 0, "REPORT"), (2, 1, "HIDDEN"), (3, 2, "REPORT"), (4, 3, "REPORT"), (5, 2, "VISIBLE"), (6, 0, "REPORT"), (7, 9, "REPORT"), (8, 30, "REPORT")]
+    df = spark.createDataFrame([(i, T0 + k * h, i % 2, a) for i, k, a in rows] + [(9, T0 + 31 * h, 0, "HIDDEN")], "event_id long, ts timestamp, post_id long, action string")
+    in_batches(df, str(tmp_path / "in"), [[4, 7, 3], [2, 1, 6], [5], [8], [9]])
+    got = final(spark, S.moderation_state(stream(spark, df, str(tmp_path / "in"))), "update", tmp_path, "late_moderation")
+    assert last_rows(got, 1) == sorted(map(tuple, S.moderation_twin(df).collect()))
+
+
+def test_overdue_ties(spark, tmp_path):
+    """Equal times: the open event counts, whatever order they arrive in; a late event does not reopen a closed key."""
+    m = dt.timedelta(minutes=1)
+    rows = [(1, 1, 0, True, 30), (2, 1, 0, False, 30), (3, 2, 0, False, 30), (4, 2, 0, True, 40), (5, 3, 5, False, 60), (6, 3, 1, True, 31), (7, 9, 50, False, 90), (8, 9, 80, False, 99)]
+    df = spark.createDataFrame([(i, k, T0 + t * m, o, T0 + d * m) for i, k, t, o, d in rows], "event_id long, id long, ts timestamp, is_open boolean, deadline timestamp")
+    in_batches(df, str(tmp_path / "in"), [[1, 3, 5], [2, 4, 6], [7], [8]])
+    got = final(spark, S.overdue(stream(spark, df, str(tmp_path / "in")).drop("event_id"), "10 minutes"), "append", tmp_path, "ties")
+    twin = S.overdue_twin(df, F.lit(T0 + 70 * m))
+    assert {r.id for r in twin.collect()} == {1, 2}
+    same(got, twin)
+
+
+def test_toggles_leave_the_state(spark, tmp_path):
+    day = dt.timedelta(days=1)
+    rows = [(1, 0, 1, True), (2, 1, 2, True), (3, 0, 1, False), (4, 60, 3, True), (5, 62, 4, False), (6, 63, 4, True)]
+    df = spark.createDataFrame([(i, T0 + k * day, u, 7, o) for i, k, u, o in rows], "event_id long, ts timestamp, user_id long, item_id long, is_on boolean")
+    in_batches(df, str(tmp_path / "in"), [[1, 2], [3], [4], [5], [6]])
+    q = S.toggle_stream(stream(spark, df, str(tmp_path / "in")), horizon_days=30).writeStream.format("memory").queryName("toggles_end").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    rows_held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(rows_held) >= 3 and rows_held[-1] == 2  # users 1 and 2 have gone
+    got = {(r.user_id, r.item_id): r.is_on for r in spark.table("toggles_end").orderBy("changed_at").collect()}
+    assert got == {(r.user_id, r.item_id): r.is_on for r in S.toggle_state(df).collect()}
+
+
+def test_budget_ledger_over_batches(spark, tmp_path):
+    rows = [(i, i % 3, i % 4, "x" * (4 + 36 * (i % 5 == 0)), f"h{i % 17}", True, T0 + dt.timedelta(minutes=i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "queue_id long, source_id long, task_root_id long, text string, content_hash string, approved boolean, created_at timestamp_ntz")
+    sources = spark.createDataFrame([(1, 4, 0, True), (2, 0, 60, True)], "source_id long, daily_article_budget int, daily_token_budget int, allow_auto_ai boolean")
+    limits = {"global_articles": 14, "global_tokens": 150, "per_task": 5}
+    path, out = str(tmp_path / "in"), str(tmp_path / "ledger")
+    for k, (a, z) in enumerate(((0, 11), (11, 12), (12, 40))):
+        df.where(F.col("queue_id").between(a, z - 1)).coalesce(1).write.mode("append").parquet(f"{path}/part={k}")
+    for _ in range(2):  # the second run finds nothing new
+        S.reserve_stream(stream(spark, df, path), sources, out, str(tmp_path / "cp"), **limits).trigger(availableNow=True).start().awaitTermination(300)
+    whole = B.reserve_budget(df, sources, **limits)
+    same(spark.read.parquet(out).select("queue_id", "status", "reason_code"), whole.select("queue_id", "status", "reason_code"))
