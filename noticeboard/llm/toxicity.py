@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BYTE_VALUES, LOWER, Spans, Texts, U, mix, pieces, ranges
+from .common import BYTE_VALUES, LOWER, Spans, Texts, U, mix, pieces, ranges, unused
 
 SIZES = (3, 4, 5, 6, 7)  # bytes of an n-gram, boundary marks included
 BUCKETS = 1 << 17
@@ -173,14 +173,15 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 4000, most_chars: int
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, column: str = "_score") -> DataFrame:
-    """The columns `keep` of docs (all if None) and the score (0 to 1) of every whole text, in a column named `column`.
+    """The columns `keep` of docs (all if None) and the score (0 to 1) of every whole text, in a column named `column`, with underscores
+    where a kept column has that name.
 
     Null and empty texts get the score of a text without words.  Repeated rows get the same score each.
     """
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: one float per bucket
-    rows = docs.select(F.col("text").cast("string").alias("_whole"), *[F.col(c) for c in keep])
-    out = docs.select(*keep).schema.add(column, "double")
+    rows = docs.select(F.col("text").cast("string").alias(unused("_whole", docs)), *[F.col(c) for c in keep])
+    out = docs.select(*keep).schema.add(unused(column, docs.select(*keep)), "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in pieces(batches, 0):
