@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import Spans, Texts, U, components, cut, mix, pieces
 
 SKETCH = 1 << 18  # counters of the sketch, whatever the input
-MASK = 1 << 25  # bits of the mask, whatever the input
+MASK = 1 << 23  # bits of the mask, whatever the input
 BLOCK = 1024  # classes of one block
 BLOCK_SHINGLES = 1 << 22  # and their shingles, on average
 
