@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import questions as Q, vocab as V
 from ..functions.classify import match_terms
-from ..functions.core import nulls_to, present, strip, text
+from ..functions.core import nulls_to, strip, text
 from ..functions.texts import normalize
 from .ordered import top_per_key
 
@@ -24,20 +24,10 @@ def facts_digest(fields: DataFrame, doc: str = "document_id", n: int = 12) -> Da
     )
 
 
-def item_anchors(items: DataFrame, anchors: DataFrame, unrolled: int = 400) -> DataFrame:
-    """(slug, anchor): anchors occurring in title, category, summary or facts.
-
-    Up to `unrolled` different anchors become plain contains tests; more of them are
-    matched by an equi join on pieces of the text.
-    """
+def item_anchors(items: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(slug, anchor): anchors occurring in title, category, summary or facts, by an equi join on pieces of the text."""
     searchable = F.concat_ws(_SEPARATOR, *[normalize(c) for c in ("title", "category", "summary", "verified_facts")])
-    distinct = anchors.select("anchor").distinct()
-    few = [r[0] for r in distinct.limit(unrolled + 1).collect()]
-    if len(few) <= unrolled:
-        if not few:
-            return items.select("slug", F.lit("").alias("anchor")).where("false")
-        return items.select("slug", searchable.alias("_s")).select("slug", F.explode(present(F.col("_s"), sorted(few))).alias("anchor"))
-    return match_terms(items.select("slug", searchable.alias("_s")), distinct, "_s", "slug", "anchor")
+    return match_terms(items.select("slug", searchable.alias("_s")), anchors.select("anchor").distinct(), "_s", "slug", "anchor")
 
 
 def understand(questions: DataFrame, stop_chars: str = V.QUESTION_STOP_CHARS, categories=None, synonyms=None, topics=None) -> DataFrame:
@@ -47,56 +37,56 @@ def understand(questions: DataFrame, stop_chars: str = V.QUESTION_STOP_CHARS, ca
     })
 
 
-def _with_points(items: DataFrame, terms: DataFrame, unrolled: int = 400) -> DataFrame:
-    """Adds points (term -> points on this item) when the questions share few different terms, else null.
+def term_index(ready: DataFrame, terms: DataFrame) -> DataFrame:
+    """(slug, term, points): inverted index of the questions' terms over the normalised texts _n_... of the items.
 
-    What a term earns on an item does not depend on the question, so it is counted
-    once per item instead of once per pair.
+    What a term earns on an item does not depend on the question, so it is counted once per item.  The category is
+    left out: it counts for terms around it too, and is short enough to be compared with each question.
     """
-    few = [r[0] for r in terms.select(F.explode("terms").alias("t")).distinct().limit(unrolled + 1).collect()]
-    if len(few) > unrolled:
-        return items.withColumn("_points", F.lit(None).cast("map<string,int>"))
-    words = F.array(*[F.lit(w) for w in sorted(few)]).cast("array<string>")
-    worth = Q.term_points(*[F.col(f"_n_{c}") for c in _TEXTS])
-    return items.withColumn("_points", F.map_from_entries(F.filter(
-        F.transform(words, lambda w: F.struct(w.alias("w"), worth(w).alias("p"))), lambda e: e["p"] > 0
-    )))
+    words = terms.select(F.explode("terms").alias("term")).where("term <> ''").distinct()
+    fields = [F.lit(_SEPARATOR) if c == "category" else F.col(f"_n_{c}") for c in _TEXTS]
+    hits = match_terms(ready.select("slug", F.concat_ws(_SEPARATOR, *fields).alias("_s")), words, "_s", "slug", "term")
+    worth = Q.term_points(*fields)
+    found = hits.join(ready.select("slug", *[f"_n_{c}" for c in _TEXTS]), "slug")
+    return found.select("slug", "term", worth(F.col("term")).alias("points")).where("points > 0")
 
 
-def retrieve(understood: DataFrame, items: DataFrame, n: int = 3, same_region: bool = False) -> DataFrame:
+def retrieve(understood: DataFrame, items: DataFrame, n: int = 3, same_region: bool = False, salts: int = 8) -> DataFrame:
     """Best n items per question: score, then newest, then slug.
 
     Questions with the same terms, anchors and page are answered once.  Only an item
     one of the anchors occurs in (or the page the question was asked on) can score, so
     questions and items meet in an equi join on (anchor).  A pair is kept at its first
-    shared anchor only, scored on the spot and cut to n per question before any
-    shuffle of pairs; texts are fetched for the winners only.
+    shared anchor only, scored on the spot from the term index of the item and cut to n
+    per question before any shuffle of pairs; texts are fetched for the winners only.
+    The items of an anchor are dealt out over `salts` tasks, so that one anchor in every
+    item does not end in one task.
     """
     profile = ["terms", "anchors", "context_slug", *(["region_code"] if same_region else [])]
     q = understood.withColumn("anchors", F.filter("anchors", lambda a: a != ""))
     q = q.withColumn("_profile", F.sha2(F.to_json(F.struct(*profile), {"ignoreNullFields": "false"}), 256))
     distinct = q.groupBy("_profile").agg(*[F.any_value(c).alias(c) for c in profile])
-    # texts are normalised once per item, not once per pair
-    ready = _with_points(items.withColumns({f"_n_{c}": normalize(c) for c in _TEXTS}), distinct)
+    # texts are normalised once per item, not once per pair; an item has no more entries than its text has pieces
+    ready = items.withColumns({f"_n_{c}": normalize(c) for c in _TEXTS})
+    index = term_index(ready, distinct).groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("term", "points"))).alias("_points"))
+    slim = ["slug", "published_at", "_n_category", *([F.col("region_code").alias("item_region")] if same_region else [])]
+    scored_items = ready.select(*slim).join(index, "slug", "left")
     exploded = distinct.select("*", F.explode("anchors").alias("anchor"))
-    hits = item_anchors(items, exploded)
-    marked = ready.join(hits.groupBy("slug").agg(F.array_sort(F.collect_set("anchor")).alias("item_anchors")), "slug")
-    # texts travel with a pair only when points could not be counted beforehand
-    texts = [F.when(F.col("_points").isNull(), F.col(f"_n_{c}")).alias(f"_n_{c}") for c in _TEXTS]
-    slim = ["slug", "published_at", "_points", *texts, *([F.col("region_code").alias("item_region")] if same_region else [])]
-    side = marked.select(*slim, "item_anchors", F.explode("item_anchors").alias("anchor"))
-    pairs = exploded.join(side, "anchor")
+    hits = item_anchors(items, exploded).groupBy("slug").agg(F.array_sort(F.collect_set("anchor")).alias("item_anchors"))
+    side = scored_items.join(hits, "slug").withColumn("_salt", F.pmod(F.xxhash64("slug"), F.lit(salts)).cast("int"))
+    side = side.select("*", F.explode("item_anchors").alias("anchor"))
+    spread = exploded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = spread.join(side, ["anchor", "_salt"])
     if same_region:
         pairs = pairs.where(F.col("region_code") == F.col("item_region"))
     first = F.try_element_at(F.filter("anchors", lambda a: F.array_contains("item_anchors", a)), F.lit(1))
     pairs = pairs.where(first == F.col("anchor")).where(~nulls_to(F.col("context_slug") == F.col("slug"), False))
-    asked_on = distinct.where("context_slug is not null").join(ready.select("slug", "published_at", "_points", *texts).withColumn("context_slug", F.col("slug")), "context_slug")
-    cols = ["_profile", "terms", "anchors", "context_slug", "slug", "published_at", "_points", *[f"_n_{c}" for c in _TEXTS]]
-    counted = F.aggregate("terms", F.when(nulls_to(F.col("context_slug") == F.col("slug"), False), 100).otherwise(0), lambda acc, t: acc + nulls_to(F.col("_points")[t], 0))
-    direct = Q.lexical_score("terms", "anchors", "slug", "context_slug", *[f"_n_{c}" for c in _TEXTS], prepared=True)
-    scored = pairs.select(*cols).unionByName(asked_on.select(*cols)).select(
-        "_profile", "slug", "published_at", F.when(F.col("_points").isNotNull(), counted).otherwise(direct).alias("score")
-    ).where("score > 0")
+    asked_on = distinct.where("context_slug is not null").join(scored_items.select("slug", "published_at", "_n_category", "_points").withColumn("context_slug", F.col("slug")), "context_slug")
+    cols = ["_profile", "terms", "anchors", "context_slug", "slug", "published_at", "_n_category", "_points"]
+    of_category = Q.term_points(F.lit(_SEPARATOR), F.col("_n_category"), *[F.lit(_SEPARATOR)] * 3)
+    asked_here = F.when(nulls_to(F.col("context_slug") == F.col("slug"), False), 100).otherwise(0)
+    counted = F.aggregate("terms", asked_here, lambda acc, t: acc + nulls_to(F.col("_points")[t], 0) + of_category(t))
+    scored = pairs.select(*cols).unionByName(asked_on.select(*cols)).select("_profile", "slug", "published_at", counted.alias("score")).where("score > 0")
     best = top_per_key(scored, ["_profile"], [F.desc("score"), F.desc("published_at"), F.col("slug")], n, "citation")
     answered = q.select("question_id", "terms", "context_slug", "_profile").join(best.drop("published_at"), "_profile").drop("_profile")
     return answered.join(items.drop("region_code"), "slug")

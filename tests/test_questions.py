@@ -57,13 +57,20 @@ def test_retrieval_equals_brute_force(spark):
     assert not any(q == 2 for q, _, _ in want) and (4, "news-3") in {(q, s) for q, s, _ in want}
 
 
-def test_large_vocabularies_take_the_join(spark, monkeypatch):
-    asked = ask(spark, ("体检什么时间", None), ("停水", None), ("怎么防诈骗", "guide-1"))
-    want = sorted(map(tuple, brute(asked, items(spark)).collect()))
-    points, anchors = R._with_points, R.item_anchors
-    monkeypatch.setattr(R, "_with_points", lambda i, t: points(i, t, 1))
-    monkeypatch.setattr(R, "item_anchors", lambda i, a: anchors(i, a, 1))
-    assert sorted((r.question_id, r.slug, r.score) for r in R.retrieve(asked, items(spark), n=10).collect()) == want
+def test_items_that_share_anchors(spark):
+    """Every anchor stands in many items, empty categories and pages asked on included."""
+    words = ["体检", "停水", "反诈", "社区", "医保", "办理"]
+    rows = [(f"item-{i}", i, f"{words[i % 6]}通知{i}", words[i % 5] if i % 7 else "", "社区体检安排", f"{words[i % 4]}在{i}号楼", "", i % 7) for i in range(60)]
+    many = spark.createDataFrame(rows, items(spark).schema)
+    asked = ask(spark, *[(f"{words[i % 6]}{words[i * 5 % 6]}什么时间", f"item-{i}" if i % 4 == 0 else None) for i in range(18)])
+    want = brute(asked, many).collect()
+    got = R.retrieve(asked, many, n=1000).collect()
+    assert sorted((r.question_id, r.slug, r.score) for r in got) == sorted(map(tuple, want)) and len(want) > 200
+    top = R.retrieve(asked, many, n=3).groupBy("question_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).collect()
+    best = {}
+    for r in want:
+        best.setdefault(r.question_id, []).append(r.score)
+    assert {r.question_id: r.s for r in top} == {q: sorted(v)[-3:][0] for q, v in best.items()} and {r.question_id: r.n for r in top} == {q: min(3, len(v)) for q, v in best.items()}
 
 
 def test_quotes_cards_posts(spark):
