@@ -3,12 +3,14 @@
 Equal sets form one class.  All sets are ordered globally, rare shingles first (by a count sketch of fixed size, then by hash; any total
 order gives the same links).  With s the least similarity and k = n // 20 + 1, two sets that link share at least the smaller of
 their k shingles among the first n - ceil(s n) + k of each: classes that share fewer with all others link with none and drop out, the
-others meet under their shared shingles.  The sets that meet are stored in a trie: sorted, so that neighbours share a path, with the overlap of a path counted
+others meet under their shared shingles.  The classes of a shingle, in the order of their sizes, fall apart wherever two neighbours are
+too unequal to link: such chains are the groups from here on.  The sets that meet are stored in a trie: sorted, so that neighbours share a path, with the overlap of a path counted
 once for all sets below it.  A query leaves a subtree when more of its path is missing than the longest set in the block may miss.
 
 Groups of any size are dealt out in blocks of bounded size, and only links that connect something new leave a block, so no task holds a
-group and no pair product is written.  First every class meets the leaders of its shingles; what these links leave unconnected under a
-shared shingle is then compared in full, block against block.
+group and no pair product is written.  First every class meets the leaders of its groups with which it has at least k of them in common;
+what is then left unconnected in a group is compared in full, block against block.  A pair with fewer groups under its own leader has
+others in common, led by a third class, and meets there.
 """
 
 from __future__ import annotations
@@ -98,7 +100,7 @@ def _classes(docs: DataFrame, ngram: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, counts, ngram: int, percent: int) -> DataFrame:
-    """(shingle, key, need) for the shingles under which a class may meet others; need is the least number it shares with any partner."""
+    """(shingle, key, n) for the shingles under which a class of n shingles may meet others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)  # copies within a task count once; at most one number for each of its documents
@@ -110,12 +112,11 @@ def _prefixes(docs: DataFrame, counts, ngram: int, percent: int) -> DataFrame:
             first &= ~np.isin(keys, seen)
             seen = np.concatenate([seen, keys[first]])
             length = np.where((sizes > 0) & first, np.minimum(sizes, sizes - at_least(sizes, percent) + must_share(sizes)), 0)
-            need = must_share(at_least(sizes, percent)).astype(np.int32)
             rank = np.arange(len(values)) - np.repeat(offsets[:-1], sizes)
             take = rank < np.repeat(length, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(values[take].view(np.int64)), pa.array(np.repeat(keys, length)), pa.array(np.repeat(need, length))], names=["shingle", "key", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[take].view(np.int64)), pa.array(np.repeat(keys, length)), pa.array(np.repeat(sizes, length))], names=["shingle", "key", "n"])
 
-    return docs.mapInArrow(run, "shingle long, key long, need int")
+    return docs.mapInArrow(run, "shingle long, key long, n long")
 
 
 def _mask(keys: DataFrame) -> np.ndarray:
@@ -237,10 +238,15 @@ def _links_of_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return whole.groupBy("block").applyInArrow(lambda table: _block_links(table, percent), "a long, b long")
 
 
-def _shared(met: DataFrame) -> DataFrame:
-    """The rows whose shingle more than one class has."""
-    same = Window.partitionBy("shingle")
-    return met.withColumns({"_lo": F.min("key").over(same), "_hi": F.max("key").over(same)}).where("_lo <> _hi").drop("_lo", "_hi")
+def _shared(met: DataFrame, percent: int) -> DataFrame:
+    """The rows whose shingle another class of fitting size has too; chain numbers the runs of fitting sizes of a shingle."""
+    by_size = Window.partitionBy("shingle").orderBy("n", "key")
+    marked = met.withColumns({
+        "_first": F.coalesce(100 * F.lag("n").over(by_size) < percent * F.col("n"), F.lit(True)),
+        "_last": F.coalesce(100 * F.col("n") < percent * F.lead("n").over(by_size), F.lit(True)),
+    })
+    chain = F.sum(F.col("_first").cast("int")).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.withColumn("chain", chain).where("NOT (_first AND _last)").drop("_first", "_last")
 
 
 def class_links(docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -250,37 +256,40 @@ def class_links(docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, D
     counts = spark.sparkContext.broadcast(_sketch(docs.select("text"), ngram))
     classes = cut(_classes(docs, ngram))
     # one shuffle brings the classes of a shingle together; those that nobody shares end here
-    met = _shared(_prefixes(docs.select("text"), counts, ngram, percent).repartition("shingle").dropDuplicates(["shingle", "key"]))
+    met = _shared(_prefixes(docs.select("text"), counts, ngram, percent).repartition("shingle").dropDuplicates(["shingle", "key"]), percent)
     for _ in range(2):  # a class that drops out may leave others with too few
-        enough = met.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n >= need").drop("_n")
-        met = _shared(enough)
-    met = cut(met)
+        enough = met.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where(f"_n >= ceil(n * {percent}L / 100) div 20 + 1").drop("_n", "chain")
+        met = _shared(enough, percent)
+    met = cut(met.select(F.xxhash64("shingle", "chain").alias("shingle"), "key", "n"))
     groups = met.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("size"), F.min("key").alias("leader"), F.sum(F.xxhash64("key") % 1_000_000_007).alias("s"), F.bit_xor(F.xxhash64("key")).alias("x"),
+        F.count(F.lit(1)).alias("size"), F.min(F.struct("key", "n")).alias("head"), F.sum(F.xxhash64("key") % 1_000_000_007).alias("s"), F.bit_xor(F.xxhash64("key")).alias("x"),
     ).where("size > 1")
     # shingles with the same members do the same work: one of them is enough
-    one = groups.groupBy("size", "leader", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle", "size", "leader")
-    met = cut(met.select("shingle", "key").join(one, "shingle"))
-    candidates = met.select("key").distinct()
+    one = groups.groupBy("size", "head", "s", "x").agg(F.min("shingle").alias("shingle"), F.count(F.lit(1)).alias("alike"))
+    one = one.select("shingle", "size", F.col("head.key").alias("leader"), F.col("head.n").alias("leader_n"), "alike")
+    met = cut(met.join(one, "shingle"))
+    # every class and those leaders of its groups with which it has enough of them in common
+    fits = met.where(f"key <> leader AND 100L * least(n, leader_n) >= {percent}L * greatest(n, leader_n)").groupBy("leader", "key")
+    stars = cut(fits.agg(F.sum("alike").alias("_n"), F.first(F.least("n", "leader_n")).alias("_least")).where("_n >= _least div 20 + 1").select("leader", "key"))
+    candidates = met.where("size > 2 AND key <> leader").select("key").union(stars.select(F.explode(F.array("leader", "key")))).distinct()
     mask = spark.sparkContext.broadcast(_mask(candidates))
     once = _sets(docs.select("text"), counts, mask, ngram).groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     sets = cut(once.join(candidates, "key", "left_semi"))
-    # every class and the leaders of its shingles
-    stars = met.where("key <> leader").select("leader", "key").distinct()
     sizes = stars.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     spread = stars.join(sizes, "leader").select(F.struct("leader", F.pmod(F.xxhash64("key"), "parts").alias("part")).alias("block"), F.lit(False).alias("asks"), F.lit(True).alias("stored"), "key", F.col("key").alias("component"))
     heads = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     heads = heads.select(F.struct("leader", "part").alias("block"), F.lit(True).alias("asks"), F.lit(False).alias("stored"), F.col("leader").alias("key"), F.col("leader").alias("component"))
     links = cut(_links_of_blocks(spread.unionByName(heads), sets, percent))
     linked = components(links)
-    # groups that still hold several components, and pairs that no leader has compared
+    # groups that still hold several components, and pairs that no leader has compared; a pair that had too few groups with its leader
+    # is among them under another leader
     labelled = met.where("size > 2").join(linked.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     open_ = labelled.groupBy("shingle").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("shingle")
     # shingles with one leader are done together, so that a class is sent once for all of them
-    rows = labelled.where("key <> leader").join(open_, "shingle", "left_semi").select("leader", "key", "component").distinct()
-    weighed = rows.join(sets.select("key", "n"), "key").groupBy("leader").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_n"))
+    rows = labelled.where("key <> leader").join(open_, "shingle", "left_semi").select("leader", "key", "component", "n").distinct()
+    weighed = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_n"))
     parts = weighed.where("_m > 1").select("leader", F.ceil(F.greatest(F.col("_m") / BLOCK, F.col("_n") / BLOCK_SHINGLES)).alias("parts"))
-    rows = cut(rows.join(parts, "leader").withColumn("mine", F.pmod(F.xxhash64("key"), "parts")))
+    rows = cut(rows.join(parts, "leader").drop("n").withColumn("mine", F.pmod(F.xxhash64("key"), "parts")))
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     blocks = pairs.select(F.struct("leader", low.alias("i"), high.alias("j")).alias("block"), (F.col("mine") == low).alias("asks"), (F.col("mine") == high).alias("stored"), "key", "component")

@@ -155,6 +155,22 @@ def test_jaccard_join_equals_brute_force(spark, corpus, ngram, percent, monkeypa
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_links(rows, ngram, percent)
 
 
+def test_jaccard_join_of_many_sizes_under_frequent_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):  # two words only: most shingles are shared by texts of any length
+        base = [rng.choice("ab") if rng.random() < 0.6 else f"w{rng.randrange(400)}" for _ in range(rng.choice((3, 8, 21, 40, 90, 180)))]
+        rows.append((i * 10, " ".join(base)))
+        for k in range(1, rng.randrange(1, 4)):  # longer and longer: the ends of a chain may be too unequal to link directly
+            base += [f"x{i}_{k}_{m}" for m in range(max(1, len(base) // 14))]
+            rows.append((i * 10 + k, " ".join(base)))
+    got = jaccard_join.linked_documents(frame(spark, rows), 3, 90).collect()
+    want = brute_links(rows, 3, 90)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    assert sum(d != c for d, _, c in want) > 20
+
+
 def test_representatives_keep_one_of_each_group(spark, corpus):
     rows = [(i, t) for i, t, *_ in corpus if i is not None]
     kept = jaccard_join.representatives(frame(spark, rows))
