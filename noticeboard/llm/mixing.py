@@ -10,13 +10,17 @@ runs out, the others go on with their weights; that is a new phase.  No row is d
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from math import gcd
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 PERIOD = 10_000  # largest sum of the integer weights
+PLAN = pa.schema([("p2", pa.int32()), ("k2", pa.string()), ("j", pa.int64()), ("s", pa.int64()), ("r", pa.int64()), ("d", pa.int64())])
 
 
 def integer_weights(weights: dict, period: int = PERIOD) -> dict:
@@ -32,7 +36,7 @@ def integer_weights(weights: dict, period: int = PERIOD) -> dict:
     return {k: v // common for k, v in out.items()}
 
 
-def one_period(weights: dict) -> list[tuple[object, int, int]]:
+def schedule(weights: dict) -> Iterator[tuple[object, int, int]]:
     """(source, block, slot) of the slots 0 to sum(weights) - 1, by earliest deadline first over released blocks; ties by name."""
     total = sum(weights.values())
     release = lambda j, w: j * total // w
@@ -40,7 +44,6 @@ def one_period(weights: dict) -> list[tuple[object, int, int]]:
     later = [(0, due(0, w), str(k), 0, k) for k, w in weights.items()]
     heapq.heapify(later)
     ready: list = []
-    out = []
     for slot in range(total):
         while later and later[0][0] <= slot:
             _, d, name, j, k = heapq.heappop(later)
@@ -48,10 +51,9 @@ def one_period(weights: dict) -> list[tuple[object, int, int]]:
         d, name, j, k = heapq.heappop(ready)
         if d <= slot:
             raise AssertionError("a deadline is missed")
-        out.append((k, j, slot))
+        yield k, j, slot
         w = weights[k]
         heapq.heappush(later, (release(j + 1, w), due(j + 1, w), name, j + 1, k))
-    return out
 
 
 @dataclass
@@ -60,34 +62,58 @@ class Phase:
     first_block: dict  # per active source: its first block of the phase
     weights: dict
     slots: int
+    planned: int  # slots of the period that the phase uses
+    used_up: object  # the one source that gives its last block, in the last slot
+    given: dict  # blocks of each source that gives any
 
 
 def phases(blocks: dict, weights: dict) -> list[Phase]:
     """Blocks per source -> the phases; a phase ends with the slot in which a source gives its last block.
 
-    As many phases as sources at most.
+    As many phases as sources; the slots of a period are gone through once for each, and only as far as the phase goes.
     """
     done, slot, out = {k: 0 for k, n in blocks.items() if n}, 0, []
     while done:
         active = integer_weights({k: weights[k] for k in done})
-        period, total = one_period(active), sum(active.values())
-        left = {k: blocks[k] - done[k] for k in done}
-        ends = {}
-        place: dict = {}
-        for k, j, s in period:
-            place.setdefault(k, []).append(s)
-        for k, n in left.items():  # slot of the source's last block if the phase went on
-            w = active[k]
-            ends[k] = (n - 1) // w * total + place[k][(n - 1) % w]
-        last = min(ends.values())
-        cycles, rest = divmod(last + 1, total)
-        given = {k: cycles * active[k] + sum(s < rest for s in place[k]) for k in done}
-        out.append(Phase(slot, dict(done), active, last + 1))
-        slot += last + 1
-        done = {k: done[k] + given[k] for k in done if done[k] + given[k] < blocks[k]}
+        total = sum(active.values())
+        last = {k: blocks[k] - done[k] - 1 for k in done}
+        cycles = min(last[k] // w for k, w in active.items())  # whole periods before a source can run out
+        ends = {k: last[k] % w for k, w in active.items() if last[k] // w == cycles}
+        part: dict = {}
+        for k, j, s in schedule(active):  # noqa: B007
+            part[k] = j + 1
+            if ends.get(k) == j:
+                break
+        given = {k: cycles * w + part.get(k, 0) for k, w in active.items() if cycles or k in part}
+        n = cycles * total + s + 1
+        out.append(Phase(slot, {k: done[k] for k in given}, active, n, total if cycles else n, k, given))
+        slot += n
+        done = {k: b for k, b in ((k, b + given.get(k, 0)) for k, b in done.items()) if b < blocks[k]}
     return out
 
 
+def planned_slots(spark: SparkSession, found: list[Phase]) -> DataFrame:
+    """(p2, k2, j, s, r, d): source, block, slot, release and deadline of the planned slots of every phase, worked out in tasks."""
+    rows = [(p, phase.planned, [str(k) for k in phase.weights], list(phase.weights.values())) for p, phase in enumerate(found)]
+    frame = spark.createDataFrame(rows, "p int, planned long, names array<string>, weights array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                weights = dict(zip(row["names"], row["weights"]))
+                total = sum(weights.values())
+                slots = list(islice(schedule(weights), row["planned"]))
+                yield pa.RecordBatch.from_pylist(
+                    [
+                        {"p2": row["p"], "k2": k, "j": j, "s": s, "r": j * total // weights[k], "d": -((-(j + 1) * total) // weights[k])}
+                        for k, j, s in slots
+                    ],
+                    PLAN,
+                )
+
+    return frame.mapInArrow(run, "p2 int, k2 string, j long, s long, r long, d long")
+
+
 def numbered(rows: DataFrame, source: str, order: str, name: str, rows_per_bucket: int = 2_000) -> DataFrame:
     """rows with `name`, the number of each row within its source from 0, in the order of a hash of the order column.
 
@@ -109,7 +135,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, other: fl
     weights: target weight per source; sources that are not named get `other`, which is also every weight if weights is None.  A null
     source is a source of its own, called "".  Rows of a source are taken in the order of a hash of the columns `by`; repeated rows
     follow each other.  Columns of docs with the added names are replaced.  An empty table gives an empty result.  The sources' names and counts
-    come to the driver, one row each, and the schedule is at most PERIOD rows for each phase.
+    come to the driver, one row each, and one row for each phase and source that gives blocks in it; the schedule of a phase, at most
+    PERIOD rows (or one for each source, if there are more), is made in a task.
     """
     spark = docs.sparkSession
     added = ["source_block", "slot", "slot_release", "slot_deadline", "mix_position"]
@@ -120,42 +147,24 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, other: fl
     counts = {r["_n"]: r["c"] for r in docs.groupBy(name.alias("_n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     sizes = {k: -(-c // block) for k, c in counts.items()}
     target = {k: (weights or {}).get(k, other) for k in sizes}
-    plan, spans = [], []
-    for p, phase in enumerate(phases(sizes, target)):
+    found = phases(sizes, target)
+    spans, missing = [], 0  # missing: rows that the last blocks of sources used up in earlier phases are short of
+    for p, phase in enumerate(found):
         total = sum(phase.weights.values())
-        for k, j, s in one_period(phase.weights):
-            w = phase.weights[k]
-            plan.append((p, k, j, s, j * total // w, -((-(j + 1) * total) // w)))
-        for k, w in phase.weights.items():
-            spans.append((p, k, phase.first_block[k], w, total, phase.first_slot))
-    ends: dict = {}
-    for p, k, first, *_ in spans:
-        ends.setdefault(k, []).append((first, p))
-    until = {}
-    for k, v in ends.items():
-        v.sort()
-        for (first, p), nxt in zip(v, [*v[1:], (sizes[k], None)]):
-            until[p, k] = nxt[0]
-    span_rows = [(p, k, first, until[p, k], w, total, slot) for p, k, first, w, total, slot in spans]
-    span_df = spark.createDataFrame(span_rows, "p int, k string, first long, until long, w long, total long, slot0 long")
-    plan_df = spark.createDataFrame(plan, "p2 int, k2 string, j long, s long, r long, d long")
+        for k, n in phase.given.items():
+            first = phase.first_block[k]
+            spans.append((p, k, first, first + n, phase.weights[k], total, phase.first_slot, missing))
+        missing += -counts[phase.used_up] % block
+    span_df = spark.createDataFrame(spans, "p int, k string, first long, until long, w long, total long, slot0 long, missing long")
+    few = sum(phase.planned for phase in found) <= 20 * PERIOD  # else the schedule is shuffled as well
+    plan_df = planned_slots(spark, found).hint("broadcast" if few else "merge")
     out = rows.withColumn("source_block", F.floor(F.col("_position") / block))
     out = out.join(span_df, (F.col("_source") == F.col("k")) & (F.col("source_block") >= F.col("first")) & (F.col("source_block") < F.col("until")))
     local = F.col("source_block") - F.col("first")
     out = out.withColumns({"_cycle": F.floor(local / F.col("w")), "_j": local % F.col("w")})
     out = out.join(plan_df, (F.col("p") == F.col("p2")) & (F.col("_source") == F.col("k2")) & (F.col("_j") == F.col("j")))
     base = F.col("slot0") + F.col("_cycle") * F.col("total")
-    # slots before this one hold full blocks except the last blocks of sources that are used up; those are fewer than the sources
     out = out.withColumns({"slot": base + F.col("s"), "slot_release": base + F.col("r"), "slot_deadline": base + F.col("d")})
-    short = []  # (slot of a source's last block, rows missing in it)
-    lookup = {(p, k, j): s for p, k, j, s, *_ in plan}
-    for p, k, first, end, w, total, slot0 in span_rows:
-        if end == sizes[k] and counts[k] % block:
-            local_last = end - 1 - first
-            short.append((slot0 + local_last // w * total + lookup[p, k, local_last % w], block - counts[k] % block))
-    short.sort()
-    missing = F.lit(0).cast("long")
-    for s, m in short:
-        missing = missing + F.when(F.col("slot") > s, F.lit(m)).otherwise(F.lit(0))
-    out = out.withColumn("mix_position", F.col("slot") * block + F.col("_position") % block - missing)
+    # slots before this one hold full blocks except the last blocks of sources that are used up, and each of these ends a phase
+    out = out.withColumn("mix_position", F.col("slot") * block + F.col("_position") % block - F.col("missing"))
     return out.select("_row.*", *added)

@@ -273,6 +273,19 @@ def test_mixing_deviates_less_than_a_block(spark):
     assert all(r.slot_release <= r.slot < r.slot_deadline for r in got)
 
 
+@pytest.mark.parametrize("sources", [300, 2000])
+def test_mixing_many_sources(spark, sources):
+    rows = [(i, f"t{i}", f"s{i * i % 7919 % sources}") for i in range(3000)]
+    weights = {f"s{k}": 1 + k % 5 for k in range(sources)}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, block=2).collect()
+    assert sorted(r.doc_id for r in got) == list(range(3000)) and sorted(r.mix_position for r in got) == list(range(3000))
+    slots = {}
+    for r in got:
+        slots.setdefault(r.slot, set()).add((r.source, r.source_block))
+    assert all(len(v) == 1 for v in slots.values()) and sorted(slots) == list(range(len(slots)))
+    assert all(r.slot_release <= r.slot < r.slot_deadline for r in got)
+
+
 def test_toxicity_learns_words_and_spellings(spark):
     rng = random.Random(3)
     rows, labels = [], []
