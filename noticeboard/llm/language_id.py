@@ -14,9 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import BYTE_VALUES, LOWER, Spans, Texts, U, pieces, unused
+from .common import BYTE_VALUES, LOWER, PIECE_BYTES, Spans, Texts, U, pieces, unused
 
 SIZES = (1, 2, 3, 4)  # bytes of an n-gram
 BITS = 1 << 12
@@ -25,15 +25,33 @@ LANDMARKS = 192
 UNKNOWN = "und"
 
 
-def presence(texts: Texts, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of BITS presences as float32, text of each row); texts without bytes have no row."""
-    buffer = LOWER[texts.buffer]
-    sizes = np.diff(texts.offsets)
+def presence(texts: Texts, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of BITS presences as float32, text of each row) of at most about PIECE_BYTES bytes at a time, so that memory does not grow
+    with a text; texts without bytes have no row.
+    """
+    step, sizes = PIECE_BYTES - PIECE_BYTES % piece, np.diff(texts.offsets)
+    long = np.flatnonzero(sizes > step)
+    edges = np.unique([0, *long, *(long + 1), len(sizes)])
+    for a, z in zip(edges[:-1], edges[1:]):
+        start, end = texts.offsets[a], texts.offsets[z]
+        if sizes[a] > step:
+            for at in range(start, end, step):
+                part = texts.buffer[at : min(at + step, end)]
+                rows, text = _presence(part, np.array([0, len(part)]), piece)
+                yield rows, text + a
+        else:
+            rows, text = _presence(texts.buffer[start:end], texts.offsets[a : z + 1] - start, piece)
+            yield rows, text + a
+
+
+def _presence(buffer: np.ndarray, offsets: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    buffer = LOWER[buffer]
+    sizes = np.diff(offsets)
     count = -(-sizes // piece)
-    text = np.repeat(np.arange(len(texts)), count)
+    text = np.repeat(np.arange(len(sizes)), count)
     row_of_text = np.cumsum(count) - count
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    row = row_of_text[owner] + (np.arange(len(buffer)) - texts.offsets[owner]) // piece
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    row = row_of_text[owner] + (np.arange(len(buffer)) - offsets[owner]) // piece
     out = np.zeros((int(count.sum()), BITS), np.float32)
     spans = Spans(BYTE_VALUES[buffer])
     for n in SIZES:
@@ -55,14 +73,14 @@ class Model:
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
         if not self.languages:
             return best, score
-        votes = np.zeros((len(texts), len(self.languages)))
-        rows, text = presence(texts)
-        if len(text):
+        votes, weight = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        for rows, text in presence(texts):
             norm = np.sqrt(np.maximum(rows.sum(1), 1))[:, None]
             value = (rows @ self.landmarks) / norm @ self.weights + self.offset
             np.add.at(votes, text, value * norm)  # a longer piece counts more
-            weight = np.bincount(text, norm[:, 0], len(texts))
-            has = weight > 0
+            weight += np.bincount(text, norm[:, 0], len(texts))
+        has = weight > 0
+        if has.any():
             votes[has] /= weight[has, None]
             soft = np.exp((votes - votes.max(1, keepdims=True)) * 4)
             soft /= soft.sum(1, keepdims=True)
@@ -75,9 +93,9 @@ def fit(rows: pa.RecordBatch, labels: list[str], landmarks: int = LANDMARKS, rid
     languages = sorted(set(labels))
     parts, owners, at = [], [], 0
     for texts in pieces(iter([rows])):
-        part, text = presence(texts)
-        parts.append(part)
-        owners.append(text + at)
+        for part, text in presence(texts):
+            parts.append(part)
+            owners.append(text + at)
         at += len(texts)
     x, owner = (np.concatenate(parts), np.concatenate(owners)) if parts else (np.zeros((0, BITS), np.float32), np.zeros(0, int))
     if not len(x):
@@ -102,23 +120,23 @@ def fit(rows: pa.RecordBatch, labels: list[str], landmarks: int = LANDMARKS, rid
     return Model(languages, np.ascontiguousarray(marks.T), root @ solution, centre - mean @ solution)
 
 
-def sample(docs: DataFrame, most: int = 1500, most_chars: int = 4000, part: int = 2, parts: int = 4) -> tuple[pa.RecordBatch, list[str]]:
-    """A bounded, repeatable sample of labelled rows whose crc32(doc_id) modulo parts is not part: at most `most` texts of at most
-    `most_chars` characters, as many from each language as there are, in the order of a hash of the id.
+def sample(docs: DataFrame, most: int = 1500, least_chars: int = 40, most_chars: int = 4000, part: int = 2, parts: int = 4) -> tuple[pa.RecordBatch, list[str]]:
+    """A bounded, repeatable sample of labelled rows whose crc32(doc_id) modulo parts is not part: about `most` texts, as many from each
+    language as there are, but at least 8 from every language that has them, in the order of a hash of the id.
+
+    Texts of least_chars to most_chars characters come first; where a language has too few of them, shorter texts and passages of
+    most_chars characters from longer ones fill up, so that no language is left out.
     """
     rule = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) != part
-    rows = docs.where(rule & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text").between(40, most_chars)))
-    # by thirds of a hash: the smallest hashes of each language, without a sort of the texts
-    languages = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
-    each = max(8, most // max(1, len(languages)))
-    ids = None
-    for lang in languages:
-        some = rows.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
-        ids = some if ids is None else ids.unionByName(some)
-    if ids is None:
-        return pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}), []
-    got = rows.select("doc_id", F.col("lang").alias("_l"), "text").join(ids.distinct(), "doc_id").where(F.col("_l") == F.col("lang")).select("doc_id", "lang", "text")
-    table = got.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).slice(0, 2 * most).combine_chunks()
+    rows = docs.where(rule & F.col("lang").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    each = max(8, most // max(1, rows.select("lang").distinct().count()))
+    ranked = rows.select("doc_id", "lang", F.length("text").between(least_chars, most_chars).alias("_fits"), F.xxhash64("doc_id", "text").alias("_t"))
+    first = Window.partitionBy("lang").orderBy(F.desc("_fits"), F.xxhash64("doc_id"), "doc_id", "_t")
+    ids = ranked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).select("doc_id", "lang", "_t").distinct()
+    spare = F.greatest(F.length("text") - most_chars, F.lit(0))
+    passage = F.substring("text", (F.pmod(F.col("_t"), spare + 1) + 1).cast("int"), F.lit(most_chars))
+    got = rows.withColumn("_t", F.xxhash64("doc_id", "text")).join(ids, ["doc_id", "lang", "_t"]).select("doc_id", "lang", passage.alias("text"))
+    table = got.distinct().toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")]).combine_chunks()
     if not table.num_rows:
         return pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}), []
     return table.to_batches()[0], table["lang"].to_pylist()

@@ -309,6 +309,29 @@ def test_toxicity_learns_words_and_spellings(spark):
     assert toxicity.score(docs.limit(0), nothing).count() == 0 and toxicity.score(docs, nothing, ["doc_id"]).select("_score").distinct().count() == 1
 
 
+def test_language_id_leaves_no_language_out(spark):
+    """More than 200 languages; one with texts of a few letters only, one with very long texts only."""
+    rows = [(k * 20 + i, " ".join(f"q{k}x{j % (3 + i)}" for j in range(20)), f"l{k:03}") for k in range(210) for i in range(4)]
+    rows += [(5000 + i, "zzyzx", "short") for i in range(9)] + [(6000 + i, "\u00fc\u00f6 \u00e4\u00df " * 2000, "long") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    batch, labels = language_id.sample(docs)
+    learned = {lang for k, _, lang in rows if __import__("zlib").crc32(str(k).encode()) % 4 != 2}
+    assert len(learned) > 200 and set(labels) == learned and max(map(len, batch["text"].to_pylist())) <= 4000
+
+
+def test_language_id_sections_of_long_texts_add_up():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh \u00e9") for _ in range(2_400_000))
+    texts = next(language_id.pieces(iter([pa.record_batch({"text": ["one", None, long, "two", ""]})])))
+    assert len(texts) == 2
+    texts = language_id.Texts(pa.record_batch({"text": ["one", None, long, "two", ""]}), "text")
+    got, owner = zip(*language_id.presence(texts))
+    want, text = language_id._presence(texts.buffer, texts.offsets, language_id.PIECE)
+    assert len(got) == 5 and (np.concatenate(got) == want).all() and (np.concatenate(owner) == text).all()
+
+
 def test_language_id_held_out(spark):
     rng = random.Random(6)
     syllables = {"aa": ["ba", "lo", "mi", "ta"], "bb": ["str", "cht", "ung", "pf"], "cc": ["ña", "ción", "rro", "lle"]}
