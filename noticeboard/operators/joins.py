@@ -117,51 +117,44 @@ def new_documents(incoming: DataFrame, existing: DataFrame, order: list[str]) ->
     return accept_in_order(fresh, ["canonical_url", "content_hash"], order).where("accepted").drop("accepted")
 
 
-def locate_quotes(
-    facts: DataFrame, segments: DataFrame, fact_id: str = "fact_id", doc: str = "doc_id", gram: int = 8, tested: int = 200,
-) -> DataFrame:
+def locate_quotes(facts: DataFrame, segments: DataFrame, fact_id: str = "fact_id", doc: str = "doc_id", gram: int = 8) -> DataFrame:
     """First segment (page_no, segment_no) of the document containing the quote.
 
     Exact, else ignoring white space; located_quote is the original substring of
     the segment.  Facts without a match are dropped.
 
-    Documents with up to `tested` different quote beginnings bring them to their
-    segments, which keep those they contain.  Documents with more of them meet their
-    segments in an equi join on (document, first `gram` characters), so there is no
-    fact x segment product inside a document of any size.
+    Each distinct quote of a document is looked up by that of its pieces of `gram`
+    characters (a shorter quote is one piece) which fewest segments have, in an equi
+    join, so quotes that begin alike do not all meet all segments.  Texts are fetched
+    for the segments that have the piece, the original text for the first match alone.
     """
-    f = facts.withColumn("_q", squeeze("source_quote")).where("_q <> ''").withColumn("_g", F.substring("_q", 1, gram))
+    f = facts.withColumn("_q", squeeze("source_quote")).where("_q <> ''")
     s = segments.select(doc, "segment_id", "page_no", "segment_no", F.col("text").alias("_seg"), squeeze("text").alias("_sq"))
-    heads = f.select(doc, "_g").distinct()
-    size = heads.groupBy(doc).agg(F.count("*").alias("_n"))
-    few, many = size.where(F.col("_n") <= tested).select(doc), size.where(F.col("_n") > tested).select(doc)
-    listed = heads.join(few, doc).groupBy(doc).agg(F.collect_list("_g").alias("_heads"))
-    found = s.select(doc, "segment_id", "_sq").join(listed, doc).select(
-        doc, "segment_id", F.explode(F.filter("_heads", lambda h: F.contains(F.col("_sq"), h))).alias("_g")
-    )
-    found = found.unionByName(_gram_hits(f.join(many, doc, "left_semi"), s.join(many, doc, "left_semi"), doc, gram))
-    pairs = f.select(fact_id, doc, "_g").join(found, [doc, "_g"]).select(fact_id, doc, "segment_id")
-    checked = (
-        pairs.join(f.select(fact_id, "_q", F.col("source_quote").alias("_quote")), fact_id)
-        .join(s, [doc, "segment_id"]).where(F.contains("_sq", "_q"))
+
+    def pieces(c, n):  # hashes of all substrings of n characters, overlapping, in one linear scan
+        found = F.regexp_extract_all(c, F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1))
+        return F.explode(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
+
+    quotes = f.select(doc, "_q", F.least(F.length("_q"), F.lit(gram)).alias("_n")).distinct()
+    asked = quotes.select(doc, "_q", "_n", pieces("_q", F.col("_n")).alias("_p"))
+    sizes = quotes.select(doc, "_n").distinct()  # at most `gram` lengths of a document
+    given = s.join(sizes, doc).select(doc, "segment_id", "_n", pieces("_sq", F.col("_n")).alias("_p"))
+    given = given.join(asked.select(doc, "_n", "_p").distinct(), [doc, "_n", "_p"], "left_semi")
+    counts = given.groupBy(doc, "_n", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    # a piece that no segment has comes first: its quote is nowhere, and the join below drops it
+    rarest = asked.join(counts, [doc, "_n", "_p"], "left").groupBy(doc, "_q", "_n").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("_c"), "_p")).alias("_r"))
+    rarest = rarest.where("_r._c > 0").select(doc, "_q", "_n", F.col("_r._p").alias("_p"))
+    found = rarest.join(given, [doc, "_n", "_p"]).select(doc, "_q", "segment_id")
+    place = F.struct("page_no", "segment_no", "segment_id")
+    first = (
+        found.join(s.drop("_seg"), [doc, "segment_id"]).where(F.contains("_sq", "_q"))
+        .groupBy(doc, "_q").agg(F.min(place)["segment_id"].alias("segment_id"))
     )
-    best = top_per_key(checked, [fact_id], [F.col("page_no"), F.col("segment_no"), F.col("segment_id")], 1)
+    best = f.select(fact_id, doc, "_q", F.col("source_quote").alias("_quote")).join(first, [doc, "_q"]).join(s.drop("_sq"), [doc, "segment_id"])
     located = best.select(fact_id, F.col("segment_id").alias("located_segment"), F.col("page_no").alias("located_page"), original_span("_seg", "_quote", "_q").alias("located_quote"))
     return facts.join(located, fact_id)
 
 
-def _gram_hits(f: DataFrame, s: DataFrame, doc: str, gram: int) -> DataFrame:
-    """(doc, segment_id, _g): segments with a quote beginning, by the pieces of their text."""
-
-    def pieces(n: int):
-        # every substring of n characters, overlapping, in one linear scan
-        return F.array_distinct(F.regexp_extract_all("_sq", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-
-    # short quotes are looked up by their own length
-    grams = s.select(doc, "segment_id", F.explode(F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, gram + 1)])))).alias("_g"))
-    return grams.join(f.select(doc, "_g").distinct(), [doc, "_g"], "left_semi")
-
-
 def original_span(segment, quote, squeezed) -> Column:
     """The quote itself when contained, else the original characters it covers in the segment.
 

@@ -247,6 +247,20 @@ def located_quotes(spark, d):
     return J.locate_quotes(facts, order_text(spark, d)).select("fact_id", "located_quote")
 
 
+_CUT_SQL = "SELECT doc_id, page_no, regexp_replace(text, '\\s+', '', 'g') AS t, regexp_replace(substr(text, 1 + page_no % 7, 5 + page_no % 23), '\\s+', '', 'g') AS q FROM l"
+
+
+@query("located_lines", f"WITH {_LINES_SQL}, c AS ({_CUT_SQL}) SELECT a.doc_id, a.page_no AS fact, min(b.page_no) AS located_segment FROM c a JOIN c b ON a.doc_id=b.doc_id AND contains(b.t, a.q) WHERE a.q<>'' GROUP BY 1, 2")
+def located_lines(spark, d):
+    """Pieces of every line of every document, found in the first line that has them: many quotes and segments per document."""
+    lines = line_segments(spark, d)
+    n = F.col("page_no")
+    cut = F.regexp_replace(F.substring(F.col("text"), 1 + n % 7, 5 + n % 23), " ", "  ")
+    facts = lines.select(F.concat_ws(":", "doc_id", "page_no").alias("fact_id"), "doc_id", n.cast("bigint").alias("fact"), cut.alias("source_quote"))
+    found = J.locate_quotes(facts, lines.withColumn("segment_no", F.lit(1)))
+    return found.select("doc_id", "fact", "located_segment")
+
+
 @query("duplicate_conditions", "SELECT o_custkey AS doc_id, max(o_orderstatus) FILTER (o_orderkey=k) <> 'P' AS duplicate_suspected FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS k FROM orders) GROUP BY 1")
 def duplicate_conditions(spark, d):
     """The first order of each customer decides: status P has different conditions."""
