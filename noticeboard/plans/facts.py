@@ -81,9 +81,20 @@ def document_sections(spark, d):
     return sections(spark, d).select("doc_id", "section_no", "title", F.length("text").cast("bigint").alias("chars"), F.size("segment_ids").cast("bigint").alias("lines"))
 
 
-@query("bounded_sections")
+# greedy packing line by line: a part ends where the next line would make it too long, a line that is too long itself is cut into pieces
+_PARTS_SQL = f"""{_SECTIONS_SQL}, b0 AS (SELECT s3.doc_id, s3.section_no, page_no, t, row_number() OVER w AS i, count(*) OVER (PARTITION BY s3.doc_id, s3.section_no) AS c FROM s3 WINDOW w AS (PARTITION BY s3.doc_id, s3.section_no ORDER BY page_no)),
+b1 AS (SELECT b0.doc_id, b0.section_no, i, t || CASE WHEN i<c THEN E'\\n' ELSE '' END AS s, chars>900 AS cut FROM b0 JOIN s4 ON s4.doc_id=b0.doc_id AND s4.section_no=b0.section_no),
+b2 AS (SELECT *, length(s) AS n, cut AND length(s)>900 AS long FROM b1),
+b3 AS (SELECT doc_id, section_no, i, 0 AS g, CASE WHEN long THEN 0 ELSE n END AS filled FROM b2 WHERE i=1 UNION ALL
+ SELECT b2.doc_id, b2.section_no, b2.i, CASE WHEN b2.cut AND (b2.long OR filled=0 OR filled+n>900) THEN g+1 ELSE g END, CASE WHEN b2.long THEN 0 WHEN b2.cut AND filled+n>900 THEN n ELSE filled+n END FROM b3 JOIN b2 ON b2.doc_id=b3.doc_id AND b2.section_no=b3.section_no AND b2.i=b3.i+1),
+b4 AS (SELECT b2.doc_id, b2.section_no, g, bool_or(long) AS long, string_agg(s, '' ORDER BY b2.i) AS body FROM b2 JOIN b3 ON b2.doc_id=b3.doc_id AND b2.section_no=b3.section_no AND b2.i=b3.i GROUP BY 1,2,3),
+b5 AS (SELECT doc_id, section_no, g, unnest(CASE WHEN long THEN regexp_extract_all(body, '(?s).{{1,900}}') ELSE [body] END) AS x, unnest(range(CASE WHEN long THEN len(regexp_extract_all(body, '(?s).{{1,900}}')) ELSE 1 END)) AS k FROM b4),
+b6 AS (SELECT doc_id, section_no, g, k, {strip('x')} AS x FROM b5)"""
+
+
+@query("bounded_sections", f"WITH RECURSIVE {_PARTS_SQL} SELECT doc_id, section_no, cast(row_number() OVER (PARTITION BY doc_id, section_no ORDER BY g, k) - 1 AS int) AS part_no, cast(length(x) AS int) AS chars FROM b6 WHERE x<>''")
 def bounded_sections(spark, d):
-    """Long sections in parts (greedy packing has no SQL form; unit tests compare with the whole text)."""
+    """Long sections in parts of at most 900 characters."""
     return sections(spark, d, 900).select("doc_id", "section_no", "part_no", F.length("text").alias("chars"))
 
 
@@ -98,9 +109,17 @@ def section_facts(spark, d):
     return S.type_facts(sections(spark, d), kinds, labels={"STANDARD": ["tion", "the"]}).select("doc_id", "section_no", "label", "value")
 
 
-@query("packed_chunks")
+_CHUNKS_SQL = f"""{_SECTIONS_SQL}, k0 AS (SELECT doc_id, section_no, count(*) AS m, sum(length(l.text)) AS n FROM s3 JOIN l USING (doc_id, page_no) GROUP BY 1,2),
+k1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no) AS k FROM k0),
+k2 AS (SELECT doc_id, k, 0 AS g, m, n, n AS filled FROM k1 WHERE k=1 UNION ALL
+ SELECT k1.doc_id, k1.k, CASE WHEN filled+k1.n>1500 THEN g+1 ELSE g END, k1.m, k1.n, CASE WHEN filled+k1.n>1500 THEN k1.n ELSE filled+k1.n END FROM k2 JOIN k1 ON k1.doc_id=k2.doc_id AND k1.k=k2.k+1),
+whole AS (SELECT doc_id, count(*) AS m, sum(length(text)) AS n FROM l GROUP BY 1 HAVING sum(length(text)+1)-1<=2000 OR doc_id NOT IN (SELECT doc_id FROM k0))"""
+
+
+@query("packed_chunks", f"""WITH RECURSIVE {_CHUNKS_SQL} SELECT doc_id, cast(least(g, 7) AS int) AS chunk_no, cast(sum(m) AS int) AS segments, cast(sum(n) AS bigint) AS chars FROM k2 WHERE doc_id NOT IN (SELECT doc_id FROM whole) GROUP BY 1,2
+UNION ALL SELECT doc_id, 0, cast(m AS int), cast(n AS bigint) FROM whole""")
 def packed_chunks(spark, d):
-    """Greedy packing has no SQL form; unit tests hold the expected groups."""
+    """Sections packed in order into chunks of 1,500 characters; the rest of a document is its eighth chunk."""
     return S.pack_chunks(sections(spark, d), line_segments(spark, d), threshold=2000, chunk_chars=1500, max_chunks=8).select("doc_id", "chunk_no", F.size("segment_ids").alias("segments"), "chars")
 
 
