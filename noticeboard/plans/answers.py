@@ -8,7 +8,7 @@ from ..functions import questions as Q, texts as T
 from ..operators import retrieval as R
 from ..sources.tables import load
 from .registry import TURNS, query
-from .textual import any_, norm
+from .textual import any_, norm, strip
 
 # Latin stand-ins for the published dictionaries
 STOP = "aeiouyáéíóúàèêçüöäñß"
@@ -97,9 +97,18 @@ def retrieved_in_region(spark, d):
     return R.retrieve(questions(spark, d), items(spark, d), same_region=True).select("question_id", "citation", "slug", "score")
 
 
-@query("evidence_quotes")
+_STOPS = "。！？!?."
+_QUOTES_SQL = f"""e0 AS (SELECT question_id, citation, slug, terms, text, CASE WHEN {strip('text')}='' THEN text ELSE reverse(text) END AS src FROM r JOIN u USING (question_id) JOIN documents d ON slug='doc-' || cast(d.doc_id AS string) WHERE citation<=3),
+e1 AS (SELECT *, list_filter(list_transform(regexp_extract_all(src, '[^{_STOPS}\\n]+[{_STOPS}]*|[{_STOPS}]+'), lambda x: trim(x)), lambda x: x<>'') AS ss FROM e0),
+e2 AS (SELECT *, list_filter(ss, lambda x: len(list_filter(terms, lambda w: length(w)>=2 AND contains({norm('x')}, w)))>0)[1:4] AS hits FROM e1),
+e3 AS (SELECT *, trim(regexp_replace(concat_ws(' ', nullif(CASE WHEN len(hits)>0 THEN list_aggregate(hits, 'string_agg', ' ') ELSE ss[1] END, ''), CASE WHEN {strip('text')}<>'' THEN '审核摘要：' || text END), '[\\s\\p{{Z}}]+', ' ', 'g')) AS k FROM e2)"""
+
+
+@query("evidence_quotes", f"""WITH {_Q_SQL}, {_I_SQL}, a AS (SELECT question_id, slug, p, coalesce(ctx=slug,false) AS ctx, coalesce({_SCORE_SQL},0) AS k, len(list_filter(anchors, lambda x: contains(t,x) OR contains(c,x) OR contains(s,x)))>0 AS hit FROM u, it),
+b AS (SELECT question_id, slug, p, cast(k + CASE WHEN ctx THEN 100 ELSE 0 END AS int) AS score FROM a WHERE ctx OR hit), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, p DESC, slug) AS citation FROM b WHERE score>0),
+{_QUOTES_SQL} SELECT question_id, citation, slug, CASE WHEN length(k)<=500 THEN k ELSE substr(k, 1, 497) || '…' END AS quote FROM e3""")
 def evidence_quotes(spark, d):
-    """Sentences around the terms (sentence cutting is checked by unit tests)."""
+    """Sentences around the terms of every question in its three best documents."""
     return R.with_quotes(R.retrieve(questions(spark, d), items(spark, d))).select("question_id", "citation", "slug", "quote")
 
 
