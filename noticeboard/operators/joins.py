@@ -117,16 +117,19 @@ def new_documents(incoming: DataFrame, existing: DataFrame, order: list[str]) ->
     return accept_in_order(fresh, ["canonical_url", "content_hash"], order).where("accepted").drop("accepted")
 
 
-def locate_quotes(facts: DataFrame, segments: DataFrame, fact_id: str = "fact_id", doc: str = "doc_id", gram: int = 8) -> DataFrame:
+def locate_quotes(facts: DataFrame, segments: DataFrame, fact_id: str = "fact_id", doc: str = "doc_id", gram: int = 8, direct: int = 200) -> DataFrame:
     """First segment (page_no, segment_no) of the document containing the quote.
 
     Exact, else ignoring white space; located_quote is the original substring of
     the segment.  Facts without a match are dropped.
 
-    Each distinct quote of a document is looked up by that of its pieces of `gram`
-    characters (a shorter quote is one piece) which fewest segments have, in an equi
-    join, so quotes that begin alike do not all meet all segments.  Texts are fetched
-    for the segments that have the piece, the original text for the first match alone.
+    The distinct quotes of a document travel with its name and are tested on each of its
+    segments, so that a segment costs at most `direct` tests and only texts are shuffled.
+    In a document with more quotes (all of its segments times all of its quotes would be
+    too many) a quote is looked up by that of its pieces of `gram` characters (a shorter
+    quote is one piece) which fewest segments have, in an equi join; texts are fetched
+    for the segments that have the piece.  The original text is fetched for the first
+    match alone.
     """
     f = facts.withColumn("_q", squeeze("source_quote")).where("_q <> ''")
     s = segments.select(doc, "segment_id", "page_no", "segment_no", F.col("text").alias("_seg"), squeeze("text").alias("_sq"))
@@ -135,7 +138,13 @@ def locate_quotes(facts: DataFrame, segments: DataFrame, fact_id: str = "fact_id
         found = F.regexp_extract_all(c, F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1))
         return F.explode(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
 
-    quotes = f.select(doc, "_q", F.least(F.length("_q"), F.lit(gram)).alias("_n")).distinct()
+    place = F.struct("page_no", "segment_no", "segment_id")
+    distinct = f.select(doc, "_q").distinct()
+    many = distinct.groupBy(doc).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > direct).select(doc)
+    few = distinct.join(many, doc, "left_anti").groupBy(doc).agg(F.collect_list("_q").alias("_few"))
+    tested = s.join(few, doc).select(doc, F.explode(F.filter("_few", lambda q: F.contains("_sq", q))).alias("_q"), place.alias("_at"))
+
+    quotes = distinct.join(many, doc, "left_semi").withColumn("_n", F.least(F.length("_q"), F.lit(gram)))
     asked = quotes.select(doc, "_q", "_n", pieces("_q", F.col("_n")).alias("_p"))
     sizes = quotes.select(doc, "_n").distinct()  # at most `gram` lengths of a document
     given = s.join(sizes, doc).select(doc, "segment_id", "_n", pieces("_sq", F.col("_n")).alias("_p"))
@@ -145,14 +154,14 @@ def locate_quotes(facts: DataFrame, segments: DataFrame, fact_id: str = "fact_id
     rarest = asked.join(counts, [doc, "_n", "_p"], "left").groupBy(doc, "_q", "_n").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("_c"), "_p")).alias("_r"))
     rarest = rarest.where("_r._c > 0").select(doc, "_q", "_n", F.col("_r._p").alias("_p"))
     found = rarest.join(given, [doc, "_n", "_p"]).select(doc, "_q", "segment_id")
-    place = F.struct("page_no", "segment_no", "segment_id")
-    first = (
-        found.join(s.drop("_seg"), [doc, "segment_id"]).where(F.contains("_sq", "_q"))
-        .groupBy(doc, "_q").agg(F.min(place)["segment_id"].alias("segment_id"))
+    looked_up = found.join(s.drop("_seg"), [doc, "segment_id"]).where(F.contains("_sq", "_q")).select(doc, "_q", place.alias("_at"))
+    first = tested.unionByName(looked_up).groupBy(doc, "_q").agg(F.min("_at").alias("_at")).select(doc, "_q", F.col("_at.page_no").alias("_page"), F.col("_at.segment_id").alias("segment_id"))
+    best = f.select(doc, "_q", F.struct(*facts.columns).alias("_fact")).join(first, [doc, "_q"]).join(s.select(doc, "segment_id", "_seg"), [doc, "segment_id"])
+    kept = [fact_id, *(c for c in facts.columns if c != fact_id)]
+    return best.select(
+        *[F.col("_fact")[c].alias(c) for c in kept], F.col("segment_id").alias("located_segment"), F.col("_page").alias("located_page"),
+        original_span("_seg", F.col("_fact")["source_quote"], "_q").alias("located_quote"),
     )
-    best = f.select(fact_id, doc, "_q", F.col("source_quote").alias("_quote")).join(first, [doc, "_q"]).join(s.drop("_sq"), [doc, "segment_id"])
-    located = best.select(fact_id, F.col("segment_id").alias("located_segment"), F.col("page_no").alias("located_page"), original_span("_seg", "_quote", "_q").alias("located_quote"))
-    return facts.join(located, fact_id)
 
 
 def original_span(segment, quote, squeezed) -> Column:

@@ -61,6 +61,28 @@ def test_locate_quotes_that_begin_alike(spark):
     assert got == {k: v for k, v in want.items() if v is not None} and len(got) == 10_002
 
 
+def test_quotes_of_a_small_document_shuffle_no_pieces(spark):
+    """The quotes of a document are tested on its segments; only a document with many of them is cut into pieces.  Facts keep columns named like those of segments."""
+    s = segs(spark, "one two three four", "three four five", "six").withColumn("segment_no", F.lit(1))
+    quotes = ["three  four", "four five", "six", "o", "seven", " ", "three four", "on e t"]
+    f = spark.createDataFrame([(1, k, q, -k, 99) for k, q in enumerate(quotes)], "doc_id long, fact_id long, source_quote string, segment_id long, page_no int")
+    out = {n: J.locate_quotes(f, s, direct=n) for n in (200, 3)}
+    got = {n: sorted((r.fact_id, r.segment_id, r.located_segment, r.located_quote) for r in d.collect()) for n, d in out.items()}
+    assert got[200] == got[3] == [(0, 0, 1, "three four"), (1, -1, 2, "four five"), (2, -2, 3, "six"), (3, -3, 1, "o"), (6, -6, 1, "three four"), (7, -7, 1, "one t")]
+
+    lines = spark.range(2000).selectExpr("id div 20 AS doc_id", "id AS segment_id", "1 AS page_no", "1 AS segment_no", "repeat(concat('line ', id, ' '), 40) AS text")
+    facts = lines.selectExpr("doc_id", "segment_id AS fact_id", "concat('e ', segment_id, ' l') AS source_quote")
+    found = J.locate_quotes(facts, lines)
+    assert found.count() == 2000
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("located", "located")
+    found.write.format("noop").mode("overwrite").save()
+    stages = {k for j in tracker.getJobIdsForGroup("located") for k in tracker.getJobInfo(j).stageIds}
+    store = spark._jsc.sc().statusStore()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages) < 40_000
+
+
 def test_temporal_completion_is_done_once(spark):
     text = "原预约日期为7月20日的，顺延至2026年7月27日。请于7月30日 17:00前确认。"
     empty = facts(spark, [("FEE", "费用", "免费", "免费", 1, 1, 0.9)])
