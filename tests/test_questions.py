@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from noticeboard.functions import classify as C, questions as Q, texts as T
 from noticeboard.operators import retrieval as R
+from noticeboard.operators.ordered import top_per_key
 
 
 def channel(spark, title, text, kind=None):
@@ -85,3 +86,51 @@ def test_quotes_cards_posts(spark):
     near = asked.withColumn("region_code", F.lit("r"))
     assert R.retrieve_posts(near, posts.withColumn("category", F.lit("x"))).count() == 0  # the matching ones are older than the latest fifty
     assert R.retrieve_posts(near, posts.where("id < 20").withColumn("category", F.lit("x"))).count() == 3
+
+
+def test_posts_meet_distinct_questions_only(spark):
+    """Many questions with few different terms: one answer for each set of terms and region, given to all of them."""
+    posts = spark.createDataFrame([(i, f"r{i % 2}", i, "体检经验" if i % 3 else "停水", "健康" if i % 4 else None, "VISIBLE") for i in range(30)], "id long, region_code string, created_at int, content string, category string, status string")
+    texts = ["体检什么时间", "停水", "体检停水", "火星"]
+    asked = R.understand(spark.createDataFrame([(i, texts[i % 4], None, f"r{i % 3}" if i % 3 < 2 else None) for i in range(240)], "question_id long, text string, context_slug string, region_code string"))
+    out = R.retrieve_posts(asked, posts, n=3)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.question_id, []).append((r.place, r.id, r.score))
+    pairs = asked.join(posts, "region_code").withColumn("score", Q.post_score("terms", "content", "category")).where("score > 0").collect()
+    want = {}
+    for r in sorted(pairs, key=lambda r: (-r.score, -r.created_at, -r.id)):
+        want.setdefault(r.question_id, []).append((r.id, r.score))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(i + 1, *x) for i, x in enumerate(v[:3])] for k, v in want.items()} and len(got) > 100
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" in plan and not any("aggregate(" in line and "regexp_replace" in line for line in plan.splitlines())
+
+
+def test_pages_asked_on_do_not_multiply_pairs(spark, monkeypatch):
+    """Questions that differ only in the page they were asked on meet the items once; the page itself keeps its place."""
+    words = ["体检", "停水"]
+    rows = [(f"item-{i:03}", i, f"{words[i % 2]}通知", "", words[i % 3 % 2], "", "", i % 5) for i in range(120)]
+    many = spark.createDataFrame(rows, items(spark).schema)
+    asked = ask(spark, *[("体检什么时间", f"item-{i:03}" if i % 8 else None) for i in range(240)])
+    want = {}
+    for r in brute(asked, many).join(many.select("slug", "published_at"), "slug").collect():
+        want.setdefault(r.question_id, []).append((-r.score, -r.published_at, r.slug))
+    ranked = R.rank_items(asked, many)
+    assert {(r.question_id, r.citation, r.slug, r.score) for r in ranked.collect()} == {(k, i + 1, x[2], -x[0]) for k, v in want.items() for i, x in enumerate(sorted(v)[:3])}
+    quoted = R.retrieve_quotes(asked, many).collect()
+    whole = R.with_quotes(R.retrieve(asked, many)).collect()
+    assert sorted((r.question_id, r.citation, r.slug, r.quote) for r in quoted) == sorted((r.question_id, r.citation, r.slug, r.quote) for r in whole)
+    met = []
+    monkeypatch.setattr(R, "top_per_key", lambda df, keys, *rest: (met.append((keys, df)), top_per_key(df, keys, *rest))[1])
+    R.rank_items(asked, many)
+    assert [df.count() for keys, df in met if "_profile" not in keys] == [100]  # the items with the one anchor, once
+
+
+def test_words_in_fields(spark):
+    texts = [("ab abc", "x国民ab"), ("", None), ("国", "民国国民"), ("long" * 300_000 + "tail", "characteristic")]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id long, a string, b string")
+    words = ["a", "abc", "国民", "国", "tail", "longtail", "gtai", "characteristic", "haracteristic", "zz", "longlonglonglonglonglonglonglong", ""]
+    got = {(r.id, r.word, r.tag): r._fields for r in C.match_fields(df, spark.createDataFrame([(w, len(w)) for w in words], "word string, tag int"), ["a", "b"], "id").collect()}
+    want = {(i, w, len(w)): sum(1 << k for k in (0, 1) if w in (t[k] or "")) for i, t in enumerate(texts) for w in words if w}
+    assert got == {k: v for k, v in want.items() if v}
+    assert C.match_fields(df, spark.createDataFrame([("",)], "word string"), ["a"], "id").columns == ["id", "word", "_fields"]
