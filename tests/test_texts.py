@@ -2,7 +2,7 @@
 import pyarrow as pa
 
 import __spark_entry__ as entry
-from noticeboard.functions import extract as E, vocab as V
+from noticeboard.functions import extract as E, texts as T, vocab as V
 from noticeboard.sources import pages as P
 
 
@@ -26,3 +26,8 @@ def test_pages_are_parsed_in_slices():
     parts = list(P._parts(batch, 10))
     assert [p.num_rows for p in parts] == [2, 1, 1, 3, 2] and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
     assert list(P._parts(batch.slice(0, 0))) == []
+
+
+def test_clauses_of_warnings_are_made_once(spark):
+    assert str(T.dedup_warnings("v")).count("split(") == 1
+    assert entry.queries()["distinct_warnings"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
