@@ -103,6 +103,30 @@ def test_hot_anchor_fills_no_shard(spark, monkeypatch):
     assert sum(r.n_removed > 0 for r in got) > 15 and sum(r.n_removed == 0 for r in got) > 100
 
 
+def test_only_blocks_alike_around_their_anchor_are_sorted(spark, monkeypatch):
+    """A short phrase in every text makes blocks under one anchor that differ next to it; passages of just a string's length are still found."""
+    rng = random.Random(8)
+    phrase = words(rng, 8, 400)
+    rows = [(i, f"{words(rng, 60, 9999)} {phrase} {words(rng, 60, 9999)}") for i in range(60)]
+    begin = rows[5][1].index(phrase)
+    for i, before in enumerate((0, 1, 30, 60, 90)):  # exactly 120 bytes in common, the anchor anywhere in them
+        rows.append((100 + i, "#" + words(rng, 20, 9999) + "#" + rows[5][1][begin - before : begin - before + 120] + "#" + words(rng, 20, 9999)))
+    sizes, sort = [], suffix_dedup.repeated_starts
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", lambda text, length: sizes.append(len(text)) or sort(text, length))
+    table = pa.table({
+        "doc_id": pa.array([i for i, _ in rows]), "text_key": pa.array([0] * len(rows)), "anchor": pa.array(np.zeros(len(rows), np.int64)), "n": pa.array([1] * len(rows)),
+        "inner": pa.array([20] * len(rows), pa.int32()), "start": pa.array([0] * len(rows), pa.int32()), "bytes": pa.array([t.encode() for _, t in rows]),
+    })
+    place = suffix_dedup.mix(suffix_dedup.Spans(suffix_dedup.BYTE_VALUES[np.frombuffer(phrase.encode(), np.uint8)]).rolling(20) + np.uint64(0x2C1B3C6D))
+    table = table.set_column(2, "anchor", pa.array(np.full(len(rows), place[5]).view(np.int64)))
+    got = suffix_dedup._sort_shard(table, 120).to_pylist()
+    assert {r["doc_id"] for r in got} == {5, 100, 101, 102, 103, 104}
+    assert sum(sizes) < 0.2 * sum(len(t) for _, t in rows)
+    found = suffix_dedup.remove_repeats(frame(spark, rows), length=120, inner=20).collect()
+    want = brute_bytes([t.encode() for _, t in rows], 120)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == sorted((c[0], *w) for c, w in zip(rows, want))
+
+
 def test_suffix_arrays_and_prefixes():
     rng = np.random.default_rng(0)
     for trial in range(120):
