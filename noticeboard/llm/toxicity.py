@@ -157,19 +157,16 @@ def train(rows: pa.RecordBatch, labels: np.ndarray, epochs: int = 10, refine: in
     return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = 4000, most_chars: int = 20_000, part: int = 1, parts: int = 3) -> tuple[pa.RecordBatch, np.ndarray]:
-    """A bounded, repeatable sample of labelled rows whose crc32(doc_id) modulo parts is not part: at most `most` documents of at most
-    `most_chars` characters, in the order of a hash of the id.  Null labels and ids are no labels; of repeated labels the largest counts.
+def sample(docs: DataFrame, labels: DataFrame, most: int = 4000, most_chars: int = 20_000, part: int = 1, parts: int = 3) -> DataFrame:
+    """A bounded, repeatable sample (doc_id, text, toxic) of labelled rows whose crc32(doc_id) modulo parts is not part: at most `most`
+    documents of at most `most_chars` characters, in the order of a hash of the id.  Null labels and ids are no labels; of repeated labels
+    the largest counts.
     """
     rule = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) != part
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & rule).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= most_chars)).select("doc_id", "text")
-    got = texts.join(chosen, "doc_id").select("doc_id", F.col("text"), F.col("_toxic").cast("int").alias("toxic")).toArrow().sort_by("doc_id").combine_chunks()
-    if not got.num_rows:
-        return pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}), np.zeros(0, np.int64)
-    got = got.slice(0, 2 * most)  # repeated document ids cannot make it larger than this
-    return got.to_batches()[0], got["toxic"].to_numpy()
+    return texts.join(chosen, "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), F.col("_toxic").cast("int").alias("toxic"))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, column: str = "_score") -> DataFrame:
@@ -191,6 +188,27 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, column:
     return rows.mapInArrow(run, out)
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of a bounded sample of the labelled rows outside the held-out third."""
-    return train(*sample(docs, labels))
+def fitted(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
+    """The model of a bounded sample of the labelled rows outside the held-out third.  One task fits it; the driver gets the model alone."""
+    rows = sample(docs, labels, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = None
+        for batch in batches:
+            got = pa.Table.from_batches([batch]) if got is None else pa.concat_tables([got, pa.Table.from_batches([batch])])
+            if got.num_rows > 4 * most:  # repeated document ids cannot make it larger than this
+                got = _first(got, 2 * most)
+        if got is None or not got.num_rows:
+            return
+        got = _first(got, 2 * most)
+        model = train(got.to_batches()[0], got["toxic"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([model.margin.tobytes()], pa.binary()), pa.array([float(model.bias)])], names=["margin", "bias"])
+
+    found = rows.repartition(1).mapInArrow(run, "margin binary, bias double").first()
+    if found is None:
+        return train(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}), np.zeros(0, np.int64))
+    return Model(np.frombuffer(found["margin"], np.float32), found["bias"])
+
+
+def _first(rows: pa.Table, n: int) -> pa.Table:
+    return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).slice(0, n).combine_chunks()

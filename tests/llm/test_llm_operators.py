@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, on hand-made rows with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -333,6 +334,26 @@ def test_toxicity_learns_words_and_spellings(spark):
     assert toxicity.score(docs.limit(0), nothing).count() == 0 and toxicity.score(docs, nothing, ["doc_id"]).select("_score").distinct().count() == 1
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver neither gathers the sample nor fits the model."""
+    driver, whole = os.getpid(), toxicity.train
+
+    def elsewhere(rows, labels):
+        if os.getpid() == driver:
+            raise MemoryError("fitted on the driver")
+        return whole(rows, labels)
+
+    rows = [(k, f"a{k % 7} b{k % 5} " + "horrible" * (k % 4 == 0)) for k in range(60)] + [(1, "once more")] * 50
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(60)], "doc_id long, toxic int")
+    sampled = sorted((r.doc_id, r.text, r.toxic) for r in toxicity.sample(frame(spark, rows), labels).collect())
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    got = toxicity.fitted(frame(spark, rows), labels, most=20)
+    assert np.isfinite(got.margin).all() and len(got.margin) == toxicity.BUCKETS
+    got = toxicity.fitted(frame(spark, rows), labels, most=4000)
+    want = whole(pa.RecordBatch.from_pydict({"text": [t for _, t, _ in sampled]}), np.array([x for *_, x in sampled]))
+    assert np.array_equal(got.margin, want.margin) and got.bias == want.bias
+
+
 def test_language_id_leaves_no_language_out(spark):
     """More than 200 languages; one with texts of a few letters only, one with very long texts only."""
     rows = [(k * 20 + i, " ".join(f"q{k}x{j % (3 + i)}" for j in range(20)), f"l{k:03}") for k in range(210) for i in range(4)]
