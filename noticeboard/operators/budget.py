@@ -13,6 +13,8 @@ from ..functions.dates import local_day, next_local_midnight, next_retry, ts
 from ..functions.texts import estimate_tokens
 from .ordered import Rounds, in_blocks
 
+BLOCK_ROWS = 20_000  # a block is one task's group, whose rows become Python objects
+
 
 @dataclass(frozen=True)
 class Capacity:
@@ -107,7 +109,7 @@ def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str],
     blocks.  A block then goes through its rows once, with the bounds moving along, and
     decides what they decide.  The first open block always has equal bounds, so it is
     finished in every round, and a limit that is used up, or far from it, decides all
-    blocks at once: rounds follow blocks, not rows, and no task holds more than a block.
+    blocks at once: rounds follow blocks, not rows, and no task holds more than a block, of at most BLOCK_ROWS rows.
     """
     keys = list(dict.fromkeys(k for c in capacities for k in c.keys))
     slim = df.select(*dict.fromkeys([*order, *keys]), amount.cast("bigint").alias("_amount"), nulls_to(eligible, False).alias("_ok"), *[
@@ -116,6 +118,8 @@ def admit_in_order(df: DataFrame, capacities: list[Capacity], order: list[str],
     slim = slim.select(*order, "_amount", F.when(F.col("_ok"), "?").otherwise("no").alias("_state"), *[n for c in capacities for n in _bounds(c)], *[_key(c.keys).alias(f"_key_{c.name}") for c in capacities])
     blocks = in_blocks(slim, {"_block": []}, [F.col(c) for c in order])
     open_ = blocks.withColumn("_i", F.row_number().over(Window.partitionBy("_block").orderBy(*order)).cast("bigint"))
+    # a range partition grows with the input, a block does not
+    open_ = open_.withColumn("_block", F.shiftleft(F.col("_block").cast("bigint"), 32) + F.floor((F.col("_i") - 1) / BLOCK_ROWS))
     names = [c.name for c in capacities]
     seen = [f"{n}_{m}" for n in names for m in ("n", "s")]
     fields = [*open_.columns, *seen, "_exact"]

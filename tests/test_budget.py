@@ -125,3 +125,29 @@ def test_sessions(spark):
     p = spark.createDataFrame([(1, 30)], "plan_id long, duration_days int")
     out = {r.session_id: (r.status, r.membership_expires_at) for r in B.expire_sessions(s, c, p, T0 + dt.timedelta(hours=1)).collect()}
     assert out == {0: ("SUCCESS", T0 - dt.timedelta(minutes=1) + dt.timedelta(days=30)), 1: ("EXPIRED", None), 2: ("EXPIRED", None), 3: ("CANCELLED", None)}
+
+
+def test_blocks_have_bounded_rows(spark, monkeypatch):
+    """A range partition of any size is decided in blocks of bounded rows, with the decisions of a plain loop."""
+    decide = B._decide_block
+
+    def bounded(names, fields):
+        run, most = decide(names, fields), 16
+
+        def held(rows, opening):
+            if rows.num_rows > most:
+                raise ValueError("too many rows in one block")
+            return run(rows, opening)
+
+        return held
+
+    monkeypatch.setattr(B, "BLOCK_ROWS", 16, raising=False)
+    monkeypatch.setattr(B, "_decide_block", bounded)
+    rows = [(i, f"u{i * 7 % 90}", f"h{i * i % 110}" if i % 9 else None) for i in range(400)]
+    got = accept_in_order(spark.createDataFrame(rows, "id int, u string, h string").coalesce(1), ["u", "h"], ["id"])
+    seen, want = set(), set()
+    for i, u, h in rows:
+        if not {("u", u), ("h", h)} & seen:
+            want.add(i)
+            seen |= {("u", u)} | ({("h", h)} if h else set())
+    assert {r.id for r in got.where("accepted").collect()} == want and got.count() == 400
