@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import extract as E, vocab as V
-from ..functions.core import is_blank, map_lookup, nulls_to, squeeze, text
+from ..functions.core import is_blank, let, map_lookup, nulls_to, squeeze, text
 from ..functions.texts import complete_temporal_value, numbers_consistent, prefix_similarity
 from .aggregates import merge_fees, merge_windows
 from .joins import original_span
@@ -26,10 +26,17 @@ def repair_facts(raw: DataFrame, doc: str = "doc_id", pos: str = "pos", body: st
     aliases, allowed, keys = aliases or V.FIELD_TYPE_ALIASES, allowed or V.FIELD_TYPES, keys or V.FACT_KEYS
     path = F.concat(F.lit("$.fields["), F.col(pos).cast("string"), F.lit("]"))
     is_object = F.startswith(F.trim(text(body)), F.lit("{")) & F.try_parse_json(body).isNotNull()
-    read = raw.withColumns({"_object": is_object, "_path": path})
-    read = read.withColumns({k: F.when(F.col("_object"), F.get_json_object(body, f"$.{k}")) for k in keys})
-    named = F.upper(text("field_type"))
-    read = read.withColumn("field_type", F.when(named.isin(list(aliases)), map_lookup(named, aliases)).otherwise(F.col("field_type")))
+
+    def canonical(kind: Column) -> Column:
+        return let(F.upper(text(kind)), lambda named: F.when(named.isin(list(aliases)), map_lookup(named, aliases)).otherwise(kind))
+
+    def state(o: Column) -> Column:
+        kind = let(F.when(o, F.get_json_object(body, "$.field_type")), canonical)
+        return F.struct(o.alias("_object"), kind.alias("field_type"))
+
+    # a row is parsed once: filters on what a generator makes are not pushed below it, where they would parse again
+    read = raw.select(doc, pos, body, path.alias("_path"), F.inline(F.array(let(is_object, state))))
+    read = read.withColumns({k: F.when(F.col("_object"), F.get_json_object(body, f"$.{k}")) for k in keys if k != "field_type"})
     known = nulls_to(F.col("field_type").isin(allowed), False)
     unknown_keys = F.filter(F.json_object_keys(body), lambda k: ~k.isin(keys))
     ok = read.where(F.col("_object") & known).select(

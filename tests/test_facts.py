@@ -174,3 +174,16 @@ def test_news_sentences_are_cut_once_and_fast(spark):
     assert [got[i] for i in range(len(texts))] == [[x for m in re.findall(r"[^。！？\r\n]+[。！？]?", t) if (x := m.strip())] for t in texts]
     plan = rows.select(F.inline(E.news_facts(E.news_sentences("text"), ["a"], ["b"])))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_repair_parses_a_row_once(spark):
+    bodies = ['{"field_type":"phone","value":"1"}', ' {"field_type":"FEE","value":null,"extra":1}', "[1]", "{bad", None, '{"field_type":"NOPE"}', "{}", '{"field_type":"LOCATION","page_no":"2"}']
+    raw = spark.createDataFrame([(1, i, b) for i, b in enumerate(bodies)], "doc_id long, pos int, raw string")
+    ok, bad = X.repair_facts(raw)
+    assert sorted((r.pos, r.field_type, r.value, r.page_no) for r in ok.collect()) == [(0, "CONTACT", "1", None), (1, "FEE", None, None), (7, "LOCATION", None, 2)]
+    assert sorted((r.path, r.problem) for r in bad.collect()) == [
+        ("$.fields[1].extra", "UNKNOWN_KEY"), ("$.fields[2]", "NOT_AN_OBJECT"), ("$.fields[3]", "NOT_AN_OBJECT"), ("$.fields[4]", "NOT_AN_OBJECT"),
+        ("$.fields[5].field_type", "UNKNOWN_TYPE"), ("$.fields[6].field_type", "UNKNOWN_TYPE"),
+    ]
+    plan = ok.select("doc_id", "pos", "field_type", "value")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") == 1
